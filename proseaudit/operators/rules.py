@@ -105,17 +105,17 @@ def en_dashes(c: Column, terms: Column | None = None) -> Column:
 
 def in_code_token(s: spans.Span) -> Column:
     """Letters (at most one hyphen between) right before, or a letter or hyphen right after."""
-    return s.before.rlike(r"[A-Za-z]-?[A-Za-z]$") | s.after.rlike(r"^[A-Za-z\-]")
+    return s.before.rlike(r"[A-Za-z]-?[A-Za-z]\z") | s.after.rlike(r"^[A-Za-z\-]")
 
 
 def is_page_ref(s: spans.Span) -> Column:
     """``p``, ``p.``, ``pp`` or ``pp.`` in the three characters before."""
     left = F.right(F.concat(s.previous, s.before), F.lit(3))
-    return left.rlike(rf"(?i)(?:^|{tx.WS})pp?\.?$")
+    return left.rlike(rf"(?i)(?:^|{tx.WS})pp?\.?\z")
 
 
 def in_range(s: spans.Span) -> Column:
-    return s.before.rlike("[-–]$") | s.after.rlike("^[-–]")
+    return s.before.rlike(r"[-–]\z") | s.after.rlike("^[-–]")
 
 
 def before_decimal(s: spans.Span) -> Column:
@@ -124,7 +124,7 @@ def before_decimal(s: spans.Span) -> Column:
 
 def at_sentence_start(s: spans.Span) -> Column:
     """Only spaces and opening marks between here and the start of the text or a closing mark."""
-    return s.before.rlike(rf"[.!?:;]{OPENING}$") | (s.is_first & s.before.rlike(rf"^{OPENING}$"))
+    return s.before.rlike(rf"[.!?:;]{OPENING}\z") | (s.is_first & s.before.rlike(rf"^{OPENING}\z"))
 
 
 def counts_in_scale(s: spans.Span) -> Column:
