@@ -24,21 +24,31 @@ def fold(c: Column, steps) -> Column:
 
 def _unless_same(new: Column, old: Column) -> Column:
     """Keep the old text when the new one is blank or says the same."""
-    return F.when((tx.strip(new) != "") & (tx.comparable(new) != tx.comparable(old)), new).otherwise(old)
+    return tx.let(
+        new, lambda n: F.when((tx.strip(n) != "") & (tx.comparable(n) != tx.comparable(old)), n).otherwise(old)
+    )
+
+
+def _first_words(phrases) -> list[str]:
+    return sorted({p.split(" ")[0] for p in phrases})
 
 
 def positive(c: Column, context: Column | None = None) -> Column:
     """Turn negated phrasing around, but only spacing and a typo in a weakness statement."""
     spaces = (f"{tx.WS}{{2,}}", " ")
-    neutral = fold(c, [(phrase(p), r) for p, r in lx.POSITIVE_REWRITES] + [spaces])
-    if context is None:
-        return _unless_same(neutral, c)
-    weak = fold(c, [(phrase("vey"), "very"), spaces])
-    return _unless_same(F.when(context.isin("weakness", "threat"), weak).otherwise(neutral), c)
+    touched = tx.mentions(F.lower(c), ["can't", "vey", *_first_words(p for p, _ in lx.POSITIVE_REWRITES)]) | c.rlike(spaces[0])
+    new = fold(c, [(phrase(p), r) for p, r in lx.POSITIVE_REWRITES] + [spaces])
+    if context is not None:
+        weak = fold(c, [(phrase("vey"), "very"), spaces])
+        new = F.when(context.isin("weakness", "threat"), weak).otherwise(new)
+    return F.when(touched, _unless_same(new, c)).otherwise(c)
+
+
+_HEDGE_STARTS = _first_words([*lx.HEDGE_DROPS, *(p for p, _ in lx.HEDGE_REWRITES)])
 
 
 def active(c: Column) -> Column:
-    """Drop hedges, replace a handful of passive forms."""
+    """Drop hedges, replace a handful of passive forms, collapse spaces."""
     steps = [(phrase(p), r) for p, r in lx.HEDGE_REWRITES[:5]]
     steps += [
         (tx.ci(tx.BEFORE + f"{tx.WS}+".join(p.split(" ")) + f"{tx.WS}+"), "") for p in lx.HEDGE_DROPS
@@ -48,22 +58,25 @@ def active(c: Column) -> Column:
         (tx.ci(tx.word(rf"(?:is|are|was|were){tx.WS}+{done}")), does) for done, does in lx.PASSIVE_REWRITES
     ]
     steps.append((tx.ci(rf"{tx.BEFORE}being{tx.WS}+({tx.WORD}+ed|made|done){tx.AFTER}"), "$1"))
-    return _unless_same(tx.squeeze(fold(c, steps)), c)
+    words = [*_HEDGE_STARTS, "being", *(done for done, _ in lx.PASSIVE_REWRITES)]
+    touched = tx.mentions(F.lower(c), words) | c.rlike(f"{tx.WS}{{2,}}|(?! ){tx.WS}|^{tx.WS}|{tx.WS}$")
+    return F.when(touched, _unless_same(tx.squeeze(fold(c, steps)), c)).otherwise(c)
 
 
 def specific(c: Column) -> Column:
     """Only the first replacement that changes anything is made."""
-    out = c
+    out, low = c, F.lower(c)
     for p, r in reversed(lx.SPECIFICITY_REWRITES):
         pattern = tx.ci(tx.word(tx.quote(p)))
-        out = F.when(c.rlike(pattern), F.regexp_replace(c, pattern, r)).otherwise(out)
+        out = F.when(low.contains(p) & c.rlike(pattern), F.regexp_replace(c, pattern, r)).otherwise(out)
     return out
 
 
 def inclusive(c: Column) -> Column:
     """All replacements are made, in order."""
     new = fold(c, [(tx.ci(tx.word(tx.quote(p))), r) for p, r in lx.INCLUSIVE_REWRITES])
-    return F.when(tx.comparable(new) != tx.comparable(c), new).otherwise(c)
+    touched = tx.mentions(F.lower(c), [p for p, _ in lx.INCLUSIVE_REWRITES])
+    return F.when(touched, _unless_same(new, c)).otherwise(c)
 
 
 # --- masking ------------------------------------------------------------------------------------

@@ -74,6 +74,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Trim every white-space character at both ends (``trim`` alone only drops U+0020)."""
     return F.btrim(col(c), F.lit(WS_CHARS))

@@ -22,11 +22,6 @@ NUMBER_START = rf"^{tx.WS}*[0-9]+\.{tx.WS}+"
 NUMBER_BREAK = rf"\n(?={tx.WS}*[0-9]+\.{tx.WS}+)"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once: a lambda body would otherwise redo it per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def paragraphs(page_text: Column) -> Column:
     """Line ends normalised, then split at blank lines."""
     nl, cr = F.lit("\n"), F.lit("\r")
@@ -59,7 +54,7 @@ def pack(sentences: Column, width: int = PACKED_PARAGRAPH) -> Column:
         )
 
     def pieces(all_sentences: Column) -> Column:
-        bounds = let(
+        bounds = tx.let(
             F.aggregate(all_sentences, zero, step, lambda acc: acc["cuts"]),
             lambda cuts: F.zip_with(
                 cuts,
@@ -72,7 +67,7 @@ def pack(sentences: Column, width: int = PACKED_PARAGRAPH) -> Column:
             lambda c: tx.strip(F.array_join(F.slice(all_sentences, c["a"] + 1, c["b"] - c["a"]), " ")),
         )
 
-    return let(sentences, pieces)
+    return tx.let(sentences, pieces)
 
 
 def refine(paragraph: Column) -> Column:
@@ -126,7 +121,7 @@ def elements_from_pages(pages: DataFrame, text: str = "raw_text") -> DataFrame:
     """
     # The array goes into the generator as an expression, not as a column: from a column the
     # optimizer derives a "not empty" filter below the generator and computes the array twice more.
-    pieces = let(
+    pieces = tx.let(
         F.flatten(F.transform(paragraphs(F.col(text)), refine)),
         lambda all_pieces: F.transform(all_pieces, lambda p: F.struct(F.size(all_pieces).alias("total"), p.alias("raw"))),
     )

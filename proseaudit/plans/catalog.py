@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proseaudit.plans import corpus, queries_rules, review  # noqa: F401
+from proseaudit.plans import corpus, queries_model, queries_rules, review  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,7 +34,7 @@ SEEDS = (
     "Key Strengths",
     "Project Scope: the team at {name} does not have staff and is not able to wait",
     "Weakness: we do not have vey  good staff at {name}",
-    "We are looking for people first or guys at {name}, etc. You should begin using AI, ML and API",
+    "We are looking for people first or guys at {name}, etc. Then you should begin using AI, ML and API",
     "{name} failed. The worst risk is bad governance!",
     "“Quality is not negotiable” – {name}",
     "People who suffer are suffering from manpower gaps at present; she or he and his/her team",
