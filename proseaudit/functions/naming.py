@@ -97,18 +97,21 @@ def name_options(parts: Column, lead: str = lx.LEAD_WORD, editor: str = "xx") ->
 
     Missing parts are shown as ``[month]``, ``[day]``, ``[year]``, ``[initials]``.
     """
-    def part(field: str) -> Column:
-        return F.when(parts[field] == "", F.lit(f"[{'initials' if field == 'initials' else field}]")).otherwise(parts[field])
-
-    head = F.concat(F.lit(lead + " "), parts["title"])
-    day = F.concat(F.lit(" -"), part("month"), F.lit(" "), part("day"), F.lit(" "), part("year"))
-    owner = F.concat(F.lit(" -"), part("initials"))
-    return F.array(
-        F.concat(F.lit("draft "), head, day, owner),
-        F.concat(head, day, owner),
-        F.concat(head, day, owner, F.lit(f" -{editor}")),
-        F.concat(head, F.lit(" -"), part("month"), F.lit(" "), part("year"), F.lit(" -final")),
-    )
+    def spell(p: Column) -> Column:
+        def part(field: str) -> Column:
+            return F.when(p[field] == "", F.lit(f"[{field}]")).otherwise(p[field])
+
+        head = F.concat(F.lit(lead + " "), p["title"])
+        day = F.concat(F.lit(" -"), part("month"), F.lit(" "), part("day"), F.lit(" "), part("year"))
+        owner = F.concat(F.lit(" -"), part("initials"))
+        return F.array(
+            F.concat(F.lit("draft "), head, day, owner),
+            F.concat(head, day, owner),
+            F.concat(head, day, owner, F.lit(f" -{editor}")),
+            F.concat(head, F.lit(" -"), part("month"), F.lit(" "), part("year"), F.lit(" -final")),
+        )
+
+    return tx.let(parts, spell)
 
 
 def is_one_of(name: Column, options: Column) -> Column:

@@ -107,8 +107,8 @@ def placeholders(found: Column, tag: str, offset: Column) -> Column:
 
 
 def unmask(c: Column, keys: Column, values: Column) -> Column:
-    """Put the masked strings back."""
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    """Put the masked strings back, last mask first: a link may have swallowed a masked number."""
+    pairs = F.reverse(F.arrays_zip(keys.alias("k"), values.alias("v")))
     return F.aggregate(pairs, c, lambda acc, p: F.replace(acc, p["k"], p["v"]))
 
 

@@ -78,10 +78,11 @@ def constrained_reason(
     for mark in lx.STRENGTH_MARKS:
         strong = strong + F.when(s.contains(mark), 1).otherwise(0)
     lost = missing_facts(suggestion, fact_array)
-    base = reason(original, suggestion, rule)
-    return (
-        F.when(base != "valid", base)
+    # The plain reason decides for almost all rows; the costlier checks only see what passed it.
+    return tx.let(
+        reason(original, suggestion, rule),
+        lambda base: F.when(base != "valid", base)
         .when(lost >= 2, F.concat(F.lit("missing_facts_"), lost.cast("string")))
         .when(context.isin("weakness", "threat") & (strong >= 2) & ~weak, "flipped_weakness_to_strength")
-        .otherwise("valid")
+        .otherwise("valid"),
     )

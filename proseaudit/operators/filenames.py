@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proseaudit.functions import lexicons as lx
 from proseaudit.functions import naming
 from proseaudit.functions import text as tx
+from proseaudit.operators.stage import settle
 
 
 def check_names(items: DataFrame, name: str = "name", kind: str | None = None, lead: str = lx.LEAD_WORD) -> DataFrame:
@@ -30,6 +31,7 @@ def name_issues(docs: DataFrame, original: str = "original_filename", path: str
     shown = F.col(original) if path is None else naming.display_name(F.col(original), F.col(path))
     staged = docs.withColumn("_name", shown).where("_name is not null")
     staged = staged.withColumn("_options", naming.name_options(naming.name_parts(F.col("_name"), lead), lead))
+    staged = settle(staged, ["_name", "_options"])
     return staged.where(~naming.is_one_of(naming.stem(F.col("_name")), F.col("_options"))).select(
         "doc_id", F.lit(-1).alias("page_index"), F.lit(-1).alias("element_index"), F.lit("filename").alias("element_type"),
         F.lit("filename-convention").alias("rule_name"), F.lit("warning").alias("severity"), F.lit("filename").alias("category"),

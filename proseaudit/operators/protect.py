@@ -35,15 +35,12 @@ def containing_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text:
     piece = F.when(F.length(term) >= 3, F.substring(term, 1, 3)).otherwise(F.col(term))
     right = terms.where(F.length(term) > 0).select(F.col(term).alias("_term"), piece.alias("_piece")).distinct()
     c = F.col(text)
-    none = F.expr("cast(array() as array<string>)")
+    # Overlapping pieces in one linear pass: a look-ahead matches at every position. Sizes one and two
+    # only meet terms that short.
     pieces = F.flatten(F.array(*[
-        F.when(
-            F.length(c) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i, n=n: F.substr(c, i, F.lit(n))),
-        ).otherwise(none)
-        for n in (1, 2, 3)
+        F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in (1, 2, 3)
     ]))
-    left = texts.select(*keys, F.explode(F.array_distinct(pieces)).alias("_piece"))
+    left = texts.select(*keys, F.explode(pieces).alias("_piece"))
     pairs = left.join(right, "_piece").select(*keys, "_term")
     return (
         pairs.join(texts.select(*keys, text), keys)

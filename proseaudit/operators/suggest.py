@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from proseaudit.functions import gates, rewrite, spans, validate
 from proseaudit.functions import text as tx
+from proseaudit.operators.stage import settle
 
 REWRITTEN = ("positive_language", "active_voice", "specificity", "inclusivity")
 
@@ -32,7 +33,7 @@ def mask_text(df: DataFrame, text: str = "text", prefix: str = "mask") -> DataFr
             f"{prefix}_keys": F.concat(f"{prefix}_keys", "_names"),
             f"{prefix}_values": F.concat(f"{prefix}_values", "_found"),
         }).drop("_found", "_names")
-    return out
+    return settle(out, [f"{prefix}_text", f"{prefix}_keys", f"{prefix}_values"])
 
 
 def rule_rewrite(rule: Column, body: Column, context: Column) -> Column:
@@ -148,7 +149,7 @@ def add_suggestions(issues: DataFrame, candidate: str | None = None) -> DataFram
     )
     use_candidate = mine & (F.col("_cand_reason") == "valid")
     use_fallback = mine & (F.col("_fall_reason") == "valid")
-    return staged.withColumns({
+    done = staged.withColumns({
         "method": F.when(use_candidate, "external").when(use_fallback, "fallback").when(mine, "no_improvement").otherwise(F.col("method")),
         "suggestion": F.when(use_candidate, F.col("_candidate")).when(use_fallback, F.col("_fallback")).when(~mine, F.col("suggestion")),
         "reject_reason": F.when(mine & ~use_candidate & ~use_fallback, F.col("_fall_reason")),
@@ -156,6 +157,7 @@ def add_suggestions(issues: DataFrame, candidate: str | None = None) -> DataFram
     }).drop(
         "_heading", "_body", "_context", "_fallback", "_original", "_candidate", "_cand_reason", "_fall_reason", "_facts", "_constraint"
     )
+    return settle(done, ["method", "suggestion", "reject_reason", "candidate_reject"])
 
 
 def keep_actionable(issues: DataFrame) -> DataFrame:

@@ -295,7 +295,7 @@ def pieces_sql(p: str) -> str:
     packed = _PACK.format(s=split)
     g = lx.BULLET_GLYPHS
     numbers = f"string_split(regexp_replace({p}, '\\n({o.WS}*[0-9]+\\.{o.WS}+)', '¦\\1', 'g'), '¦')"
-    bullets = f"string_split(regexp_replace({p}, '\\n({o.WS}*[{g}]{o.WS}+)', '¦\\1', 'g'), '¦')"
+    bullets = f"string_split(regexp_replace({p}, '\\n({o.WS}*[{g}]{o.WS})', '¦\\1', 'g'), '¦')"
     return (
         f"CASE WHEN length({p}) > 1000 THEN list_append(({packed}).packs, trim(({packed}).cur)) "
         f"WHEN regexp_matches({p}, '(?m)^{o.WS}*[{g}]{o.WS}+') THEN {bullets} "
@@ -332,9 +332,10 @@ def elements_sql(pages: str) -> str:
 DOC_PAGES_SQL = "SELECT doc_id, 1 AS page_index, text AS raw_text FROM documents"
 # Lines of a document as blank-line separated paragraphs with Windows line ends, every fifth line a
 # bullet and every seventh numbered, so that each way of refining a paragraph occurs.
+_PREFIXED = "concat(CASE WHEN ord % 5 = 1 THEN '• ' WHEN ord % 7 = 3 THEN concat(CAST(ord AS VARCHAR), '. ') ELSE '' END, text)"
 _MIXED_SQL = (
-    "SELECT key AS doc_id, 1 AS page_index, string_agg(concat(CASE WHEN ord % 5 = 1 THEN '• ' WHEN ord % 7 = 3 THEN concat(CAST(ord AS VARCHAR), '. ') ELSE '' END, text), "
-    "CASE WHEN key % 2 = 0 THEN chr(13) || chr(10) || chr(13) || chr(10) ELSE chr(10) END ORDER BY ord) AS raw_text FROM lines GROUP BY src, key"
+    f"SELECT key AS doc_id, 1 AS page_index, CASE WHEN key % 2 = 0 THEN string_agg({_PREFIXED}, chr(13) || chr(10) || chr(13) || chr(10) ORDER BY ord) "
+    f"ELSE string_agg({_PREFIXED}, chr(10) ORDER BY ord) END AS raw_text FROM lines GROUP BY src, key"
 )
 
 
@@ -357,7 +358,7 @@ def b12(spark, sf):
     )
 
 
-@query("b15_mixed_pages", f"WITH {corpus.LINES_SQL}, {elements_sql(_MIXED_SQL + ', src HAVING src = ' + repr('doc'))} SELECT {_OUT} FROM elements".replace("GROUP BY src, key, src HAVING", "GROUP BY src, key HAVING"))
+@query("b15_mixed_pages", f"WITH {corpus.LINES_SQL}, {elements_sql(_MIXED_SQL + ' HAVING src = ' + repr('doc'))} SELECT {_OUT} FROM elements")
 def b15(spark, sf):
     """The same with blank-line paragraphs, bullets and numbered lines, blank pieces dropped after numbering."""
     pages = mixed_pages(spark, sf).where("src = 'doc'").drop("src")
@@ -374,13 +375,14 @@ def b08(spark, sf):
     )
 
 
-_REFINE_SQL = f"WITH {corpus.LINES_SQL}, p AS ({_MIXED_SQL}), r AS (SELECT doc_id, raw_text, {pieces_sql('raw_text')} AS ps FROM p WHERE @where) SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_pieces, md5(array_to_string(ps, '|')) AS digest FROM r"
+_REFINE_SQL = f"WITH {corpus.LINES_SQL}, p AS (SELECT doc_id, replace(raw_text, chr(13) || chr(10) || chr(13) || chr(10), chr(10)) AS raw_text FROM ({_MIXED_SQL})), r AS (SELECT doc_id, raw_text, {pieces_sql('raw_text')} AS ps FROM p WHERE @where) SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_pieces, md5(array_to_string(ps, '|')) AS digest FROM r"
 
 
 def _register_refine(name, where_sql, where):
     @query(name, _REFINE_SQL.replace("@where", where_sql))
     def build(spark, sf):
-        p = mixed_pages(spark, sf).where(where(F.col("raw_text"))).select("doc_id", F.transform(F.array("raw_text"), segment.refine).alias("x"))
+        one_break = F.replace(F.col("raw_text"), F.lit("\r\n\r\n"), F.lit("\n"))
+        p = mixed_pages(spark, sf).withColumn("raw_text", one_break).where(where(F.col("raw_text"))).select("doc_id", F.transform(F.array("raw_text"), segment.refine).alias("x"))
         ps = F.flatten("x")
         return p.select("doc_id", F.size(ps).cast("long").alias("n_pieces"), F.md5(F.array_join(ps, "|")).alias("digest"))
 
@@ -465,7 +467,7 @@ def b22(spark, sf):
 
 
 _RUN_SQL = (
-    "runs AS (SELECT l_orderkey AS par, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS o, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('font', CAST(l_partkey % 5 AS VARCHAR)) END AS font_name, "
+    "runs AS (SELECT l_orderkey AS par, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS o, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('font', CAST(l_partkey % 5 AS VARCHAR)) END AS font_name, "
     "CASE WHEN l_suppkey % 2 = 0 THEN l_quantity END AS font_size, CASE WHEN l_tax > 0.02 THEN l_discount > 0.05 END AS is_bold, CASE WHEN l_tax > 0.05 THEN l_discount > 0.02 END AS is_italic, "
     "CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 4 = 1 THEN 'default' ELSE concat('theme:ACCENT_', CAST(l_partkey % 6 + 1 AS VARCHAR)) END AS color FROM lineitem)"
 )
@@ -510,11 +512,11 @@ def b24(spark, sf):
     return flatten.resolve_theme_colours(paragraphs, themes).select("par", "color", "rgb")
 
 
-@query("b25_rgb_hex", "SELECT p_partkey, printf('#%02X%02X%02X', p_partkey % 256, p_size, CAST(p_retailprice AS BIGINT) % 256) AS hex, printf('#%06X', p_partkey) AS int_hex FROM part")
+@query("b25_rgb_hex", "SELECT p_partkey, printf('#%02X%02X%02X', p_partkey % 256, p_size, CAST(floor(p_retailprice) AS BIGINT) % 256) AS hex, printf('#%06X', p_partkey) AS int_hex FROM part")
 def b25(spark, sf):
     k = F.col("p_partkey")
     return readers.table(spark, sf, "part").select(
-        "p_partkey", visual.rgb_hex(k % 256, F.col("p_size"), F.round("p_retailprice").cast("long") % 256).alias("hex"), visual.rgb_int_hex(k).alias("int_hex")
+        "p_partkey", visual.rgb_hex(k % 256, F.col("p_size"), F.floor("p_retailprice").cast("long") % 256).alias("hex"), visual.rgb_int_hex(k).alias("int_hex")
     )
 
 
