@@ -358,7 +358,8 @@ def detect(
     candidates = F.array(*[
         _candidate(r, unit, F.col("_low"), F.col(scope) if scope else None, F.col(terms) if terms else None) for r in chosen
     ])
-    drop = {text, scope, terms}
+    # an element's own confidence makes way for the issue's
+    drop = {text, scope, terms, *ISSUE_FIELDS}
     keep = [c for c in units.columns if c not in drop]
     return (
         units.withColumn("_low", F.lower(unit)).select(*keep, F.inline(F.filter(candidates, lambda x: x.isNotNull())))

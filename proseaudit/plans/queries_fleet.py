@@ -192,6 +192,11 @@ def p09(spark, sf):
 _N = {c: f"count(*) FILTER (WHERE category = '{c}')" for c in lx.CATEGORY_WEIGHTS}
 
 
+def rounded(x: str, digits: int) -> str:
+    """Half-up on the shortest decimal form of the double, as Spark rounds."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
 def score_sql(issues: str, documents: str) -> str:
     """CTEs ``counts`` and ``scored`` from tables ``issues(doc_id, category)`` and ``documents(doc_id, total_pages)``."""
     slot = lambda c: "n_" + c.replace("-", "_")
@@ -200,13 +205,13 @@ def score_sql(issues: str, documents: str) -> str:
     weighted = " + ".join(
         f"CASE WHEN {slot(c)} > 0 THEN (100.0::DOUBLE - {lost(c)}) * ({w}::DOUBLE / weights * 100.0::DOUBLE / 100.0::DOUBLE) ELSE 0.0::DOUBLE END" for c, w in lx.CATEGORY_WEIGHTS.items()
     )
-    detail = ", ".join(f"CASE WHEN {slot(c)} > 0 THEN round(100.0::DOUBLE - {lost(c)}, 1) END AS score_{slot(c)[2:]}" for c in lx.CATEGORY_WEIGHTS)
+    detail = ", ".join(f"CASE WHEN {slot(c)} > 0 THEN {rounded(f'(100.0::DOUBLE - {lost(c)})', 1)} END AS score_{slot(c)[2:]}" for c in lx.CATEGORY_WEIGHTS)
     return (
         f"counts AS (SELECT doc_id, count(*) AS total_issues, {', '.join(f'{n} AS {slot(c)}' for c, n in _N.items())} FROM {issues} GROUP BY doc_id), "
         f"base AS (SELECT d.doc_id, d.total_pages, coalesce(total_issues, 0) AS total_issues, {', '.join(f'coalesce({slot(c)}, 0) AS {slot(c)}' for c in _N)} FROM {documents} d LEFT JOIN counts c ON c.doc_id = d.doc_id), "
         f"w AS (SELECT *, 0.0::DOUBLE + {weights} AS weights, total_issues::DOUBLE / greatest(total_pages, 1) AS per_page, 1.0::DOUBLE + total_issues::DOUBLE / greatest(total_pages, 1) * 0.1::DOUBLE AS factor FROM base), "
         f"raw AS (SELECT *, CASE WHEN weights = 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE + {weighted} END AS s FROM w), "
-        f"scored AS (SELECT doc_id, total_pages, total_issues, round(s, 1) AS overall_score, {bands_sql('s', 1, 'F')} AS grade, {bands_sql('s', 2, 'Poor')} AS status, round(per_page, 2) AS issues_per_page, round(factor, 2) AS complexity, {detail} FROM raw)"
+        f"scored AS (SELECT doc_id, total_pages, total_issues, {rounded('s', 1)} AS overall_score, {bands_sql('s', 1, 'F')} AS grade, {bands_sql('s', 2, 'Poor')} AS status, {rounded('per_page', 2)} AS issues_per_page, {rounded('factor', 2)} AS complexity, {detail} FROM raw)"
     )
 
 
@@ -227,15 +232,25 @@ def p10(spark, sf):
     return score.quality_scores(scored_documents(spark, sf), score.category_counts(corpus.stored_issues(spark, sf)))
 
 
-@query("p11_grades", f"{_DOCS_SQL} {score_sql('issues', 'docs')} SELECT grade, status, count(*) AS n FROM scored GROUP BY ALL")
+_BIG_DOCS = (
+    f"WITH {corpus.STORED_ISSUES_SQL.replace('issues AS', 'small AS')}, issues AS (SELECT doc_id // 20 AS doc_id, category FROM small), "
+    "docs AS (SELECT DISTINCT o_orderkey // 20 AS doc_id, o_orderkey // 20 % 40 + 1 AS total_pages FROM orders), "
+)
+
+
+@query("p11_grades", f"{_BIG_DOCS} {score_sql('issues', 'docs')} SELECT doc_id, overall_score, grade, status FROM scored")
 def p11(spark, sf):
-    return p10(spark, sf).groupBy("grade", "status").agg(F.count(F.lit(1)).alias("n"))
+    """Twenty orders to a document of up to forty pages, so that every grade occurs."""
+    big = F.floor(F.col("doc_id") / 20).alias("doc_id")
+    docs = scored_documents(spark, sf).select(big).distinct().withColumn("total_pages", F.col("doc_id") % 40 + 1)
+    issues = corpus.stored_issues(spark, sf).select(big, "category")
+    return score.quality_scores(docs, score.category_counts(issues)).select("doc_id", "overall_score", "grade", "status")
 
 
 @query("p12_deductions", (
     f"{_DOCS_SQL} {score_sql('issues', 'docs')}, long AS (" + " UNION ALL ".join(
         f"SELECT doc_id, '{c}' AS category, n_{c.replace('-', '_')} AS issues, {w}::DOUBLE AS w, weights, factor FROM w" for c, w in lx.CATEGORY_WEIGHTS.items()
-    ) + ") SELECT doc_id, category, issues, round(w / weights * 100.0::DOUBLE, 2) AS weight, round(-least(issues * factor, 100.0::DOUBLE), 1) AS deduction, round(100.0::DOUBLE - least(issues * factor, 100.0::DOUBLE), 1) AS category_score FROM long WHERE issues > 0"
+    ) + ") SELECT doc_id, category, issues, " + f"{rounded('(w / weights * 100.0::DOUBLE)', 2)} AS weight, {rounded('(-least(issues * factor, 100.0::DOUBLE))', 1)} AS deduction, {rounded('(100.0::DOUBLE - least(issues * factor, 100.0::DOUBLE))', 1)} AS category_score FROM long WHERE issues > 0"
 ))
 def p12(spark, sf):
     return score.deductions(scored_documents(spark, sf), score.category_counts(corpus.stored_issues(spark, sf)))

@@ -26,6 +26,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores * 4, key) if df.rdd.getNumPartitions() < cores * 2 else df
 
 
+def spread_stream(df: DataFrame, key: str) -> DataFrame:
+    """As ``spread`` for a stream of few files per batch. A stream of many files does without."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, key)
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object per file; broken files keep their text in ``_corrupt_record``."""
     return (

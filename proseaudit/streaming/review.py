@@ -25,8 +25,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
-    """File stream with the schema of the files already there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """File stream with the schema of the files already there.
+
+    A stream wants a directory or a pattern; the pattern made here fits the path itself, be it one
+    file or a directory of part files.
+    """
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
