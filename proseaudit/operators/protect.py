@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseaudit.functions import gates
@@ -23,25 +23,38 @@ def mark_protected(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("is_protected", gates.text_protected(F.col(text), F.col("terms")))
 
 
+ANCHOR_SIZES = (1, 2, 3, 8)
+
+
+def _pieces(c: Column, size: int) -> Column:
+    """Distinct overlapping pieces in one linear pass: a look-ahead matches at every position."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def anchors(terms: DataFrame, term: str = "term") -> DataFrame:
+    """``(term, piece)``: of each term's pieces the one that the fewest terms share.
+
+    Terms often start alike; an anchor at a fixed place would send every text with that start to
+    every term. Pieces have eight characters, three for terms under eight, else the term itself.
+    """
+    c = F.col(term)
+    own = F.when(F.length(c) >= 8, _pieces(c, 8)).when(F.length(c) >= 3, _pieces(c, 3)).otherwise(F.array(c))
+    each = terms.where(F.length(c) > 0).select(term).distinct().select(term, F.explode(own).alias("piece"))
+    shared = each.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
+    return each.join(shared, "piece").groupBy(term).agg(F.min(F.struct("_n", "piece"))["piece"].alias("piece"))
+
+
 def containing_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", term: str = "term") -> DataFrame:
     """Pairs ``(keys..., term)`` where the text contains the term, case-sensitively, anywhere.
 
     A plain containment join compares every text with every term. Here the keys travel with the
-    distinct three-character pieces of their text and meet the terms on the term's first piece;
-    only the pairs that share it fetch the text and are verified. No pair is lost: a text that
-    contains a term contains the term's first piece. Terms under three characters use a piece of
-    their own length.
+    distinct pieces of their text and meet the terms on the terms' anchors; only those pairs fetch
+    the text and are verified. No pair is lost: a text that contains a term contains its anchor.
     """
-    piece = F.when(F.length(term) >= 3, F.substring(term, 1, 3)).otherwise(F.col(term))
-    right = terms.where(F.length(term) > 0).select(F.col(term).alias("_term"), piece.alias("_piece")).distinct()
     c = F.col(text)
-    # Overlapping pieces in one linear pass: a look-ahead matches at every position. Sizes one and two
-    # only meet terms that short.
-    pieces = F.flatten(F.array(*[
-        F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in (1, 2, 3)
-    ]))
-    left = texts.select(*keys, F.explode(pieces).alias("_piece"))
-    pairs = left.join(right, "_piece").select(*keys, "_term")
+    right = anchors(terms, term).select(F.col(term).alias("_term"), "piece")
+    pieces = F.flatten(F.array(*[_pieces(c, n) for n in ANCHOR_SIZES]))
+    pairs = texts.select(*keys, F.explode(pieces).alias("piece")).join(right, "piece").select(*keys, "_term")
     return (
         pairs.join(texts.select(*keys, text), keys)
         .where(F.contains(c, F.col("_term")))

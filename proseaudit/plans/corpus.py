@@ -78,7 +78,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeded(spark: SparkSession, sf: str) -> DataFrame:
-    c = readers.table(spark, sf, "customer").select("c_custkey", "c_name")
+    c = readers.spread(readers.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
     texts = F.array(*[splice(t, F.col("c_name"), F.col("c_custkey")) for t in SEEDS])
     return c.select(
         F.lit("seed").alias("src"), F.col("c_custkey").alias("key"), F.posexplode(texts).alias("ord", "text")
