@@ -83,13 +83,24 @@ def by_slide(issues: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return issues.groupBy(*(keys or ["doc_id"]), F.coalesce("page_index", F.lit(-1)).alias("page_index")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def by_rule_lists(issues: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Nested lists per family and rule, for the report sink: one document's issues per group."""
+def by_rule_lists(issues: DataFrame, keys: list[str] | None = None, part_size: int = 10_000) -> DataFrame:
+    """Nested lists per family and rule: ``(keys..., family, rule_name, part, issues)``.
+
+    A list that would pass ``part_size`` is spread over several parts, so one document with a large
+    share of all issues does not end up in one task. Parts follow a hash of the issue; nothing is
+    dropped, and almost every list has the single part 0.
+    """
+    keys = keys or ["doc_id"]
+    known = issues.withColumn("family", family(F.col("category"))).where("family is not null")
+    group = [*keys, "family", "rule_name"]
+    parts = known.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / part_size).cast("long").alias("_parts"))
     item = F.struct("page_index", "element_index", "severity", "found_text", "suggestion")
-    return (
-        issues.withColumn("family", family(F.col("category"))).where("family is not null")
-        .groupBy(*(keys or ["doc_id"]), "family", "rule_name").agg(F.sort_array(F.collect_list(item)).alias("issues"))
+    # The salt alone splits a hot list; it is folded to the number of parts after the join.
+    large = parts.where("_parts > 1")
+    salted = known.join(large, group, "left").withColumn(
+        "part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(item), F.col("_parts"))).otherwise(F.lit(0)).cast("long")
     )
+    return salted.groupBy(*group, "part").agg(F.sort_array(F.collect_list(item)).alias("issues"))
 
 
 def top_rules(issues: DataFrame, k: int = 10) -> DataFrame:
@@ -128,16 +139,17 @@ def document_summary(pages: DataFrame) -> DataFrame:
 
 
 def nested_report(documents: DataFrame, issues: DataFrame, stats: DataFrame) -> DataFrame:
-    """The report as one nested row per document, for ``sinks.write_reports``.
+    """The report as nested rows for ``sinks.write_reports``: one per document, and further ``part``
+    rows for a document with very many issues.
 
     Documents lead the joins, so one without issues still gets its report.
     """
-    nested = by_rule_lists(issues).groupBy("doc_id").agg(
+    nested = by_rule_lists(issues).groupBy("doc_id", "part").agg(
         F.sort_array(F.collect_list(F.struct("family", "rule_name", "issues"))).alias("issues_by_category")
     )
     totals = summary(issues)
     maps = breakdown_maps(issues, ["doc_id"])
     return (
         documents.join(stats, "doc_id", "left").join(totals, "doc_id", "left").join(maps, "doc_id", "left").join(nested, "doc_id", "left")
-        .fillna(0, [c for c in totals.columns if c != "doc_id"])
+        .fillna(0, ["part", *(c for c in totals.columns if c != "doc_id")])
     )

@@ -104,14 +104,15 @@ def en_dashes(c: Column, terms: Column | None = None) -> Column:
 
 
 def in_code_token(s: spans.Span) -> Column:
-    """Letters (at most one hyphen between) right before, or a letter or hyphen right after."""
-    return s.before.rlike(r"[A-Za-z]-?[A-Za-z]\z") | s.after.rlike(r"^[A-Za-z\-]")
+    """Letters (at most one hyphen between) right before, or a letter or hyphen right after. One line
+    break may stand between the letters and the number."""
+    return s.before.rlike(r"[A-Za-z]-?[A-Za-z]\n?\z") | s.after.rlike(r"^[A-Za-z\-]")
 
 
 def is_page_ref(s: spans.Span) -> Column:
     """``p``, ``p.``, ``pp`` or ``pp.`` in the three characters before."""
     left = F.right(F.concat(s.previous, s.before), F.lit(3))
-    return left.rlike(rf"(?i)(?:^|{tx.WS})pp?\.?\z")
+    return left.rlike(rf"(?i)(?:^|{tx.WS})pp?\.?\n?\z")
 
 
 def in_range(s: spans.Span) -> Column:

@@ -160,8 +160,10 @@ def p05(spark, sf):
 @query("p06_by_rule", f"{ISSUES} SELECT doc_id, {_FAMILY} AS family, rule_name, count(*) AS n, min(coalesce(page_index, -1)) AS first_page FROM issues WHERE {_FAMILY} IS NOT NULL GROUP BY ALL")
 def p06(spark, sf):
     i = corpus.stored_issues(spark, sf).withColumns({"page_index": F.coalesce("page_index", F.lit(-1)), "element_index": F.lit(0), "found_text": F.col("rule_name")})
-    nested = report.by_rule_lists(i)
-    return nested.select("doc_id", "family", "rule_name", F.size("issues").cast("long").alias("n"), F.get("issues", F.lit(0))["page_index"].alias("first_page"))
+    nested = report.by_rule_lists(i, part_size=3)
+    return nested.groupBy("doc_id", "family", "rule_name").agg(
+        F.sum(F.size("issues")).alias("n"), F.min(F.get("issues", F.lit(0))["page_index"]).alias("first_page")
+    )
 
 
 @query("p07_by_slide", f"{ISSUES} SELECT doc_id, coalesce(page_index, -1) AS page_index, count(*) AS n FROM issues GROUP BY ALL")

@@ -185,6 +185,18 @@ def a07(spark, sf):
     return counts.join(missing, "doc_id", "left").select("doc_id", "n_terms", F.coalesce("m", F.lit(False)).alias("is_missing"))
 
 
+@query("a08_template_catalogue", "SELECT DISTINCT lower(concat('Acme ', p_name, ' Template')) AS template FROM part")
+def a08(spark, sf):
+    """One JSON file per template, written from the part names, read back as a catalogue."""
+    out = shared_folder(spark, "templates")
+    named = readers.table(spark, sf, "part").select(F.concat(F.lit("Acme "), F.col("p_name"), F.lit(" Template")).alias("name")).distinct()
+    named.select(F.lit("pptx").alias("document_type"), "name").write.partitionBy("name").json(out)
+    # the folder stands for the file here, as part files cannot be named
+    found = spark.read.schema("document_type string").json(f"{out}/*").select(F.col("_metadata.file_path").alias("p"))
+    folder = F.url_decode(F.regexp_extract("p", r"name=([^/]+)/", 1))
+    return found.select(F.lower(folder).alias("template")).distinct()
+
+
 @query("a09_report_sink", (
     f"WITH {corpus.STORED_ISSUES_SQL} SELECT doc_id, count(*) FILTER (WHERE category IN ('grammar','word-list','tone','usage','formatting','filename')) AS total_issues, "
     "count(*) FILTER (WHERE category = 'tone') AS tone_issues FROM issues GROUP BY doc_id HAVING count(*) FILTER (WHERE category IN ('grammar','word-list','tone','usage','formatting','filename')) > 0"

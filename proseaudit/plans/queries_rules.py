@@ -186,8 +186,8 @@ _NUMBER_RUNS = (
     "numbers AS (SELECT src, key, ord, text, i, r[i] AS piece, CASE WHEN regexp_matches(r[i], '^[0-9]{1,2}$') THEN array_to_string(r[1:i-1], '') END AS pre, "
     "CASE WHEN regexp_matches(r[i], '^[0-9]{1,2}$') THEN array_to_string(r[i+1:], '') END AS post FROM each)"
 )
-_CODE = "(regexp_matches(pre, '[A-Za-z]-?[A-Za-z]$') OR regexp_matches(post, '^[A-Za-z-]'))"
-_PAGE = f"regexp_matches(right(pre, 3), '(?i)(^|{o.WS})pp?\\.?$')"
+_CODE = "(regexp_matches(pre, '[A-Za-z]-?[A-Za-z]\\n?$') OR regexp_matches(post, '^[A-Za-z-]'))"
+_PAGE = f"regexp_matches(right(pre, 3), '(?i)(^|{o.WS})pp?\\.?\\n?$')"
 _RANGE = "(regexp_matches(pre, '[-–]$') OR regexp_matches(post, '^[-–]'))"
 _OPEN = f"(?:{o.WS}|[\"''“‘(\\[{{])*"
 _START = f"regexp_matches(pre, '(^|[.!?:;]){_OPEN}$')"
@@ -229,8 +229,8 @@ _GROUP_SQL = (
     "concat(coalesce(r[i-2], ''), coalesce(r[i-1], '')) AS pre, coalesce(r[i+1], '') AS nxt FROM each), "
     "cut AS (SELECT *, substr(piece, length(num) + 1) AS tail, CAST(CASE WHEN num = '' THEN '0' ELSE num END AS HUGEINT) AS val FROM digits), "
     "rebuilt AS (SELECT src, key, ord, any_value(text) AS text, string_agg(CASE WHEN num <> '' AND NOT regexp_matches(tail, '^\\.[0-9]') "
-    "AND NOT (val BETWEEN 1900 AND 4000) AND NOT regexp_matches(pre, '[A-Za-z]-?[A-Za-z]$') AND NOT (tail = '' AND regexp_matches(nxt, '^[A-Za-z-]')) "
-    f"AND NOT regexp_matches(right(pre, 3), '(?i)(^|{o.WS})pp?\\.?$') THEN concat(format('{{:,}}', val), tail) ELSE piece END, '' ORDER BY i) AS suggestion FROM cut GROUP BY src, key, ord) "
+    "AND NOT (val BETWEEN 1900 AND 4000) AND NOT regexp_matches(pre, '[A-Za-z]-?[A-Za-z]\\n?$') AND NOT (tail = '' AND regexp_matches(nxt, '^[A-Za-z-]')) "
+    f"AND NOT regexp_matches(right(pre, 3), '(?i)(^|{o.WS})pp?\\.?\\n?$') THEN concat(format('{{:,}}', val), tail) ELSE piece END, '' ORDER BY i) AS suggestion FROM cut GROUP BY src, key, ord) "
     "SELECT src, key, ord, suggestion FROM rebuilt WHERE suggestion <> text"
 )
 _Q = "[\"''’”]"

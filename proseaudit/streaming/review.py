@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,17 +12,17 @@ from pyspark.sql import functions as F
 from proseaudit.plans import review
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the checkpoint directory the cluster names, for sinks and checkpoints.
 
     Only where none is set (local tests) a temporary one is made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{base.rstrip('/')}/proseaudit/{purpose}-{uuid.uuid4().hex}"
 
 
