@@ -95,7 +95,6 @@ def by_rule_lists(issues: DataFrame, keys: list[str] | None = None, part_size: i
     group = [*keys, "family", "rule_name"]
     parts = known.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / part_size).cast("long").alias("_parts"))
     item = F.struct("page_index", "element_index", "severity", "found_text", "suggestion")
-    # The salt alone splits a hot list; it is folded to the number of parts after the join.
     large = parts.where("_parts > 1")
     salted = known.join(large, group, "left").withColumn(
         "part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(item), F.col("_parts"))).otherwise(F.lit(0)).cast("long")
