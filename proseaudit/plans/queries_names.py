@@ -153,7 +153,7 @@ def l08(spark, sf):
 # --- file names ------------------------------------------------------------------------------------------------
 
 _NAMES = (
-    "acme {n} -apr 5 2025 -js.pptx", "acme {n} -apr 2025 -final.pptx", "draft acme {n} -apr 4 2025 -js.pdf", "govwin {n} -apr 5 2025.pdf",
+    "acme {n} -apr 5 2025 -js.pptx", "acme {n} -apr 2025 -final.pptx", "draft acme {n} -apr 4 2025 -js.pdf", "northco {n} -apr 5 2025.pdf",
     "Acme {n} -Apr 5 2025 -JS.pptx", "acme {n} may 2 2025 ab.pptx", "acme {n} -dec 15 2025 -final.pptx", "acme {n} draft -jan 8 2025 -mf.pptx",
     "acme-{n}-feb-2025-final.pptx", "acme {n} for john -apr 2025 -final.pptx", "acme report {n} v2 -jun 5 2025 -ab+ml.pptx", "{n}_final-v2.pptx",
     "acme {n} -apr 5 2025 -js -ml.pptx", "",
@@ -231,7 +231,7 @@ def _part(i, name):
 
 
 _OPTIONS_SQL = (
-    f"{_NAMES_SQL}, parts AS (SELECT id, v, name, s, CASE v WHEN 3 THEN concat('govwin ', p_name) WHEN 10 THEN concat('report ', p_name) ELSE p_name END AS title, {_part(0, 'month')} AS mon, {_part(1, 'day')} AS d, "
+    f"{_NAMES_SQL}, parts AS (SELECT id, v, name, s, CASE v WHEN 3 THEN concat('northco ', p_name) WHEN 10 THEN concat('report ', p_name) ELSE p_name END AS title, {_part(0, 'month')} AS mon, {_part(1, 'day')} AS d, "
     f"{_part(2, 'year')} AS y, {_part(3, 'initials')} AS ini FROM stems JOIN part ON id = p_partkey WHERE name <> ''), "
     "opts AS (SELECT *, [concat('draft acme ', title, ' -', mon, ' ', d, ' ', y, ' -', ini), concat('acme ', title, ' -', mon, ' ', d, ' ', y, ' -', ini), "
     "concat('acme ', title, ' -', mon, ' ', d, ' ', y, ' -', ini, ' -xx'), concat('acme ', title, ' -', mon, ' ', y, ' -final')] AS options FROM parts)"

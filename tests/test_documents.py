@@ -127,7 +127,7 @@ def test_colours_roles_names(one, spark):
     df = spark.createDataFrame([("Causal Analysis Framework Overview", 0), ("March 2025", 3), ("Jane Doe", 3), ("Jane Doe, Ann Poe", 3), ("notes", 3)], "t string, i int")
     roles = [r.r and (r.r.role, r.r.size) for r in df.select(visual.title_role(F.col("t"), F.col("i")).alias("r")).collect()]
     assert roles == [("Title", 40.0), ("Month and Year", 14.0), ("Technical Lead", 17.0), ("Project Manager", 28.0), None]
-    assert one(naming.naming_class, "acme marketing strategy -apr 5 2025 -js", "acme x -apr 2025 -final", "draft acme x -apr 4 2025 -js", "govwin annual report -apr 5 2025", "Acme x -apr 5 2025 -js", "acme x -apr 5 2025 -final", "acme x -apr 5 2025 -js -ml") == ["working", "final", "draft", "external", None, None, None]
+    assert one(naming.naming_class, "acme marketing strategy -apr 5 2025 -js", "acme x -apr 2025 -final", "draft acme x -apr 4 2025 -js", "northco annual report -apr 5 2025", "Acme x -apr 5 2025 -js", "acme x -apr 5 2025 -final", "acme x -apr 5 2025 -js -ml") == ["working", "final", "draft", "external", None, None, None]
     assert [len(x) == 0 for x in one(naming.folder_defects, "01 - Marketing", "1 - X", "1.1 - X", "01-Marketing", "Marketing")] == [True, False, False, False, False]
     assert one(naming.matching_name, "renewal_plan_final-v2.pptx") == ["real plan"]
     assert one(lambda c: naming.storage_name(c, F.lit(7)), "My Deck (v2).PPTX") == ["007_My_Deck_v2.pptx"]
