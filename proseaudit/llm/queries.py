@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proseaudit.llm import quality
+from proseaudit.llm import packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_quality_rules")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_mixture_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
