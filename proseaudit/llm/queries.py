@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proseaudit.llm import packing, quality
+from proseaudit.llm import line_dedup, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +35,15 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op5_line_dedup", line_dedup.SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, folder, "documents"))
+    return kept.select("doc_id", F.col("__line_n").alias("n_lines"), F.col("__line_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op10_mixing_weights")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = mixing.mix(table(spark, folder, "documents"))
+    return rows.select("doc_id", *[F.col(f"__{c}").alias(c) for c in mixing.MARGINS], F.col("__p").alias("probability"), F.col("__kept").alias("kept"))
