@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proseaudit.llm import line_dedup, mixing, packing, quality
+from proseaudit.llm import jaccard_join, line_dedup, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows, _ = mixing.mix(table(spark, folder, "documents"))
     return rows.select("doc_id", *[F.col(f"__{c}").alias(c) for c in mixing.MARGINS], F.col("__p").alias("probability"), F.col("__kept").alias("kept"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, folder, "documents")).drop("key")
