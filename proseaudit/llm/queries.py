@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proseaudit.llm import jaccard_join, line_dedup, mixing, packing, quality
+from proseaudit.llm import jaccard_join, line_dedup, mixing, packing, quality, recompression, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.classes(table(spark, folder, "documents")).drop("key")
+
+
+@query("op8_substring_recompression")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    kept = recompression.dedup(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffixes.dedup(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
