@@ -53,21 +53,24 @@ def occurrences(documents: DataFrame, min_words: int) -> DataFrame:
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """Distinct lines that share a half with another one: hash and first place."""
-    halves = distinct.select("h", F.explode(F.array_compact(F.array("a", "b", "c", "d"))).alias("half"))
+    """Distinct lines that share a half with another one: hash, first place, and whether they share a first and a last half."""
+    sides = F.array(*[F.struct(F.col(c).alias("half"), F.lit(c in "ac").alias("head")) for c in "abcd"])
+    halves = distinct.select("h", F.inline(sides)).where("half IS NOT NULL")
     shared = halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("half")
-    which = halves.join(shared, "half", "left_semi").select("h").distinct()
-    return distinct.select("h", "at").join(which, "h", "left_semi")
+    which = halves.join(shared, "half", "left_semi").groupBy("h").agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
+    return distinct.select("h", "at").join(which, "h")
 
 
 def near(documents: DataFrame, candidate: DataFrame) -> DataFrame:
     """Hashes of candidate lines that have an earlier near line."""
-    wanted = candidate.groupBy(F.col("at.key").alias("__line_key")).agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
+    wanted = candidate.groupBy(F.col("at.key").alias("__line_key")).agg(F.collect_list(F.struct("h", "at", "head", "tail")).alias("wanted"))
     texts = keyed(documents.select("doc_id", "text")).dropDuplicates(["__line_key"]).join(wanted, "__line_key").select("wanted", "text")
-    found = texts.select(F.explode(let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.element_at(lines, x["at"]["line"] + 1).alias("words"))))).alias("x"))
-    lines = store.written(found.select("x.h", "x.at", words_of(F.col("x.words")).alias("words")), "near-lines")
+    found = texts.select(F.explode(let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["head"].alias("head"), x["tail"].alias("tail"), F.element_at(lines, x["at"]["line"] + 1).alias("words"))))).alias("x"))
+    lines = store.written(found.select("x.h", "x.at", "x.head", "x.tail", words_of(F.col("x.words")).alias("words")), "near-lines")
+    half = F.floor((F.size("words") - 1) / 2).cast("int")  # a line that shares only its first half differs after it, and the other way round
+    first, last = F.when(F.col("tail"), 0).otherwise(half), F.size("words") - F.when(F.col("head"), 1).otherwise(half + 1)
     variants = lines.select("h", "at", F.explode(F.transform(
-        F.sequence(F.lit(-1), F.size("words") - 1),
+        F.concat(F.array(F.lit(-1)), F.sequence(first, last)),
         lambda i: F.struct(i.alias("i"), F.when(i < 0, F.xxhash64("words")).otherwise(F.xxhash64(without(F.col("words"), i))).alias("v")))).alias("x"))
     variants = store.written(variants.select("h", "at", "x.i", "x.v"), "variants")
     first = variants.groupBy("v", "i").agg(F.min("at").alias("first"))
