@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proseaudit.llm import jaccard_join, line_dedup, mixing, packing, quality, recompression, suffixes
+from proseaudit.llm import jaccard_join, line_dedup, mixing, packing, pii, quality, recompression, rollups, store, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,22 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     kept = suffixes.dedup(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, folder, "documents")))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimates first, exact counts as revisions, then toxic documents leave; the last batch is sent twice."""
+    rows = store.written(rollups.counted(table(spark, folder, "documents")), "counts")
+    totals = rollups.Rollup(spark, store.new_path(spark, "rollup"))
+    totals.commit(1, rollups.changes(rows, "insert", {"byte_bpe_50k": "n_bytes div 4", "words": "n_words"}))
+    totals.commit(2, rollups.changes(rows, "revise", {"byte_bpe_50k": "n_tokens"}))
+    toxic = table(spark, folder, "labels").where("toxic = 1").select("doc_id")
+    gone = rollups.changes(rows.join(toxic, "doc_id", "left_semi"), "delete", {"byte_bpe_50k": "0", "words": "0"})
+    for _ in range(2):
+        totals.commit(3, gone)
+    return totals.totals()
