@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proseaudit.llm import jaccard_join, line_dedup, mixing, packing, pii, quality, recompression, rollups, store, suffixes
+from proseaudit.llm import embedding_dedup, jaccard_join, line_dedup, mixing, packing, pii, quality, recompression, rollups, store, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     for _ in range(2):
         totals.commit(3, gone)
     return totals.totals()
+
+
+@query("op4_embedding_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, folder, "embeddings"))
