@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from proseaudit.llm import store
@@ -34,17 +37,12 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-class Union:
-    """Components within one group of a task."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.parent[max(i, j)] = min(i, j)
+def united(n: int, rows: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Within one group of a task: the smallest place connected with each of n places, given places and what each is linked to."""
+    label = np.arange(n)
+    for place, linked in rows:
+        met = label[linked]
+        low = min(label[place], met.min(initial=n))
+        if label[place] != low or (met != low).any():
+            label[np.isin(label, np.append(met, label[place]))] = low
+    return label

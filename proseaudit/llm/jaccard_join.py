@@ -4,7 +4,7 @@
    set are one from here on.
 2. Chosen path: a bucket is a path of (place, value) choices that depends on the path alone; a set goes to the children of the
    places drawn there, one or two of them with mean 1/threshold, whose value it has. Sets at the threshold so share one child
-   on average. Buckets of up to ``limit`` sets are compared by brute force on the vectors; larger ones are split again, and
+   on average. Buckets of up to ``limit`` sets (1 MB of vectors) are compared by brute force on the vectors; larger ones are split again, and
    what is still larger after ``depth`` steps, being alike throughout, is compared in blocks. No pair becomes a row:
    a bucket gives a star of links for each of its components.
 3. Batches of runs with new draws are repeated until a batch adds less than 1 - ``recall`` of the links that join candidate
@@ -149,14 +149,13 @@ def candidate_edges(sets: DataFrame, known: DataFrame | None, runs: range, width
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
             ids, least = rows.column(3).to_numpy(), _matrix(rows.column(4), width)
-            union = components.Union(len(ids))
-            for at in range(0, len(ids), 64):
-                same = (least[at: at + 64, None, :] == least[None, :, :]).sum(2) >= wanted
-                i, j = np.nonzero(same)
-                for x, y in zip((i + at).tolist(), j.tolist()):
-                    if x < y and union.parent[x] != union.parent[y]:
-                        union.join(x, y)
-            roots = np.array([union.root(i) for i in range(len(ids))])
+
+            def alike() -> Iterator[tuple[int, np.ndarray]]:
+                for at in range(0, len(ids), 64):
+                    same = (least[at: at + 64, None, :] == least[None, :, :]).sum(2, dtype=np.uint8) >= wanted
+                    yield from ((at + i, np.flatnonzero(row)) for i, row in enumerate(same))
+
+            roots = components.united(len(ids), alike())
             own = np.flatnonzero(roots != np.arange(len(ids)))
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[roots[own]])], ["a", "b"])
@@ -215,10 +214,7 @@ def exact_links(documents: DataFrame, sets: DataFrame, known: DataFrame, thresho
             if len(ids) > 1 and block.min() != block.max():  # pairs within a block are the business of the block with itself
                 linked &= block[:, None] != block[None, :]
             np.fill_diagonal(linked, False)
-            union = components.Union(len(ids))
-            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked)))):
-                union.join(i, j)
-            roots = np.array([union.root(i) for i in range(len(ids))])
+            roots = components.united(len(ids), ((i, np.flatnonzero(linked[i])) for i in np.flatnonzero(linked.any(1)).tolist()))
             on = np.flatnonzero(linked.any(1))
             if len(on):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array((linked @ size)[on].astype(np.int64)), pa.array(ids[roots[on]])], ["set", "links", "root"])
@@ -247,7 +243,7 @@ def similar(sets: list[np.ndarray], threshold: float, width: int = 8192) -> np.n
 
 
 def classes(
-    documents: DataFrame, threshold: float = 0.8, recall: float = 0.999, width: int = 64, slack: float = 0.17, runs: int = 6, limit: int = 512,
+    documents: DataFrame, threshold: float = 0.8, recall: float = 0.999, width: int = 64, slack: float = 0.17, runs: int = 6, limit: int = 4096,
     depth: int = 5, most: int = 5,
 ) -> DataFrame:
     """One row per document: ``doc_id, key`` (of id and text), ``class_id`` (smallest id of its class) and ``n_links``."""
