@@ -117,12 +117,11 @@ FIGURES = rf"{tx.BEFORE}[0-9]+(?:%(?={tx.WORD})|{tx.AFTER})"
 ACRONYMS = tx.any_word(lx.TECH_TERMS)
 
 
-def facts(c: Column) -> Column:
-    """Up to three names, two figures and two technical terms, distinct, at most five."""
-    picked = F.concat(
-        F.slice(spans.matches(c, NAMES), 1, 3),
-        F.slice(spans.matches(c, FIGURES), 1, 2),
-        F.slice(spans.matches(c, ACRONYMS), 1, 2),
-    )
-    return F.slice(F.array_distinct(picked), 1, 5)
+def facts(c: Column, names: int | None = None, figures: int | None = None, terms: int | None = None, most: int | None = None) -> Column:
+    """Names, figures and technical terms, distinct, in this order; each kind and all together may be limited to the first ones."""
+    def first(found: Column, n: int | None) -> Column:
+        return found if n is None else F.slice(found, 1, n)
+
+    kinds = ((NAMES, names), (FIGURES, figures), (ACRONYMS, terms))
+    return first(F.array_distinct(F.concat(*[first(spans.matches(c, pattern), n) for pattern, n in kinds])), most)
 

@@ -63,20 +63,21 @@ def containing_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text:
 
 
 def occurring_terms(
-    texts: DataFrame, protected: DataFrame, key: str = "doc_id", text: str = "text", per_kind: int = 50, cap: int = 150
+    texts: DataFrame, protected: DataFrame, key: str = "doc_id", text: str = "text", per_kind: int | None = None, cap: int | None = None
 ) -> DataFrame:
-    """Per document: terms among the first ``per_kind`` of each kind that occur in its texts, longest
-    first, at most ``cap``. Rank filters on a window are limited before the shuffle by the optimizer."""
-    first = (
-        protected.withColumn("_n", F.row_number().over(Window.partitionBy(key, "kind").orderBy("pos")))
-        .where(F.col("_n") <= per_kind).groupBy(key).agg(F.collect_set("term").alias("_terms"))
-    )
+    """Per document: its protected terms that occur in its texts, longest first.
+
+    ``per_kind`` keeps only the first terms of each kind and ``cap`` only the longest hits; both are off by default."""
+    if per_kind is not None:
+        protected = protected.withColumn("_n", F.row_number().over(Window.partitionBy(key, "kind").orderBy("pos"))).where(F.col("_n") <= per_kind)
+    first = protected.groupBy(key).agg(F.collect_set("term").alias("_terms"))
     c = F.col(text)
     hit = texts.join(first, key).select(
         key, F.explode(F.filter("_terms", lambda t: (t != "") & F.contains(c, t))).alias("term")
     )
     longest = Window.partitionBy(key).orderBy(F.length("term").desc(), "term")
-    return hit.distinct().withColumn("rank", F.row_number().over(longest)).where(F.col("rank") <= cap)
+    ranked = hit.distinct().withColumn("rank", F.row_number().over(longest))
+    return ranked if cap is None else ranked.where(F.col("rank") <= cap)
 
 
 def replace_by_table(df: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", max_words: int = 3) -> DataFrame:

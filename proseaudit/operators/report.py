@@ -42,10 +42,10 @@ def breakdown_maps(issues: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(as_map("severity"), as_map("category"), as_map("rule"))
 
 
-def tallies(issues: DataFrame, keys: list[str], column: str, values: tuple[str, ...]) -> DataFrame:
-    """Fixed keys, zero where nothing was found."""
+def tallies(issues: DataFrame, keys: list[str], columns: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Counts of fixed values of some columns in one pass, zero where nothing was found."""
     return issues.groupBy(*keys).agg(*[
-        F.count_if(F.col(column) == v).alias(v.replace("-", "_")) for v in values
+        F.count_if(F.col(column) == v).alias(v.replace("-", "_")) for column, values in columns.items() for v in values
     ])
 
 
@@ -83,23 +83,16 @@ def by_slide(issues: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return issues.groupBy(*(keys or ["doc_id"]), F.coalesce("page_index", F.lit(-1)).alias("page_index")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def by_rule_lists(issues: DataFrame, keys: list[str] | None = None, part_size: int = 10_000) -> DataFrame:
+def by_rule_lists(issues: DataFrame, keys: list[str] | None = None, parts: int = 8) -> DataFrame:
     """Nested lists per family and rule: ``(keys..., family, rule_name, part, issues)``.
 
-    A list that would pass ``part_size`` is spread over several parts, so one document with a large
-    share of all issues does not end up in one task. Parts follow a hash of the issue; nothing is
-    dropped, and almost every list has the single part 0.
+    Every list comes in up to ``parts`` parts by a hash of the issue, at any size, so one document with a large share of all issues
+    never ends up in one task.
     """
     keys = keys or ["doc_id"]
-    known = issues.withColumn("family", family(F.col("category"))).where("family is not null")
-    group = [*keys, "family", "rule_name"]
-    parts = known.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / part_size).cast("long").alias("_parts"))
     item = F.struct("page_index", "element_index", "severity", "found_text", "suggestion")
-    large = parts.where("_parts > 1")
-    salted = known.join(large, group, "left").withColumn(
-        "part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(item), F.col("_parts"))).otherwise(F.lit(0)).cast("long")
-    )
-    return salted.groupBy(*group, "part").agg(F.sort_array(F.collect_list(item)).alias("issues"))
+    known = issues.withColumn("family", family(F.col("category"))).where("family is not null").withColumn("part", F.pmod(F.xxhash64(item), F.lit(parts)))
+    return known.groupBy(*keys, "family", "rule_name", "part").agg(F.sort_array(F.collect_list(item)).alias("issues"))
 
 
 def top_rules(issues: DataFrame, k: int = 10) -> DataFrame:
@@ -120,13 +113,18 @@ def severity_share(issues: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("percent", F.round(F.lit(100.0) * F.col("n") / total, 1))
 
 
-def filter_findings(issues: DataFrame, severity: str = "all", category: str = "all") -> DataFrame:
-    out = issues
+def finding_filter(severity: str = "all", category: str = "all") -> Column:
+    """Condition for a findings table; ``all`` does not filter."""
+    test = F.lit(True)
     if severity != "all":
-        out = out.where(F.col("severity") == severity)
+        test = test & (F.col("severity") == severity)
     if category != "all":
-        out = out.where(F.col("category") == category)
-    return out
+        test = test & (F.col("category") == category)
+    return test
+
+
+def filter_findings(issues: DataFrame, severity: str = "all", category: str = "all") -> DataFrame:
+    return issues.where(finding_filter(severity, category))
 
 
 def document_summary(pages: DataFrame) -> DataFrame:
@@ -137,18 +135,12 @@ def document_summary(pages: DataFrame) -> DataFrame:
     )
 
 
-def nested_report(documents: DataFrame, issues: DataFrame, stats: DataFrame) -> DataFrame:
-    """The report as nested rows for ``sinks.write_reports``: one per document, and further ``part``
-    rows for a document with very many issues.
-
-    Documents lead the joins, so one without issues still gets its report.
-    """
-    nested = by_rule_lists(issues).groupBy("doc_id", "part").agg(
-        F.sort_array(F.collect_list(F.struct("family", "rule_name", "issues"))).alias("issues_by_category")
-    )
+def nested_report(documents: DataFrame, issues: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The report as two tables: totals, one row per document, with or without issues; and nested issue lists, ``(doc_id, part, issues_by_category)``."""
     totals = summary(issues)
     maps = breakdown_maps(issues, ["doc_id"])
-    return (
-        documents.join(stats, "doc_id", "left").join(totals, "doc_id", "left").join(maps, "doc_id", "left").join(nested, "doc_id", "left")
-        .fillna(0, ["part", *(c for c in totals.columns if c != "doc_id")])
+    whole = documents.join(stats, "doc_id", "left").join(totals, "doc_id", "left").join(maps, "doc_id", "left")
+    nested = by_rule_lists(issues).groupBy("doc_id", "part").agg(
+        F.sort_array(F.collect_list(F.struct("family", "rule_name", "issues"))).alias("issues_by_category")
     )
+    return whole.fillna(0, [c for c in totals.columns if c != "doc_id"]), nested

@@ -153,8 +153,12 @@ def sentences(elements: DataFrame) -> DataFrame:
     return elements.where(tx.strip("text") != "").select(*keep, F.posexplode(sentence_array(F.col("text"))).alias("sent_index", "sentence"))
 
 
-def chunks(c: Column, width: int) -> Column:
-    """``array<struct<chunk_index, chunk>>`` of fixed-width pieces."""
+CHUNK_FLOOR = 20_000
+
+
+def chunks(c: Column, width: int, floor: int = CHUNK_FLOOR) -> Column:
+    """``array<struct<chunk_index, chunk>>`` of fixed-width pieces, of ``floor`` characters at least."""
+    width = max(width, floor)
     count = F.ceil(F.length(c) / F.lit(width)).cast("int")
     return F.when(
         count > 0,

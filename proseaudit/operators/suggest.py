@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from proseaudit.functions import gates, rewrite, spans, validate
 from proseaudit.functions import text as tx
 from proseaudit.operators.stage import settle
+from proseaudit.sources import sinks
 
 REWRITTEN = ("positive_language", "active_voice", "specificity", "inclusivity")
 
@@ -80,27 +81,21 @@ def parse_reported(responses: DataFrame, keys: list[str], content: str = "conten
     )
 
 
-def number_lines(items: DataFrame, keys: list[str], order: str, size: int, block: int = 4096) -> DataFrame:
-    """Adds ``batch`` (0-based) and ``line`` (1-based in the batch) per queue, ordered by ``order``.
+def number_lines(items: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
+    """Adds ``batch`` (0-based) and ``line`` (1-based in the batch) per queue, both long, ordered by the columns ``order``.
 
-    ``order`` is a unique non-negative integer inside a queue. A queue may hold a large share of all
-    rows, so it is never ordered as a whole: rows are ranked inside blocks of ``block`` order values
-    and shifted by the number of rows in the blocks before.
+    A queue may hold most rows, so it is never ordered as a whole. Rows are dealt out by range of queue and order into a table, ranked within their
+    part of it, and shifted by the rows of the queue in the parts before. A window sees one part, or one row per part.
     """
-    blocked = items.withColumn("_block", F.floor(F.col(order) / block))
-    counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order))
+    placed = items.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    rows = sinks.written(placed, "numbered")
+    counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
     index = F.col("_shift") + F.col("_rank") - 1
-    return (
-        blocked.withColumn("_rank", rank).join(shifts, [*keys, "_block"])
-        .select(
-            *items.columns,
-            F.floor(index / size).cast("long").alias("batch"),
-            (F.pmod(index, F.lit(size)) + 1).cast("int").alias("line"),
-        )
-    )
+    return rows.withColumn("_rank", rank).join(shifts, [*keys, "_part"]).select(
+        *items.columns, F.floor(index / size).cast("long").alias("batch"), (F.pmod(index, F.lit(size)) + 1).cast("long").alias("line"))
 
 
 def add_suggestions(issues: DataFrame, candidate: str | None = None) -> DataFrame:

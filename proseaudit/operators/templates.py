@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from proseaudit.functions import lexicons as lx
 from proseaudit.functions import naming
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched characters over the total length, by longest common blocks.
-
-    The only Python in the library: the block matching has no built-in counterpart. Called on
-    distinct names that neither matched exactly nor by keyword.
-    """
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
 def edit_ratio(a: Column, b: Column) -> Column:
-    """Built-in alternative on edit distance; no Python."""
+    """1 for equal texts, less by each edit in proportion to the longer one."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
@@ -49,26 +35,29 @@ def default_template(available: list[str], lead: str = lx.LEAD_WORD) -> str | No
     return min(available) if available else None
 
 
-def best_by_ratio(names: DataFrame, available: list[str], clean: str = "clean", ratio=sequence_ratio) -> DataFrame:
+def best_by_ratio(names: DataFrame, available: list[str], clean: str = "clean") -> DataFrame:
     """``(clean, template, ratio)``: the best template per distinct name, ties to the first by name.
 
     Templates are a short list of literals, so candidates are an array in the row, not a join.
     """
     pairs = names.select(clean).distinct().select(clean, F.explode(F.array(*[F.lit(t) for t in available])).alias("template"))
-    scored = pairs.withColumn("ratio", ratio(F.col(clean), F.col("template")))
+    scored = pairs.withColumn("ratio", edit_ratio(F.col(clean), F.col("template")))
     best = scored.groupBy(clean).agg(F.min(F.struct((-F.col("ratio")).alias("neg"), F.col("template").alias("t"))).alias("b"))
     return best.select(clean, F.col("b.t").alias("template"), (-F.col("b.neg")).alias("ratio"))
 
 
 def match_templates(
-    files: DataFrame, available: list[str], name: str = "filename", threshold: float = 0.6, lead: str = lx.LEAD_WORD, ratio=sequence_ratio
+    files: DataFrame, available: list[str], name: str = "filename", threshold: float = 0.6, lead: str = lx.LEAD_WORD
 ) -> DataFrame:
-    """Adds ``clean``, ``template`` and ``strategy`` (exact, keyword, fuzzy, default)."""
+    """Adds ``clean``, ``template`` and ``strategy`` (exact, keyword, fuzzy, default).
+
+    A fuzzy match needs an edit ratio of ``threshold``: two fifths of the longer name may differ.
+    """
     named = files.withColumn("clean", naming.matching_name(F.col(name))).withColumns({
         "_exact": F.when(F.col("clean").isin(*available), F.col("clean")),
     }).withColumn("_keyword", keyword_template(F.col("clean"), lead, available))
     open_names = named.where(F.col("_exact").isNull() & F.col("_keyword").isNull())
-    fuzzy = best_by_ratio(open_names, available, ratio=ratio).where(F.col("ratio") >= threshold).select(
+    fuzzy = best_by_ratio(open_names, available).where(F.col("ratio") >= threshold).select(
         "clean", F.col("template").alias("_fuzzy")
     )
     default = F.lit(default_template(available, lead)).cast("string")

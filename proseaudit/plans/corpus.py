@@ -74,11 +74,11 @@ def splice_sql(template: str, name: str, key: str) -> str:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.spread(readers.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return readers.table(spark, sf, "documents").select("doc_id", "text")
 
 
 def seeded(spark: SparkSession, sf: str) -> DataFrame:
-    c = readers.spread(readers.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
+    c = readers.table(spark, sf, "customer").select("c_custkey", "c_name")
     texts = F.array(*[splice(t, F.col("c_name"), F.col("c_custkey")) for t in SEEDS])
     return c.select(
         F.lit("seed").alias("src"), F.col("c_custkey").alias("key"), F.posexplode(texts).alias("ord", "text")

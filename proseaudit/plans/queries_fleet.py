@@ -86,12 +86,12 @@ def n08(spark, sf):
 
 
 @query("n09_member_roles", (
-    "WITH g AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS groups, count(*) AS n FROM events WHERE event_id % 97 < 5 GROUP BY user_id) "
+    "WITH g AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS groups, count(*) AS n FROM events GROUP BY user_id) "
     "SELECT user_id, CASE WHEN list_contains(groups, 'purchase') THEN 'admin' ELSE 'user' END AS role, list_contains(groups, 'purchase') OR list_contains(groups, 'signup') AS has_access FROM g"
 ))
 def n09(spark, sf):
     """Event types as group memberships of a user."""
-    e = readers.table(spark, sf, "events").where("event_id % 97 < 5").select("user_id", "event_type").distinct()
+    e = readers.table(spark, sf, "events").select("user_id", "event_type").distinct()
     g = e.groupBy("user_id").agg(F.collect_list("event_type").alias("groups"))
     return g.select("user_id", fleet.member_role(F.col("groups"), "purchase").alias("role"), fleet.has_access(F.col("groups"), "purchase", "signup").alias("has_access"))
 
@@ -116,8 +116,7 @@ def p01(spark, sf):
     + ", ".join(f"count(*) FILTER (WHERE category = '{v}') AS {v.replace('-', '_')}" for v in report.CATEGORIES) + " FROM issues GROUP BY doc_id"
 ))
 def p02(spark, sf):
-    i = corpus.stored_issues(spark, sf)
-    return report.tallies(i, ["doc_id"], "severity", report.SEVERITIES).join(report.tallies(i, ["doc_id"], "category", report.CATEGORIES), "doc_id")
+    return report.tallies(corpus.stored_issues(spark, sf), ["doc_id"], {"severity": report.SEVERITIES, "category": report.CATEGORIES})
 
 
 _ELEMENTS_SQL = (
@@ -160,7 +159,7 @@ def p05(spark, sf):
 @query("p06_by_rule", f"{ISSUES} SELECT doc_id, {_FAMILY} AS family, rule_name, count(*) AS n, min(coalesce(page_index, -1)) AS first_page FROM issues WHERE {_FAMILY} IS NOT NULL GROUP BY ALL")
 def p06(spark, sf):
     i = corpus.stored_issues(spark, sf).withColumns({"page_index": F.coalesce("page_index", F.lit(-1)), "element_index": F.lit(0), "found_text": F.col("rule_name")})
-    nested = report.by_rule_lists(i, part_size=3)
+    nested = report.by_rule_lists(i)
     return nested.groupBy("doc_id", "family", "rule_name").agg(
         F.sum(F.size("issues")).alias("n"), F.min(F.get("issues", F.lit(0))["page_index"]).alias("first_page")
     )
@@ -285,8 +284,9 @@ def p15(spark, sf):
 ))
 def c15(spark, sf):
     i = corpus.stored_issues(spark, sf)
-    make = lambda s, c, w: report.filter_findings(i, s, c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("which"), "n")
-    return make("warning", "tone", "both").unionByName(make("warning", "all", "severity")).unionByName(make("all", "all", "all"))
+    cases = {"both": ("warning", "tone"), "severity": ("warning", "all"), "all": ("all", "all")}
+    counts = i.agg(*[F.count_if(report.finding_filter(*c)).alias(w) for w, c in cases.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(w).alias("which"), F.col(w).alias("n")) for w in cases])))
 
 
 @query("s16_found_text_display", f"WITH {corpus.LINES_SQL} SELECT src, key, ord, CASE WHEN length(text) > 80 THEN concat(substr(text, 1, 80), '...') ELSE text END AS shown FROM lines")
@@ -299,12 +299,9 @@ def s16(spark, sf):
     f"{ISSUES} SELECT {_FAMILY} AS family, count(*) AS n, count(score) AS n_scored FROM (SELECT *, CASE WHEN category = 'tone' THEN 1.0 END AS score FROM issues) WHERE {_FAMILY} IS NOT NULL GROUP BY 1"
 ))
 def p22(spark, sf):
-    """Families as separate tables with different columns, united."""
-    i = corpus.stored_issues(spark, sf).withColumn("family", report.family(F.col("category")))
-    parts = [i.where(F.col("family") == f) for f in ("grammar", "usage", "formatting", "filename")]
-    out = i.where(F.col("family") == "tone").withColumn("score", F.lit(1.0))
-    for p in parts:
-        out = out.unionByName(p, allowMissingColumns=True)
+    """All families in one table, in one pass; a column that only one family has is null for the others."""
+    i = corpus.stored_issues(spark, sf).withColumn("family", report.family(F.col("category"))).where("family is not null")
+    out = i.withColumn("score", F.when(F.col("family") == "tone", 1.0))
     return out.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"))
 
 
@@ -314,9 +311,9 @@ def p23(spark, sf):
     return flatten.dedupe_terms(e, ["user_id"])
 
 
-@query("p24_longest_terms", "SELECT p_name AS term FROM part GROUP BY p_name ORDER BY length(p_name) DESC, p_name LIMIT 150")
+@query("p24_longest_terms", "SELECT p_name AS term FROM part GROUP BY p_name ORDER BY length(p_name) DESC, p_name")
 def p24(spark, sf):
-    return readers.table(spark, sf, "part").select(F.col("p_name").alias("term")).distinct().orderBy(F.length("term").desc(), "term").limit(150)
+    return readers.table(spark, sf, "part").select(F.col("p_name").alias("term")).distinct().orderBy(F.length("term").desc(), "term")
 
 
 # --- fleet -----------------------------------------------------------------------------------------------------------------

@@ -13,7 +13,6 @@ from proseaudit.plans import corpus, review
 from proseaudit.plans import oracle as o
 from proseaudit.plans.registry import query
 from proseaudit.sources import readers, schemas, sinks
-from proseaudit.streaming.review import shared_folder
 
 LONG = lambda c: F.col(c).cast("long").alias(c)
 
@@ -47,7 +46,7 @@ def normalized(spark, sf) -> DataFrame:
     )
     page = F.struct(
         F.col("page_index").alias("index"), F.concat(F.lit("Turn "), F.col("page_index").cast("string")).alias("title"),
-        F.when(F.col("role") == "assistant", F.substring("raw_text", 1, 20)).otherwise(none).alias("notes"),
+        F.when(F.col("role") == "assistant", F.col("raw_text")).otherwise(none).alias("notes"),
         F.concat(F.upper("role"), F.lit(" layout")).alias("layout_info"),
         F.transform(F.split("raw_text", "\n", -1), item).alias("elements"),
     )
@@ -176,7 +175,7 @@ def b21(spark, sf):
 @query("a07_protection_cache", f"WITH {_TERMS_SQL} SELECT doc_id, count(*) AS n_terms, doc_id % 2 = 1 AS is_missing FROM terms GROUP BY doc_id")
 def a07(spark, sf):
     """Save the terms of the even documents, load the cache, find the documents it lacks."""
-    out = shared_folder(spark, "protection")
+    out = sinks.shared_folder(spark, "protection")
     terms = readers.protection_terms(term_json(spark, sf), "json")
     sinks.save_protection(terms.where("doc_id % 2 = 0"), out, buckets=8)
     cached = spark.read.parquet(out)
@@ -187,14 +186,11 @@ def a07(spark, sf):
 
 @query("a08_template_catalogue", "SELECT DISTINCT lower(concat('Acme ', p_name, ' Template')) AS template FROM part")
 def a08(spark, sf):
-    """One JSON file per template, written from the part names, read back as a catalogue."""
-    out = shared_folder(spark, "templates")
-    named = readers.table(spark, sf, "part").select(F.concat(F.lit("Acme "), F.col("p_name"), F.lit(" Template")).alias("name")).distinct()
-    named.select(F.lit("pptx").alias("document_type"), "name").write.partitionBy("name").json(out)
-    # the folder stands for the file here, as part files cannot be named
-    found = spark.read.schema("document_type string").json(f"{out}/*").select(F.col("_metadata.file_path").alias("p"))
-    folder = F.url_decode(F.regexp_extract("p", r"name=([^/]+)/", 1))
-    return found.select(F.lower(folder).alias("template")).distinct()
+    """A catalogue of templates, written from the part names as JSON lines with a name column, and read back."""
+    out = sinks.shared_folder(spark, "templates")
+    named = readers.table(spark, sf, "part").select(F.concat(F.lit("Acme "), F.col("p_name"), F.lit(" Template")).alias("name"))
+    named.select(F.lit("pptx").alias("document_type"), "name").write.json(out)
+    return spark.read.schema("document_type string, name string").json(out).select(F.lower("name").alias("template")).distinct()
 
 
 @query("a09_report_sink", (
@@ -205,16 +201,20 @@ def a09(spark, sf):
     """Nested reports written as JSON lines and read back."""
     issues = corpus.stored_issues(spark, sf).withColumn("element_index", F.lit(0)).withColumn("found_text", F.col("rule_name"))
     docs = issues.where(report.family(F.col("category")).isNotNull()).select("doc_id").distinct()
-    nested = report.nested_report(docs, issues, docs.withColumn("total_pages", F.lit(1)))
-    out = shared_folder(spark, "reports")
-    sinks.write_reports(nested, out)
-    return spark.read.schema("doc_id long, total_issues long, tone_issues long").json(out)
+    totals, nested = report.nested_report(docs, issues, docs.withColumn("total_pages", F.lit(1)))
+    out = sinks.shared_folder(spark, "reports")
+    sinks.write_reports(totals, f"{out}/totals")
+    sinks.write_reports(nested, f"{out}/issues")
+    items = spark.read.schema("doc_id long, issues_by_category array<struct<family:string,issues:array<struct<severity:string>>>>").json(f"{out}/issues")
+    listed = items.select("doc_id", F.explode("issues_by_category").alias("c")).where("c.family = 'tone'").groupBy("doc_id").agg(F.sum(F.size("c.issues")).alias("tone_issues"))
+    totals = spark.read.schema("doc_id long, total_issues long").json(f"{out}/totals")
+    return totals.join(listed, "doc_id", "left").select("doc_id", "total_issues", F.coalesce("tone_issues", F.lit(0)).alias("tone_issues"))
 
 
 @query("a10_append_sink", f"WITH {corpus.STORED_ISSUES_SQL} SELECT category, 2 * count(*) AS n FROM issues GROUP BY category")
 def a10(spark, sf):
     """Two appends to a partitioned table."""
-    out = shared_folder(spark, "issues")
+    out = sinks.shared_folder(spark, "issues")
     rows = corpus.stored_issues(spark, sf)
     sinks.append_table(rows, out, ["category"])
     sinks.append_table(rows, out, ["category"])
@@ -259,7 +259,7 @@ def b01(spark, sf):
 
 @query("b02_speaker_notes", (
     f"WITH {_TURN_SQL} SELECT doc_id, page_index, ord, role AS element_type, text FROM els UNION ALL "
-    f"SELECT doc_id, page_index, CAST(len(l) AS BIGINT), 'notes', substr(raw_text, 1, 20) FROM turns WHERE role = 'assistant' AND {o.strip('substr(raw_text, 1, 20)')} <> ''"
+    f"SELECT doc_id, page_index, CAST(len(l) AS BIGINT), 'notes', raw_text FROM turns WHERE role = 'assistant' AND {o.strip('raw_text')} <> ''"
 ))
 def b02(spark, sf):
     docs = normalized(spark, sf)
@@ -438,8 +438,8 @@ def b16(spark, sf):
 
 
 @query("b18_fixed_chunks", (
-    "SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS chunk FROM "
-    "(SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS i FROM documents)"
+    "SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 20000 + 1 AS BIGINT), 20000) AS chunk FROM "
+    "(SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 20000.0) AS BIGINT))) AS i FROM documents)"
 ))
 def b18(spark, sf):
     return corpus.documents(spark, sf).select("doc_id", F.inline(segment.chunks(F.col("text"), 2000))).select("doc_id", LONG("chunk_index"), "chunk")
@@ -556,10 +556,9 @@ def b27(spark, sf):
 def b28(spark, sf):
     """Numbers for the unprocessed uploads, after the highest processed one."""
     up = corpus.uploads(spark, sf)
-    top = up.where("processed_at is not null").agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"), F.lit(1).alias("one"))
-    fresh = up.where("processed_at is null").select("id", F.lit(1).alias("one"))
-    placed = suggest.number_lines(fresh, ["one"], "id", 1 << 40, block=1 << 20)
-    return placed.join(top, "one").select("id", (F.col("top") + F.col("line")).alias("next_id"))
+    top = up.where("processed_at is not null").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    placed = suggest.number_lines(up.where("processed_at is null").select("id"), [], ["id"], 1 << 62)
+    return placed.select("id", (F.lit(top) + F.col("line")).alias("next_id"))
 
 
 @query("b29_location", f"WITH {_TURN_SQL} SELECT doc_id, page_index, ord, concat('slide ', CAST(page_index AS VARCHAR), ' - element ', CAST(ord AS VARCHAR)) AS location FROM els")

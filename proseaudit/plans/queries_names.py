@@ -161,7 +161,7 @@ _NAMES = (
 
 
 def names(spark, sf) -> DataFrame:
-    p = readers.spread(readers.table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    p = readers.table(spark, sf, "part").select("p_partkey", "p_name")
     filled = F.array(*[F.concat(*[x for piece in [t.split("{n}")] for i, s in enumerate(piece) for x in ([F.col("p_name")] if i else []) + [F.lit(s)]]) for t in _NAMES])
     return p.select(F.col("p_partkey").alias("id"), F.posexplode(filled).alias("v", "name")).withColumn("v", F.col("v").cast("long"))
 
@@ -205,7 +205,7 @@ _FOLDERS = ("01 - {n}", "1 - {n}", "1.1 - {n}", "01-{n}", "{n}", "00 - archive",
 
 
 def folders(spark, sf) -> DataFrame:
-    p = readers.spread(readers.table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    p = readers.table(spark, sf, "part").select("p_partkey", "p_name")
     filled = F.array(*[F.concat(F.lit(t.partition("{n}")[0]), F.col("p_name") if "{n}" in t else F.lit("")) for t in _FOLDERS])
     return p.select(F.col("p_partkey").alias("id"), F.posexplode(filled).alias("v", "name")).withColumn("v", F.col("v").cast("long"))
 
@@ -292,7 +292,7 @@ _FILES = ("acme ipr template.pptx", "{n} overview.pptx", "{n}_general_summary.pp
 
 
 def files(spark, sf) -> DataFrame:
-    p = readers.spread(readers.table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    p = readers.table(spark, sf, "part").select("p_partkey", "p_name")
     filled = F.array(*[F.concat(F.lit(t.partition("{n}")[0]), F.col("p_name") if "{n}" in t else F.lit(""), F.lit(t.partition("{n}")[2])) for t in _FILES])
     return p.select(F.col("p_partkey").alias("id"), F.posexplode(filled).alias("v", "filename")).withColumn("v", F.col("v").cast("long"))
 
@@ -319,21 +319,14 @@ _MATCH_SQL = (
     "FROM clean c LEFT JOIN best b ON c.clean = b.clean"
 ))
 def m10(spark, sf):
-    return templates.match_templates(files(spark, sf), _TEMPLATES, ratio=templates.edit_ratio).select("id", "v", "template", "strategy")
+    return templates.match_templates(files(spark, sf), _TEMPLATES).select("id", "v", "template", "strategy")
 
 
 @query("m11_edit_ratio", f"WITH {_MATCH_SQL} SELECT clean, t AS template, round(ratio, 6) AS ratio FROM best")
 def m11(spark, sf):
     clean = files(spark, sf).withColumn("clean", naming.matching_name(F.col("filename")))
     open_names = clean.where(~F.col("clean").isin(*_TEMPLATES) & templates.keyword_template(F.col("clean")).isNull())
-    return templates.best_by_ratio(open_names, _TEMPLATES, ratio=templates.edit_ratio).withColumn("ratio", F.round("ratio", 6))
-
-
-@query("m11_sequence_ratio")
-def m11_sequence(spark, sf):
-    """The block-matching ratio; tested against the standard library."""
-    clean = files(spark, sf).withColumn("clean", naming.matching_name(F.col("filename")))
-    return templates.best_by_ratio(clean, _TEMPLATES)
+    return templates.best_by_ratio(open_names, _TEMPLATES).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("m12_template_lookup", (

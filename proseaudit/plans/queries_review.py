@@ -11,7 +11,7 @@ from proseaudit.plans import oracle as o
 from proseaudit.plans import queries_model as qm
 from proseaudit.plans import queries_rules as qr
 from proseaudit.plans.registry import query
-from proseaudit.sources import readers
+from proseaudit.sources import readers, sinks
 from proseaudit.streaming import progress
 from proseaudit.streaming import review as live
 
@@ -99,7 +99,7 @@ def _events(spark, sf) -> DataFrame:
 @query("r01_progress_events", f"WITH {_PROGRESS_SQL} SELECT event_id, stage, progress FROM progress")
 def r01(spark, sf):
     """Stage events with their percentage, through a stream."""
-    out = live.shared_folder(spark, "progress")
+    out = sinks.shared_folder(spark, "progress")
     live.drain(_progress(_events(spark, sf)), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select("event_id", "stage", F.col("progress").cast("long").alias("progress"))
 
@@ -116,10 +116,10 @@ def _latest(df: DataFrame) -> DataFrame:
 
 @query("r02_latest_state", _LATEST_SQL)
 def r02(spark, sf):
-    """Latest stage per file as a stateful stream in update mode."""
-    out = live.shared_folder(spark, "latest")
-    live.drain_updates(progress.latest_state(_progress(_events(spark, sf)), "30 days"), f"{out}/rows", f"{out}/checkpoint")
-    return _latest(live.latest_update(spark, f"{out}/rows", "file_id"))
+    """Latest stage per file of a stream, without streaming state."""
+    out = sinks.shared_folder(spark, "latest")
+    live.drain_batches(_progress(_events(spark, sf)), progress.partial_state, f"{out}/rows", f"{out}/checkpoint")
+    return _latest(progress.merged_state(spark.read.parquet(f"{out}/rows/batch=*")))
 
 
 @query("r02_latest_state_batch", _LATEST_SQL)
@@ -141,7 +141,7 @@ def r03(spark, sf):
 ))
 def r04(spark, sf):
     """Log rows to two sinks from one stream, nothing dropped."""
-    out = live.shared_folder(spark, "logs")
+    out = sinks.shared_folder(spark, "logs")
     keep_all = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/all/batch={i}")
     keep_visible = lambda df, i: progress.visible_logs(df).write.mode("overwrite").parquet(f"{out}/visible/batch={i}")
     progress.fan_out(queries_fleet.logs(spark, sf, _events(spark, sf)), [keep_all, keep_visible], f"{out}/checkpoint").awaitTermination()
@@ -152,8 +152,8 @@ def r04(spark, sf):
 @query("r05_continuous_review", f"WITH {_FOUND} SELECT doc_id, rule_name, count(*) AS n FROM found GROUP BY ALL")
 def r05(spark, sf):
     """The rule projection on a stream of documents; equals the batch job."""
-    out = live.shared_folder(spark, "review")
-    docs = readers.spread_stream(live.parquet_stream(spark, f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
+    out = sinks.shared_folder(spark, "review")
+    docs = live.parquet_stream(spark, f"{sf}/documents.parquet").select("doc_id", "text")
     live.drain(live.review_stream(docs), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").groupBy("doc_id", "rule_name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -167,6 +167,6 @@ def r06(spark, sf):
 @query("r07_once_per_file", "SELECT DISTINCT user_id AS file_id FROM events")
 def r07(spark, sf):
     """One result per file out of a stream with many events per file."""
-    out = live.shared_folder(spark, "once")
-    live.drain(progress.once_per_file(_progress(_events(spark, sf)), "60 days").select("file_id", "event_id"), f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/rows").select("file_id")
+    out = sinks.shared_folder(spark, "once")
+    live.drain_batches(_progress(_events(spark, sf)).select("file_id", "event_id"), progress.once_per_file(f"{out}/rows"), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows/batch=*").select("file_id")

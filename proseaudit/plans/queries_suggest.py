@@ -41,11 +41,11 @@ _NAMES_SQL = f"list_transform(regexp_extract_all(t, '‹[A-Z][a-z]+›(?:{o.WS}+
 # a percent sign belongs to the figure only when a word character follows it
 _FIGURES_SQL = "list_transform(regexp_extract_all(t, '‹[0-9]+›(?:%‹)?'), lambda v: regexp_replace(v, '[‹›]', '', 'g'))"
 _TECH_SQL = f"list_transform(regexp_extract_all(t, '‹(?:{'|'.join(lx.TECH_TERMS)})›'), lambda v: {o.unmark('v')})"
-_PICKED = f"list_concat(list_concat(({_NAMES_SQL})[1:3], ({_FIGURES_SQL})[1:2]), ({_TECH_SQL})[1:2])"
+_PICKED = f"list_concat(list_concat({_NAMES_SQL}, {_FIGURES_SQL}), {_TECH_SQL})"
 
 
 @query("k03_preserve_facts", (
-    f"{MARKED}, p AS (SELECT src, key, ord, {_PICKED} AS picked FROM marked), d AS (SELECT src, key, ord, ({_ordered_distinct('picked')})[1:5] AS facts FROM p) "
+    f"{MARKED}, p AS (SELECT src, key, ord, {_PICKED} AS picked FROM marked), d AS (SELECT src, key, ord, {_ordered_distinct('picked')} AS facts FROM p) "
     "SELECT src, key, ord, array_to_string(facts, '|') AS facts FROM d WHERE len(facts) > 0"
 ))
 def k03(spark, sf):
@@ -65,12 +65,12 @@ def seed_terms(spark, sf) -> DataFrame:
 @query("k04_occurring_terms", (
     f"WITH {corpus.LINES_SQL}, terms AS (SELECT c_custkey AS key, unnest(['health care', 'AI', 'staff', 'not there', c_name]) AS term FROM customer), "
     "hit AS (SELECT DISTINCT l.key, term FROM lines l JOIN terms t ON l.key = t.key AND contains(l.text, t.term) WHERE l.src = 'seed'), "
-    "ranked AS (SELECT key, term, row_number() OVER (PARTITION BY key ORDER BY length(term) DESC, term) AS rank FROM hit) SELECT key, term, rank FROM ranked WHERE rank <= 3"
+    "ranked AS (SELECT key, term, row_number() OVER (PARTITION BY key ORDER BY length(term) DESC, term) AS rank FROM hit) SELECT key, term, rank FROM ranked"
 ))
 def k04(spark, sf):
-    """Longest three protected terms of each customer that occur in its sentences."""
+    """Protected terms of each customer that occur in its sentences, longest first."""
     lines = corpus.seeded(spark, sf).select("key", "text")
-    return protect.occurring_terms(lines, seed_terms(spark, sf), key="key", cap=3).select("key", "term", F.col("rank").cast("long").alias("rank"))
+    return protect.occurring_terms(lines, seed_terms(spark, sf), key="key").select("key", "term", F.col("rank").cast("long").alias("rank"))
 
 
 @query("n06_contains_term", (
@@ -94,8 +94,8 @@ def n06(spark, sf):
 ))
 def k05(spark, sf):
     """Batches of 64 per queue; one queue holds most of the rows."""
-    items = corpus.lines(spark, sf).select("src", "key", "ord", (F.col("key") * 1000000 + F.col("ord")).alias("o"))
-    return suggest.number_lines(items, ["src"], "o", 64).select("src", "key", "ord", "batch", F.col("line").cast("long").alias("line"))
+    items = corpus.lines(spark, sf).select("src", "key", "ord")
+    return suggest.number_lines(items, ["src"], ["key", "ord"], 64).select("src", "key", "ord", "batch", "line")
 
 
 _RESPONSE_SQL = (

@@ -15,22 +15,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a small input so that text work uses every core.
-
-    A table of a few row groups keeps most of a cluster idle. The test is on the number of input
-    splits: a large table has far more of them than there are cores and is left alone, so the text
-    of a large corpus is never shuffled. The key is the one later aggregations group by.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 4, key) if df.rdd.getNumPartitions() < cores * 2 else df
-
-
-def spread_stream(df: DataFrame, key: str) -> DataFrame:
-    """As ``spread`` for a stream of few files per batch. A stream of many files does without."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, key)
-
-
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object per file; broken files keep their text in ``_corrupt_record``."""
     return (

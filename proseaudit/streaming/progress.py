@@ -20,20 +20,26 @@ def with_progress(events: DataFrame) -> DataFrame:
     return events.withColumn("progress", stage_percent(F.col("stage")))
 
 
-def latest_state(events: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Latest stage per file, batch or streaming.
-
-    Later time wins, then higher progress, so a late duplicate cannot undo a completed job. On a
-    stream the watermark bounds how long the state of a file is kept.
-    """
-    src = events.withWatermark("ts", watermark) if watermark and events.isStreaming else events
+def partial_state(events: DataFrame, batch_id: int = 0) -> DataFrame:
+    """Newest event and number of events per file of one batch. A stream keeps no state: partial rows are stored and merged on reading."""
     newest = F.max(F.struct("ts", "progress", "stage", "message"))
-    return src.groupBy("file_id").agg(newest.alias("s"), F.count(F.lit(1)).alias("n_events")).select(
+    return events.groupBy("file_id").agg(newest.alias("s"), F.count(F.lit(1)).alias("n_events"))
+
+
+def merged_state(partial: DataFrame) -> DataFrame:
+    """Latest stage per file. Later time wins, then higher progress, so a late duplicate cannot undo a completed job,
+    and the order of batches does not matter."""
+    return partial.groupBy("file_id").agg(F.max("s").alias("s"), F.sum("n_events").alias("n_events")).select(
         "file_id", F.col("s.ts").alias("ts"), F.col("s.stage").alias("stage"), F.col("s.progress").alias("progress"),
         F.col("s.message").alias("message"), "n_events",
     )
 
 
+def latest_state(events: DataFrame) -> DataFrame:
+    """Latest stage per file of a table of events."""
+    return merged_state(partial_state(events))
+
+
 def job_status(events: DataFrame) -> DataFrame:
     """processing / completed / error with first and last time per file."""
     newest = F.max(F.struct("ts", "progress", "stage"))["stage"]
@@ -44,11 +50,15 @@ def job_status(events: DataFrame) -> DataFrame:
     )
 
 
-def once_per_file(events: DataFrame, watermark: str) -> DataFrame:
-    """One result per file, duplicates within the watermark dropped."""
-    if events.isStreaming:
-        return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["file_id"])
-    return events.dropDuplicates(["file_id"])
+def once_per_file(out: str) -> Callable[[DataFrame, int], DataFrame]:
+    """One result per file, however late or often its events come: a batch adds the files that earlier batches under ``out`` do not have."""
+    def new_files(batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = batch.dropDuplicates(["file_id"])
+        if not batch_id:
+            return rows
+        return rows.join(batch.sparkSession.read.schema(rows.schema).parquet(*[f"{out}/batch={i}" for i in range(batch_id)]), "file_id", "left_anti")
+
+    return new_files
 
 
 LEVELS = {"DEBUG": 10, "INFO": 20, "WARNING": 30, "ERROR": 40, "CRITICAL": 50}

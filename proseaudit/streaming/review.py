@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from proseaudit.plans import review
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the checkpoint directory the cluster names, for sinks and checkpoints.
-
-    Only where none is set (local tests) a temporary one is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    return f"{base.rstrip('/')}/proseaudit/{purpose}-{uuid.uuid4().hex}"
-
-
-def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
+def parquet_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """File stream with the schema of the files already there.
 
     A stream wants a directory or a pattern; the pattern made here fits the path itself, be it one
     file or a directory of part files.
     """
     pattern = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(pattern)
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -44,22 +28,12 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     )
 
 
-def drain_updates(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Run an aggregating stream; every batch's changed rows go to ``out`` with their batch number."""
+def drain_batches(stream: DataFrame, make: Callable[[DataFrame, int], DataFrame], out: str, checkpoint: str) -> None:
+    """Run a stream; what ``make`` gives for a batch replaces the folder of that batch, so a repeated batch leaves one copy."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    (
-        stream.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    )
-
+        make(batch, batch_id).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-def latest_update(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """Newest row per key of what ``drain_updates`` wrote."""
-    rows = spark.read.parquet(f"{out}/batch=*")
-    others = [c for c in rows.columns if c not in (key, "batch_id")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch_id").alias("r")).select(key, "r.*")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def review_stream(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -1,14 +1,18 @@
 """Reports, the golden score, fleet operators, streams, and the registry."""
 
+import datetime as dt
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from proseaudit.operators import fleet, report, score, suggest
+from proseaudit.operators import fleet, protect, report, score, suggest
 from proseaudit.plans import corpus, review
 from proseaudit.plans.registry import QUERIES
+from proseaudit.sources import sinks
+from proseaudit.streaming import progress
+from proseaudit.streaming import review as live
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,12 +60,70 @@ def test_upsert(spark):
 
 def test_line_numbers_with_one_hot_queue(spark):
     items = spark.range(1000).select(F.when(F.col("id") % 10 == 0, "small").otherwise("hot").alias("q"), (F.col("id") * 3).alias("o"))
-    rows = suggest.number_lines(items, ["q"], "o", 7, block=50).collect()
+    rows = suggest.number_lines(items, ["q"], ["o"], 7).collect()
     for q in ("small", "hot"):
         mine = sorted((r.o, r.batch, r.line) for r in rows if r.q == q)
         assert [(b, n) for _, b, n in mine] == [(i // 7, i % 7 + 1) for i in range(len(mine))]
 
 
+def test_line_numbers_are_long_and_deal_one_queue_out(spark):
+    items = spark.range(40_000).select((F.col("id") * 1_000_003).alias("o"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one part
+    placed = suggest.number_lines(items, [], ["o"], 1 << 40)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dict(placed.dtypes)["line"] == "bigint" and placed.agg(F.max("line")).first()[0] == 40_000
+    table = spark.read.parquet(placed.inputFiles()[0].rsplit("/", 1)[0])
+    assert table.groupBy("_part").count().agg(F.max("count")).first()[0] <= 20_000
+
+
+def test_a_long_list_is_dealt_out(spark):
+    issues = spark.range(20_000).select(
+        F.lit(1).alias("doc_id"), F.lit("tone").alias("category"), F.lit("active_voice").alias("rule_name"), F.lit("info").alias("severity"), F.col("id").alias("page_index"),
+        F.lit(0).alias("element_index"), F.lit("t").alias("found_text"), F.lit(None).cast("string").alias("suggestion"))
+    lists = report.by_rule_lists(issues)
+    sizes = [r.n for r in lists.select(F.size("issues").alias("n")).collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 8 and max(sizes) < 4_000
+    assert "part" in re.search(r"Exchange hashpartitioning\(([^)]*)", lists._jdf.queryExecution().executedPlan().toString())[1]
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
+    totals, nested = report.nested_report(docs, issues, docs.withColumn("total_pages", F.lit(1)))
+    assert {r.doc_id: r.total_issues for r in totals.collect()} == {1: 20_000, 2: 0} and nested.count() == 8
+
+
+def test_all_terms_are_found(spark):
+    terms = spark.createDataFrame([(1, "names", i, f"term{i:04d}") for i in range(400)], "doc_id int, kind string, pos int, term string")
+    texts = spark.createDataFrame([(1, " ".join(f"term{i:04d}" for i in range(0, 400, 2)))], "doc_id int, text string")
+    assert protect.occurring_terms(texts, terms).count() == 200
+    assert protect.occurring_terms(texts, terms, per_kind=100).count() == 50 and protect.occurring_terms(texts, terms, cap=7).count() == 7
+
+
+@pytest.fixture
+def late_events(spark, tmp_path):
+    """Four files, one batch each: a file that comes back after a year, one whose only event is late, one whose newest event comes first."""
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    batches = [[("a", day(0), 10, "uploading", "m"), ("c", day(90), 100, "completed", "m")], [("b", day(200), 30, "x", "m")], [("a", day(401), 90, "y", "m"), ("c", day(5), 20, "late", "m")], [("d", day(1), 10, "uploading", "m"), ("b", day(201), 40, "x", "m")]]
+    schema = "file_id string, ts timestamp, progress long, stage string, message string"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    return str(tmp_path / "events"), str(tmp_path)
+
+
+def test_streams_over_several_batches(spark, late_events):
+    events, out = late_events
+    stream = live.parquet_stream(spark, events, files_per_batch=1)
+    live.drain_batches(stream, progress.once_per_file(f"{out}/once"), f"{out}/once", f"{out}/c1")
+    assert sorted(r.file_id for r in spark.read.parquet(f"{out}/once/batch=*").collect()) == ["a", "b", "c", "d"]
+    live.drain_batches(stream, progress.partial_state, f"{out}/state", f"{out}/c2")
+    batch = progress.latest_state(spark.read.parquet(events)).collect()
+    merged = progress.merged_state(spark.read.parquet(f"{out}/state/batch=*")).collect()
+    assert sorted(map(tuple, merged)) == sorted(map(tuple, batch)) and {r.file_id: r.stage for r in merged}["c"] == "completed"
+
+
+def test_no_fallback_to_a_local_folder(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    with pytest.raises(ValueError):
+        sinks.shared_folder(spark, "x")
+
+
 def test_rule_projection_scans_once_and_does_not_shuffle(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = review.document_issues(docs)._jdf.queryExecution().executedPlan().toString()
