@@ -134,7 +134,7 @@ _LAST = f"lower(({_TOKENS})[-1])"
 @query("l04_manager_order", (
     f"WITH {_SLIDES_SQL}, r AS (SELECT *, {_ROLE_SQL} AS role FROM slides), one AS (SELECT doc_id, page_index, k AS ord, text, {_LAST} AS last FROM r WHERE role = 'Project Manager' AND page_index <= 99), "
     "g AS (SELECT doc_id, count(*) AS n, string_agg(text, ', ' ORDER BY ord, text) AS found, string_agg(text, ', ' ORDER BY last, ord, text) AS wanted FROM one GROUP BY doc_id) "
-    "SELECT doc_id, found AS found_text, concat('Reorder to: ', wanted) AS suggestion FROM g WHERE n > 1 AND found <> wanted"
+    "SELECT doc_id, found AS found_text, concat('In order: ', wanted) AS suggestion FROM g WHERE n > 1 AND found <> wanted"
 ))
 def l04(spark, sf):
     """Every line of an order counts as an element of its title slide; the part number is the position."""

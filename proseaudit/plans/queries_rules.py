@@ -406,8 +406,8 @@ def h06(spark, sf):
 
 @query("h07_constraint_context", (
     f"{MARKED} SELECT src, key, ord, coalesce({_CONTEXT_SQL}, CASE WHEN {_LIMITED} THEN 'weakness' END, 'neutral') AS context, "
-    f"CASE WHEN {_CONTEXT_SQL} = 'weakness' THEN 'Preserve negative nature; do not flip to positive.' WHEN {_CONTEXT_SQL} = 'strength' THEN 'Preserve positive nature.' "
-    f"WHEN {_LIMITED} THEN 'This describes a limitation; keep it clear.' ELSE '' END AS note FROM marked"
+    f"CASE WHEN {_CONTEXT_SQL} = 'weakness' THEN 'keep_negative' WHEN {_CONTEXT_SQL} = 'strength' THEN 'keep_positive' "
+    f"WHEN {_LIMITED} THEN 'keep_limitation' ELSE '' END AS note FROM marked"
 ))
 def h07(spark, sf):
     c = F.col("text")

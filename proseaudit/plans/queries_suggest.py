@@ -287,6 +287,8 @@ def cascade(spark, sf) -> DataFrame:
     return suggest.add_suggestions(found.withColumn("cand", candidate), "cand")
 
 
+_LOST_FACTS = _LOST.replace(_FACT_LIST, "facts").replace("lower(b)", "lower(cand)")
+_LIMITED_BODY = f"coalesce({qr._CONTEXT_SQL.replace('text', 'body')}, CASE WHEN {qr._LIMITED.replace('text', 'body')} THEN 'weakness' END, 'neutral')"
 _FOUND_SQL = qr._SENTS + (
     f", found AS (SELECT src, key, ord, sent_index, s AS text, 'positive_language' AS rule_name FROM marked WHERE {qr._NEG_CASE} AND {qr._GATE} UNION ALL "
     f"SELECT src, key, ord, sent_index, s, 'active_voice' FROM marked WHERE ({o.has('t', qr.PASSIVE)} OR {o.has('t', qr.HEDGING)}) AND {qr._GATE} UNION ALL "
@@ -298,52 +300,48 @@ _FOUND_SQL = qr._SENTS + (
     f"WHEN 'inclusivity' THEN {qr.INCLUSIVE_SQL.replace('text', 'body')} ELSE {{specific}} END AS new FROM (SELECT *, {o.mark('body')} AS t FROM joined)), "
     f"kept AS (SELECT *, CASE WHEN rule_name = 'specificity' THEN new ELSE {qr.unless_same('new', 'body')} END AS rewritten FROM tries), "
     f"full_text AS (SELECT *, {o.finalize('CASE WHEN heading = chr(0) OR heading = repeat(chr(32), 0) THEN rewritten ELSE concat(heading, chr(32), rewritten) END')} AS fallback, "
-    f"CASE key % 5 WHEN 0 THEN {o.finalize('concat(text, chr(32), chr(105), chr(110), chr(100), chr(101), chr(101), chr(100))')} WHEN 1 THEN 'x.' END AS cand FROM kept), "
-    f"checked AS (SELECT *, {o.mark('original')} AS ta, {o.mark('fallback')} AS tb, {o.mark('cand')} AS tc FROM full_text), "
-    f"judged AS (SELECT *, {reason_sql('original', 'fallback', 'ta', 'tb', 'rule_name')} AS fall_reason FROM checked) "
+    f"CASE WHEN heading = '' THEN cand0 ELSE concat(heading, ' ', cand0) END AS cand1 FROM (SELECT *, CASE key % 5 WHEN 0 THEN concat(text, ' indeed') WHEN 1 THEN 'x' END AS cand0 FROM kept)), "
+    f"finished AS (SELECT *, {o.finalize('cand1')} AS cand FROM full_text), "
+    f"checked AS (SELECT *, {o.mark('original')} AS ta, {o.mark('fallback')} AS tb, {o.mark('cand')} AS tc, {o.mark('body')} AS t2 FROM finished), "
+    f"fact AS (SELECT *, {_ordered_distinct('picked')} AS facts FROM (SELECT * EXCLUDE (t), t2 AS t, {_PICKED.replace('(t,', '(t2,')} AS picked FROM checked)), "
+    f"judged AS (SELECT *, {reason_sql('original', 'fallback', 'ta', 'tb', 'rule_name')} AS fall_reason, CASE WHEN cand0 IS NULL THEN 'llm_no_parse' "
+    f"WHEN rule_name IN ('positive_language', 'active_voice') THEN CASE WHEN {{plain}} <> 'valid' THEN {{plain}} WHEN {_LOST_FACTS} >= 2 THEN concat('missing_facts_', CAST({_LOST_FACTS} AS VARCHAR)) "
+    f"WHEN {_LIMITED_BODY} = 'weakness' AND ({_STRONG.replace('lower(b)', 'lower(cand)')}) >= 2 AND NOT ({_WEAK.replace('lower(b)', 'lower(cand)')}) THEN 'flipped_weakness_to_strength' ELSE 'valid' END "
+    f"ELSE {reason_sql('original', 'cand', 'ta', 'tc')} END AS cand_reason FROM fact), "
+    "final AS (SELECT *, CASE WHEN cand_reason = 'valid' THEN 'external' WHEN fall_reason = 'valid' THEN 'fallback' ELSE 'no_improvement' END AS method, "
+    "CASE WHEN cand_reason = 'valid' THEN cand WHEN fall_reason = 'valid' THEN fallback END AS suggestion FROM judged) "
 )
+_FOUND_SQL = _FOUND_SQL.replace("{plain}", reason_sql("original", "cand", "ta", "tc", "rule_name"))
 _FOUND_SQL = _FOUND_SQL.replace("{specific}", qr._SPECIFIC_SQL.replace("ELSE text END", "ELSE body END"))
-# With a label in front the candidate repeats it; only rows without one are compared in SQL.
-_FALLBACK_ROWS = "key % 5 > 1"
+_REAL_SQL = f"suggestion IS NOT NULL AND suggestion <> '' AND {o.comparable('suggestion')} <> {o.comparable('text')}"
 
 
-@query("k14_suggestion_cascade", (
-    f"{_FOUND_SQL} SELECT src, key, ord, sent_index, rule_name, CASE WHEN fall_reason = 'valid' THEN 'fallback' ELSE 'no_improvement' END AS method, "
-    f"CASE WHEN fall_reason = 'valid' THEN fallback END AS suggestion FROM judged WHERE {_FALLBACK_ROWS}"
-))
+@query("k14_suggestion_cascade", f"{_FOUND_SQL} SELECT src, key, ord, sent_index, rule_name, method, suggestion FROM final")
 def k14(spark, sf):
-    """Rows without an external candidate: rule rewrite or nothing."""
-    return cascade(spark, sf).where("key % 5 > 1").select("src", "key", "ord", "sent_index", "rule_name", "method", "suggestion")
+    """External candidate, else rule rewrite, else nothing."""
+    return cascade(spark, sf).select("src", "key", "ord", "sent_index", "rule_name", "method", "suggestion")
 
 
-@query("k14_external_candidates")
+@query("k14_external_candidates", f"{_FOUND_SQL} SELECT src, key, ord, sent_index, rule_name, method, suggestion, CASE WHEN cand_reason <> 'valid' THEN cand_reason END AS candidate_reject FROM final WHERE cand0 IS NOT NULL")
 def k14_external(spark, sf):
     """Rows with a candidate: good ones are taken, bad ones fall back."""
-    return cascade(spark, sf).where("key % 5 <= 1").select("src", "key", "ord", "sent_index", "rule_name", "method", "suggestion", "candidate_reject")
+    return cascade(spark, sf).where("cand is not null").select("src", "key", "ord", "sent_index", "rule_name", "method", "suggestion", "candidate_reject")
 
 
-@query("k15_real_suggestions", (
-    f"{_FOUND_SQL} SELECT src, key, ord, sent_index, rule_name FROM judged WHERE {_FALLBACK_ROWS} AND fall_reason = 'valid' AND {o.comparable('fallback')} <> {o.comparable('text')}"
-))
+@query("k15_real_suggestions", f"{_FOUND_SQL} SELECT src, key, ord, sent_index, rule_name FROM final WHERE {_REAL_SQL}")
 def k15(spark, sf):
-    return suggest.keep_actionable(cascade(spark, sf)).where("key % 5 > 1").select("src", "key", "ord", "sent_index", "rule_name")
+    return suggest.keep_actionable(cascade(spark, sf)).select("src", "key", "ord", "sent_index", "rule_name")
 
 
 @query("k16_rejection_tally", (
-    f"{_FOUND_SQL} SELECT concat('fallback_', fall_reason) AS reason, count(*) AS n FROM judged WHERE {_FALLBACK_ROWS} AND fall_reason <> 'valid' GROUP BY fall_reason "
-    f"UNION ALL SELECT 'llm_no_parse', count(*) FROM judged WHERE {_FALLBACK_ROWS} HAVING count(*) > 0"
+    f"{_FOUND_SQL} SELECT concat('fallback_', fall_reason) AS reason, count(*) AS n FROM final WHERE cand_reason <> 'valid' AND fall_reason <> 'valid' GROUP BY fall_reason "
+    "UNION ALL SELECT CASE WHEN cand_reason IN ('llm_no_parse') THEN cand_reason ELSE concat('reject_', cand_reason) END, count(*) FROM final WHERE cand_reason <> 'valid' GROUP BY 1"
 ))
 def k16(spark, sf):
-    return suggest.rejection_tally(cascade(spark, sf).where("key % 5 > 1"))
+    return suggest.rejection_tally(cascade(spark, sf))
 
 
-@query("k17_analyzer_counts", (
-    f"{_FOUND_SQL} SELECT rule_name, count(*) AS total, count(*) FILTER (WHERE fall_reason = 'valid' AND {o.comparable('fallback')} <> {o.comparable('text')}) AS with_suggestions "
-    f"FROM judged WHERE {_FALLBACK_ROWS} GROUP BY rule_name"
-))
+@query("k17_analyzer_counts", f"{_FOUND_SQL} SELECT rule_name, count(*) AS total, count(*) FILTER (WHERE {_REAL_SQL}) AS with_suggestions FROM final GROUP BY rule_name")
 def k17(spark, sf):
-    c = cascade(spark, sf).where("key % 5 > 1")
     real = validate.is_real(F.col("found_text"), F.col("suggestion"))
-    return c.groupBy("rule_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(real).alias("with_suggestions"))
-
-
+    return cascade(spark, sf).groupBy("rule_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(real).alias("with_suggestions"))

@@ -159,7 +159,7 @@ def test_formatting(spark):
     assert (2, 0, "slide_title_single_line") in got and (2, 1, "body_text_font_size") in got and (2, 1, "body_text_color") in got
     assert not [g for g in got if g[:2] == (2, 2)]
     order = formatting.manager_order_issues(df).collect()
-    assert len(order) == 1 and order[0].suggestion.startswith("Reorder to: ")
+    assert len(order) == 1 and order[0].suggestion.startswith("In order: ")
 
 
 def test_header_and_run_rollup(spark):
