@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proseaudit.functions import gates
 from proseaudit.functions import text as tx
+from proseaudit.sources import sinks
 
 
 def attach_terms(texts: DataFrame, protected: DataFrame, keys: str = "doc_id") -> DataFrame:
@@ -24,6 +25,12 @@ def mark_protected(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 ANCHOR_SIZES = (1, 2, 3, 8)
+SMALL = 200_000  # rows of short strings; a table that was counted and is not larger goes to every task
+
+
+def sized(right: DataFrame, limit: int = SMALL) -> DataFrame:
+    """The table, broadcast if it has at most ``limit`` rows; larger ones are joined by a shuffle."""
+    return F.broadcast(right) if right.limit(limit + 1).count() <= limit else right
 
 
 def _pieces(c: Column, size: int) -> Column:
@@ -48,13 +55,17 @@ def containing_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text:
     """Pairs ``(keys..., term)`` where the text contains the term, case-sensitively, anywhere.
 
     A plain containment join compares every text with every term. Here the keys travel with the
-    distinct pieces of their text and meet the terms on the terms' anchors; only those pairs fetch
+    distinct pieces of their text, of the sizes that some anchor has, and meet the terms on the terms' anchors,
+    before any shuffle if the anchors are few; only those pairs fetch
     the text and are verified. No pair is lost: a text that contains a term contains its anchor.
     """
     c = F.col(text)
-    right = anchors(terms, term).select(F.col(term).alias("_term"), "piece")
-    pieces = F.flatten(F.array(*[_pieces(c, n) for n in ANCHOR_SIZES]))
-    pairs = texts.select(*keys, F.explode(pieces).alias("piece")).join(right, "piece").select(*keys, "_term")
+    right = sinks.written(anchors(terms, term).select(F.col(term).alias("_term"), "piece"), "anchors")
+    sizes = sorted(r[0] for r in right.select(F.length("piece")).distinct().collect())  # at most four
+    if not sizes:
+        return texts.select(*keys, F.col(text).alias(term)).limit(0)
+    pieces = F.flatten(F.array(*[_pieces(c, n) for n in sizes]))
+    pairs = texts.select(*keys, F.explode(pieces).alias("piece")).join(sized(right), "piece").select(*keys, "_term")
     return (
         pairs.join(texts.select(*keys, text), keys)
         .where(F.contains(c, F.col("_term")))
@@ -84,8 +95,8 @@ def replace_by_table(df: DataFrame, terms: DataFrame, keys: list[str], text: str
     """Preferred-term hits against a term table of any size: ``(keys..., term, preferred, hits)``.
 
     ``terms`` is ``(term, preferred)`` with lower-case terms of up to ``max_words`` words. Texts
-    become word n-grams, counted per row before the join, so the shuffle carries distinct n-grams
-    and a hot word costs one row per text, not one per use.
+    become word n-grams. If the terms are few, n-grams that are none of them go before any shuffle; otherwise n-grams are
+    counted per row first, so a hot word costs one row per text, not one per use.
     """
     token = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"{tx.WORD}+(?:[-']{tx.WORD}+)*"), F.lit(0))
     grams = F.flatten(F.transform(
@@ -96,7 +107,10 @@ def replace_by_table(df: DataFrame, terms: DataFrame, keys: list[str], text: str
         ).otherwise(F.expr("cast(array() as array<string>)")),
     ))
     exploded = df.withColumn("_tok", token).select(*keys, F.explode(grams).alias("term"))
-    return exploded.join(terms, "term").groupBy(*keys, "term", "preferred").agg(F.count(F.lit(1)).alias("hits"))
+    right = sized(terms)
+    if right is not terms:
+        return exploded.join(right, "term").groupBy(*keys, "term", "preferred").agg(F.count(F.lit(1)).alias("hits"))
+    return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("hits")).join(terms, "term").select(*keys, "term", "preferred", "hits")
 
 
 def uncached(docs: DataFrame, cached: DataFrame, key: str = "doc_id") -> DataFrame:
