@@ -10,6 +10,7 @@ User rules are added with ``register`` or passed in a list; they look exactly li
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -210,15 +211,29 @@ register(Rule(
 
 # --- tone, per sentence -------------------------------------------------------------------------------------
 
-SENTIMENT = tx.any_word(lx.SENTIMENT_WEIGHTS)
+def sentiment(c: Column, weights: dict[str, float] = lx.SENTIMENT_WEIGHTS, boosters: dict[str, float] | None = None, negators: Iterable[str] = ()) -> Column:
+    """Sum of word weights squashed to (-1, 1) by ``s / sqrt(s*s + 15)``.
 
+    ``weights`` is any lexicon. A booster directly before a word of it adds its own weight in the word's direction; a negator directly
+    before the word, or before its booster, turns the word around and weakens it by a quarter. Neither is used by default.
+    """
+    before = "|".join(tx.quote(w) for w in [*(boosters or {}), *negators])
+    lead = rf"(?:{tx.BEFORE}(?:{before}){tx.WS}+){{0,2}}" if before else ""
+    table, boost = _map(weights), _map(boosters) if boosters else None
+
+    def weight(m: Column) -> Column:
+        if not before:
+            return F.try_element_at(table, m)
+        parts = F.split(m, f"{tx.WS}+")
+        own, first = F.try_element_at(table, F.element_at(parts, -1)), F.slice(parts, 1, F.size(parts) - 1)
+        if boost is not None:
+            more = F.aggregate(first, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.try_element_at(boost, w), F.lit(0.0)))
+            own = own + F.signum(own) * more
+        return F.when(F.exists(first, lambda w: w.isin(*negators)), own * -0.75).otherwise(own) if negators else own
 
-def sentiment(c: Column) -> Column:
-    """Sum of word weights squashed to (-1, 1) by ``s / sqrt(s*s + 15)``."""
-    table = _map(lx.SENTIMENT_WEIGHTS)
     total = F.aggregate(
-        spans.matches(F.lower(c), SENTIMENT), F.lit(0.0),
-        lambda acc, m: acc + F.try_element_at(table, m),
+        spans.matches(F.lower(c), lead + tx.any_word(weights)), F.lit(0.0),
+        lambda acc, m: acc + F.coalesce(weight(m), F.lit(0.0)),
     )
     return total / F.sqrt(total * total + F.lit(lx.SENTIMENT_ALPHA))
 
@@ -227,13 +242,13 @@ def tone_gate(c: Column) -> Column:
     return ~gates.is_heading_like(c) & gates.is_sentence_like(c) & ~gates.is_quoted(c)
 
 
-def is_negative(c: Column, low: Column) -> Column:
-    """Negated phrasing, else a low sentiment score without a neutral domain word.
+def is_negative(c: Column, low: Column, weights: dict[str, float] = lx.SENTIMENT_WEIGHTS, **modifiers) -> Column:
+    """Negated phrasing, else a low sentiment score without a neutral domain word. The lexicon and its modifiers are those of ``sentiment``.
 
     A negated phrase always contains a negation, so the neutral-word exception can only apply to
     the sentiment branch.
     """
-    harsh = tx.mentions(low, lx.SENTIMENT_WEIGHTS) & (sentiment(c) <= lx.SENTIMENT_THRESHOLD)
+    harsh = tx.mentions(low, weights) & (sentiment(c, weights, **modifiers) <= lx.SENTIMENT_THRESHOLD)
     excused = gates.has_neutral_domain_word(c) & ~gates.has_negation(c)
     return (low.contains("no") & gates.has_negative_phrase(c)) | (harsh & ~excused)
 
@@ -353,17 +368,27 @@ def detect(
 
     ``terms`` names an array column of protected strings. A rewriting rule whose every match is
     protected or excused by context leaves the text as it is and yields no issue.
+
+    A rule that cannot be built, or that does not fit the columns, is reported as a warning and left out; the others run. What
+    fails on single values only, such as a cast, has to be written with a ``try_`` function.
     """
     chosen = [REGISTRY[r] if isinstance(r, str) else r for r in rules]
-    unit = F.col(text)
-    candidates = F.array(*[
-        _candidate(r, unit, F.col("_low"), F.col(scope) if scope else None, F.col(terms) if terms else None) for r in chosen
-    ])
+    unit, lowered = F.col(text), units.withColumn("_low", F.lower(F.col(text)))
+    usable = []
+    for r in chosen:
+        try:
+            candidate = _candidate(r, unit, F.col("_low"), F.col(scope) if scope else None, F.col(terms) if terms else None)
+            if r.name not in REGISTRY or REGISTRY[r.name] is not r:
+                lowered.select(candidate)  # analysed here, so a bad rule fails alone
+            usable.append(candidate)
+        except Exception as ex:  # noqa: BLE001 - whatever a rule of the user raises
+            warnings.warn(f"rule {r.name} is left out: {str(ex)[:200]}", stacklevel=2)
+    candidates = F.array(*usable)
     # an element's own confidence makes way for the issue's
     drop = {text, scope, terms, *ISSUE_FIELDS}
     keep = [c for c in units.columns if c not in drop]
     return (
-        units.withColumn("_low", F.lower(unit)).select(*keep, F.inline(F.filter(candidates, lambda x: x.isNotNull())))
+        lowered.select(*keep, F.inline(F.filter(candidates, lambda x: x.isNotNull())))
         .where(~F.col("suggestion").eqNullSafe(F.col("found_text")))
     )
 

@@ -31,10 +31,11 @@ def _nested(spark, sf, page) -> DataFrame:
     return t.groupBy("doc_id").agg(pages.alias("pages"))
 
 
-def _through_json(df: DataFrame, column: str, name: str, schema: str) -> DataFrame:
-    """Write the column as JSON text and read it back with the reader's schema."""
-    as_json = df.withColumn("json", F.to_json(F.struct(F.col(column).alias(name))))
-    return as_json.select("doc_id", F.from_json("json", schema).alias("d")).select("doc_id", "d.*")
+def _through_files(df: DataFrame, column: str, name: str, read) -> DataFrame:
+    """Write the column as a document on each line of JSON files, and read them with one of the library's readers."""
+    out = sinks.shared_folder(df.sparkSession, "documents")
+    df.select("doc_id", F.col(column).alias(name)).write.json(out)
+    return read(df.sparkSession, out, lines=True)
 
 
 def normalized(spark, sf) -> DataFrame:
@@ -50,7 +51,7 @@ def normalized(spark, sf) -> DataFrame:
         F.concat(F.upper("role"), F.lit(" layout")).alias("layout_info"),
         F.transform(F.split("raw_text", "\n", -1), item).alias("elements"),
     )
-    return _through_json(_nested(spark, sf, page), "pages", "pages", schemas.NORMALIZED_DOCUMENT)
+    return _through_files(_nested(spark, sf, page), "pages", "pages", readers.normalized_documents)
 
 
 @query("a01_normalized_json", f"WITH {_TURN_SQL} SELECT doc_id, page_index, ord, role AS element_type, text FROM els")
@@ -73,7 +74,7 @@ def raw_slides(spark, sf) -> DataFrame:
         F.struct(F.lit("Lato").alias("font_name"), F.lit(14.0).alias("font_size"), F.lit("#FFFFFF").alias("font_color")).alias("formatting"),
     )
     slide = F.struct(F.col("page_index").alias("slide_index"), F.transform(F.split("raw_text", "\n", -1), item).alias("content_elements"), F.lit("TITLE").alias("layout_name"))
-    return _through_json(_nested(spark, sf, slide), "pages", "slides", schemas.SLIDE_DOCUMENT)
+    return _through_files(_nested(spark, sf, slide), "pages", "slides", readers.slide_documents)
 
 
 @query("a02_slide_json", (
@@ -91,7 +92,7 @@ def raw_pages(spark, sf) -> DataFrame:
         F.struct(F.col("page_index"), i.alias("paragraph_index"), F.when(i == 1, "heading").otherwise("paragraph").alias("element_type"), F.lit("top").alias("position")).alias("locator"),
     )
     page = F.struct(F.col("page_index"), F.transform(F.split("raw_text", "\n", -1), item).alias("elements"))
-    return _through_json(_nested(spark, sf, page), "pages", "pages", schemas.PAGE_DOCUMENT)
+    return _through_files(_nested(spark, sf, page), "pages", "pages", readers.page_documents)
 
 
 @query("a03_page_json", (

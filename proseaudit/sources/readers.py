@@ -15,8 +15,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON object per file; broken files keep their text in ``_corrupt_record``."""
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """One JSON object per file, named by the file; or, for large collections, one per line, named by its ``doc_id``.
+
+    Broken objects keep their text in ``_corrupt_record``."""
+    if lines:
+        return spark.read.schema(f"doc_id long, {schema}").option("mode", "PERMISSIVE").json(path).withColumn("path", F.col("_metadata.file_path"))
     return (
         spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
         .withColumn("path", F.col("_metadata.file_path"))
@@ -24,16 +28,16 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def normalized_documents(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, schemas.NORMALIZED_DOCUMENT)
+def normalized_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, schemas.NORMALIZED_DOCUMENT, lines)
 
 
-def slide_documents(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, schemas.SLIDE_DOCUMENT)
+def slide_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, schemas.SLIDE_DOCUMENT, lines)
 
 
-def page_documents(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, schemas.PAGE_DOCUMENT)
+def page_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, schemas.PAGE_DOCUMENT, lines)
 
 
 def _format(name=None, size=None, bold=None, italic=None, colour=None, level=None) -> Column:

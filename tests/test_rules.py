@@ -136,6 +136,22 @@ def test_user_rules_run_beside_the_built_in_ones(spark):
     assert got == {"ampersand": "No!! and yes", "shouting": "No! & yes"}
 
 
+def test_a_bad_rule_is_left_out(spark):
+    bad = rules.Rule("bad", "tone", "info", "x", lambda c, low: F.col("no_such_column") > 1)
+    worse = rules.Rule("worse", "tone", "info", "x", lambda c, low: 1 / 0)
+    df = spark.createDataFrame([("R & D",)], "t string")
+    with pytest.warns(UserWarning, match="left out"):
+        got = rules.detect(df, ["ampersand", bad, worse], text="t", scope=None).collect()
+    assert [r.rule_name for r in got] == ["ampersand"]
+
+
+def test_sentiment_takes_any_lexicon(one):
+    lexicon = {"dire": -3.0, "fine": 2.0}
+    plain, strong, turned = one(lambda c: rules.sentiment(c, lexicon, {"very": 0.5}, ["not"]), "It is dire", "It is very dire", "It is not very dire")
+    assert strong < plain < 0 < turned < 1
+    assert one(lambda c: rules.sentiment(c, lexicon), "very fine") == [2 / 19 ** 0.5]
+
+
 def test_catalogue(spark):
     cat = catalogue.catalogue(spark)
     assert cat.count() == 19 and catalogue.select_rules(cat, critical=True).count() == 5 and catalogue.select_rules(cat, with_pattern=True).count() == 14
