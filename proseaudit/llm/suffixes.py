@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from proseaudit.llm import exchange, text
+from proseaudit.llm import exchange, store, text
 
 #: A difference cover of period 21: every residue is a difference of two of these.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -49,17 +49,22 @@ def samples(view: View, size: int, buckets: int) -> tuple[exchange.Keys, np.ndar
     return exchange.Keys((key >> np.uint64(32)) % np.uint64(buckets), key & np.uint64(0xFFFFFFFF), view.order[view.number[at]], buckets), at
 
 
-def candidates(view: View, size: int, buckets: int, replies: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and buckets of the suffixes with a shared cover sample within the period."""
+def near_samples(view: View, size: int, buckets: int, replies: list | None) -> np.ndarray:
+    """Which suffixes have a shared cover sample within the period."""
     keys, at = samples(view, size, buckets)
     shared = (keys.answers(replies) | (keys.first != keys.last))[keys.which]
-    at = at[shared]
-    near = exchange.covered(len(view.buf), np.maximum(at - PERIOD + 1, 0), PERIOD)
-    at = np.flatnonzero(near)
+    return exchange.covered(len(view.buf), np.maximum(at[shared] - PERIOD + 1, 0), PERIOD)
+
+
+def candidates(view: View, size: int, buckets: int, near: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and buckets of the suffixes that take part."""
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(near, np.uint8), count=len(view.buf)))
     at = at[at + size <= view.end[at]]
+    if not len(at):
+        return at, at
     words = np.lib.stride_tricks.sliding_window_view(view.buf, 8)
     head = np.ascontiguousarray(words[at]).view(np.uint64).ravel()
-    tail = np.ascontiguousarray(words[at + size - 8]).view(np.uint64).ravel() if len(at) else head
+    tail = np.ascontiguousarray(words[at + size - 8]).view(np.uint64).ravel()
     return at, (text.mix(head + np.uint64(3) * text.mix(tail)) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -75,12 +80,21 @@ def dedup(documents: DataFrame, size: int = 50, block_bytes: int = 1 << 21, roun
     buckets = exchange.buckets_of(spark)
     blocks = exchange.block_table(documents, block_bytes)
     shared = exchange.ask(blocks, lambda b, _: samples(View(b), size, buckets)[0], False, "shared-samples")
-    marked = exchange.with_replies(blocks, shared)
+
+    def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                view = View(exchange.Block(batch, i))
+                near = np.packbits(near_samples(view, size, buckets, batch.column(4)[i].as_py()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i: i + 1], pa.array([near.tobytes()], pa.binary())], ["block", "near"])
+
+    near = store.written(exchange.with_replies(blocks, shared).mapInArrow(reveal, "block bigint, near binary"), "near-samples")
+    marked = blocks.join(near.hint("shuffle_hash"), "block")
 
     def of_round(number: int):
-        def keys(block: exchange.Block, replies: list | None) -> exchange.Keys:
+        def keys(block: exchange.Block, near: bytes) -> exchange.Keys:
             view = View(block)
-            at, bucket = candidates(view, size, buckets, replies)
+            at, bucket = candidates(view, size, buckets, near)
             mine = bucket % rounds == number
             return suffix_keys(view, size, buckets, at[mine], bucket[mine])
 
@@ -101,7 +115,7 @@ def dedup(documents: DataFrame, size: int = 50, block_bytes: int = 1 << 21, roun
                 gone = keys.answers(batch.column(5)[i].as_py())[keys.which] | (view.order[view.number[at]] > keys.first[keys.which])
                 yield _kept(block, exchange.covered(len(view.buf), at[gone], size))
 
-    return exchange.with_replies(blocks, shared, earlier).mapInArrow(rest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return exchange.with_replies(marked, earlier).mapInArrow(rest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def _kept(block: exchange.Block, removed: np.ndarray) -> pa.RecordBatch:
