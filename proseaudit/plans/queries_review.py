@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proseaudit.operators import fleet
+from proseaudit.operators import fleet, report
 from proseaudit.plans import corpus, queries_fleet, review
 from proseaudit.plans import oracle as o
 from proseaudit.plans import queries_model as qm
@@ -64,6 +64,16 @@ def review_actionable(spark, sf):
     return issues.groupBy("doc_id", "rule_name", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("review_full")
+def review_full(spark, sf):
+    """Conversations as slide documents of several pages: issues of every family by document, and the score they lead to."""
+    docs = sinks.written(readers.from_slides(qm.raw_slides(spark, sf)), "slides")
+    files = docs.select("doc_id", F.concat(F.lit("conversation "), F.col("doc_id").cast("string"), F.lit(".pptx")).alias("original_filename"))
+    issues = sinks.written(review.full_review(docs, files), "issues")
+    counts = report.tallies(issues, ["doc_id"], {"category": report.CATEGORIES})
+    return review.full_scores(docs, issues).select("doc_id", "total_pages", "total_issues", "overall_score", "grade").join(counts, "doc_id")
+
+
 @query("review_score_by_label", (
     f"{_SCORED} SELECT quality, toxic, count(*) AS n_docs, CAST(sum(total_issues) AS BIGINT) AS n_issues, count(*) FILTER (WHERE grade = 'A') AS n_grade_a FROM scored JOIN labels USING (doc_id) GROUP BY quality, toxic"
 ))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proseaudit.operators import rules, score, segment, suggest
+from proseaudit.operators import filenames, flatten, formatting, protect, rules, score, segment, suggest
 
 
 def document_pages(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -41,3 +41,29 @@ def scores(documents: DataFrame, issues: DataFrame) -> DataFrame:
 def worst_documents(documents: DataFrame, text: str = "text", which: Iterable[str | rules.Rule] = rules.REVIEW_RULES) -> DataFrame:
     """Which documents score worst, and in which category. The flagship question."""
     return scores(documents, document_issues(documents, text, which))
+
+
+def full_review(documents: DataFrame, files: DataFrame | None = None, protected: DataFrame | None = None, which: Iterable[str | rules.Rule] = rules.REVIEW_RULES) -> DataFrame:
+    """Issues of all families of multi-page documents, with suggestions and a location.
+
+    ``documents`` has the common page shape (``doc_id, pages``), ``files`` names them (``doc_id, original_filename``), and ``protected``
+    (``doc_id, term``) holds strings that no rewrite may touch. The pages are read once for the rules and once for the formatting checks.
+    """
+    elements = flatten.elements(documents)
+    terms = None
+    if protected is not None:
+        elements, terms = protect.attach_terms(elements, protected), "terms"
+    found = suggest.add_suggestions(rules.detect(rules.text_units(elements), which, terms=terms))
+    wanted = ["doc_id", "page_index", "ord", *rules.ISSUE_FIELDS]
+    parts = [found.select(*wanted), formatting.slide_issues(elements, flatten.pages(documents)).select(*wanted)]
+    if files is not None:
+        parts.append(filenames.name_issues(files).withColumnRenamed("element_index", "ord").select(*wanted))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("location", F.when(F.col("page_index") >= 0, flatten.location(F.col("page_index"), F.col("ord"))).otherwise("file"))
+
+
+def full_scores(documents: DataFrame, issues: DataFrame) -> DataFrame:
+    """Score of each multi-page document, with its own number of pages."""
+    return score.quality_scores(documents.select("doc_id", F.size("pages").alias("total_pages")), score.category_counts(issues))

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from proseaudit.operators import fleet, protect, report, score, suggest
 from proseaudit.plans import corpus, review
 from proseaudit.plans.registry import QUERIES
-from proseaudit.sources import sinks
+from proseaudit.sources import schemas, sinks
 from proseaudit.streaming import progress
 from proseaudit.streaming import review as live
 
@@ -165,3 +165,25 @@ def test_stream_review_equals_batch(spark):
     batch = review.document_issues(corpus.documents(spark, SF)).groupBy("doc_id", "rule_name").count()
     stream = QUERIES["r05_continuous_review"].build(spark, SF)
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
+
+
+def test_full_review_covers_every_family(spark):
+    rows = QUERIES["review_full"].build(spark, SF).collect()
+    pages = {r.doc_id: r.n for r in spark.read.parquet(f"{SF}/conversations.parquet").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("n")).collect()}
+    assert {r.doc_id: r.total_pages for r in rows} == pages
+    assert all(r.filename == 1 and r.total_issues == r.grammar + r.word_list + r.tone + r.usage + r.formatting + r.filename for r in rows)
+    assert sum(r.formatting for r in rows) > 0
+
+
+def test_full_review_with_protected_terms(spark):
+    import json
+
+    pages = [{"index": 1, "layout_info": "TITLE", "elements": [{"text": "Acme plan"}]}, {"index": 2, "elements": [{"text": "We can't ship R & D today."}, {"text": "Costs & dates don't match."}]}]
+    docs = spark.createDataFrame([(1, json.dumps({"pages": pages}))], "doc_id long, json string").select("doc_id", F.from_json("json", schemas.NORMALIZED_DOCUMENT).alias("d")).select("doc_id", "d.pages")
+    protected = spark.createDataFrame([(1, "can't")], "doc_id long, term string")
+    files = spark.createDataFrame([(1, "plan.pptx")], "doc_id long, original_filename string")
+    issues = review.full_review(docs, files, protected)
+    got = {(r.rule_name, r.location) for r in issues.collect()}
+    assert {("ampersand", "slide 2 - element 0"), ("contractions", "slide 2 - element 1"), ("filename-convention", "file")} <= got
+    assert ("contractions", "slide 2 - element 0") not in got
+    assert review.full_scores(docs, issues).first().total_pages == 2
