@@ -51,3 +51,11 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert [r.kept for r in quality.quality(docs, none).collect()] == [False, False]
     assert quality.quality(docs.limit(0), none).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = quality.score(docs, quality.fit(docs, labels.where("doc_id % 2 = 0")))
+    held = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").collect()
+    assert len(held) > 100 and sum(r.kept == (r.quality == 1) for r in held) >= 0.95 * len(held)
