@@ -18,6 +18,7 @@ Rows of equal id and text are equal copies. A null id is never the class id unle
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -244,13 +245,13 @@ def similar(sets: list[np.ndarray], threshold: float, width: int = 8192) -> np.n
 
 def classes(
     documents: DataFrame, threshold: float = 0.8, recall: float = 0.999, width: int = 64, slack: float = 0.17, runs: int = 6, limit: int = 4096,
-    depth: int = 5, most: int = 5,
+    depth: int = 5,
 ) -> DataFrame:
     """One row per document: ``doc_id, key`` (of id and text), ``class_id`` (smallest id of its class) and ``n_links``."""
     signed = store.written(signatures(documents, width), "signatures")
     sets = store.written(signed.groupBy("set").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("least").alias("least")), "sets")
     edges, known, merged = None, None, 0
-    for batch in range(most):
+    for batch in itertools.count():
         new = candidate_edges(sets, known, range(batch * runs, batch * runs + runs), width, threshold, slack, limit, depth)
         edges = store.written(new if edges is None else edges.union(new), "candidate-edges")
         known = store.written(components.connected(edges), "candidate-components")

@@ -76,7 +76,7 @@ def rake(cells: DataFrame, targets: dict[str, dict], flatten: float, rounds: int
         scale = own.agg(F.sum("goal")).first()[0] or 1.0
         goals[margin] = own.select(margin, (F.col("goal") * F.lit(total / scale)).alias("goal"))
     for _ in range(rounds):
-        before, off = cells, None
+        off = None
         for margin in MARGINS:
             sums = cells.groupBy(margin).agg(F.sum("w").alias("sum")).join(goals[margin], margin).select(margin, (F.col("goal") / F.col("sum")).alias("by"))
             cells = cells.join(sums, margin).withColumn("w", F.col("w") * F.col("by"))
@@ -86,7 +86,6 @@ def rake(cells: DataFrame, targets: dict[str, dict], flatten: float, rounds: int
         cells = store.written(cells, "cells")
         largest = cells.agg(F.max("off")).first()[0] or 0.0
         cells = cells.drop("off")
-        del before
         if largest < tolerance:
             break
     return cells
