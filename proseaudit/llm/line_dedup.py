@@ -64,9 +64,9 @@ def candidates(distinct: DataFrame) -> DataFrame:
 def near(documents: DataFrame, candidate: DataFrame) -> DataFrame:
     """Hashes of candidate lines that have an earlier near line."""
     wanted = candidate.groupBy(F.col("at.key").alias("__line_key")).agg(F.collect_list(F.struct("h", "at", "head", "tail")).alias("wanted"))
-    texts = keyed(documents.select("doc_id", "text")).dropDuplicates(["__line_key"]).join(wanted, "__line_key").select("wanted", "text")
+    texts = keyed(documents.select("doc_id", "text")).join(wanted, "__line_key").select("wanted", "text")
     found = texts.select(F.explode(let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["head"].alias("head"), x["tail"].alias("tail"), F.element_at(lines, x["at"]["line"] + 1).alias("words"))))).alias("x"))
-    lines = store.written(found.select("x.h", "x.at", "x.head", "x.tail", words_of(F.col("x.words")).alias("words")), "near-lines")
+    lines = store.written(found.select("x.h", "x.at", "x.head", "x.tail", words_of(F.col("x.words")).alias("words")).dropDuplicates(["h"]), "near-lines")
     half = F.floor((F.size("words") - 1) / 2).cast("int")  # a line that shares only its first half differs after it, and the other way round
     first, last = F.when(F.col("tail"), 0).otherwise(half), F.size("words") - F.when(F.col("head"), 1).otherwise(half + 1)
     variants = lines.select("h", "at", F.explode(F.transform(
