@@ -36,13 +36,6 @@ PREFERRED_TERMS = {
     "web based": "web-based",
 }
 
-# --- fixed values: preferred forms that depend on the part of speech ------------------------------
-PREFERRED_BY_POS = (
-    ("end-user", "adjective", "end-user"), ("end-user", "noun", "end user"),
-    ("open-source", "adjective", "open-source"), ("open-source", "noun", "open source"),
-    ("set-up", "noun", "set-up"), ("set-up", "verb", "set up"),
-)
-
 # --- fixed values: number words ------------------------------------------------------------------
 UNITS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen "
@@ -106,11 +99,12 @@ POSITIVE_REWRITES = (
     ("not enough", "insufficient"),
     ("no significant", "limited"),
 )
-HEDGE_REWRITES = (
+# in this order; None drops the word and the space after it
+HEDGE_STEPS = (
     ("might be", "is"), ("could be", "is"), ("would be", "is"), ("should be", "is"), ("may be", "is"),
+    ("probably", None), ("perhaps", None), ("maybe", None), ("sort of", None), ("kind of", None),
     ("looking for", "seek"), ("looking to", "seeking to"),
 )
-HEDGE_DROPS = ("probably", "perhaps", "maybe", "sort of", "kind of")
 PASSIVE_REWRITES = (
     ("created", "creates"), ("developed", "develops"), ("built", "builds"),
     ("used", "uses"), ("needed", "needs"), ("applied", "applies"),

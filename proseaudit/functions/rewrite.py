@@ -44,16 +44,14 @@ def positive(c: Column, context: Column | None = None) -> Column:
     return F.when(touched, _unless_same(new, c)).otherwise(c)
 
 
-_HEDGE_STARTS = _first_words([*lx.HEDGE_DROPS, *(p for p, _ in lx.HEDGE_REWRITES)])
+_HEDGE_STARTS = _first_words(p for p, _ in lx.HEDGE_STEPS)
 
 
 def active(c: Column) -> Column:
     """Drop hedges, replace a handful of passive forms, collapse spaces."""
-    steps = [(phrase(p), r) for p, r in lx.HEDGE_REWRITES[:5]]
-    steps += [
-        (tx.ci(tx.BEFORE + f"{tx.WS}+".join(p.split(" ")) + f"{tx.WS}+"), "") for p in lx.HEDGE_DROPS
+    steps = [
+        (phrase(p), r) if r is not None else (tx.ci(tx.BEFORE + f"{tx.WS}+".join(p.split(" ")) + f"{tx.WS}+"), "") for p, r in lx.HEDGE_STEPS
     ]
-    steps += [(phrase(p), r) for p, r in lx.HEDGE_REWRITES[5:]]
     steps += [
         (tx.ci(tx.word(rf"(?:is|are|was|were){tx.WS}+{done}")), does) for done, does in lx.PASSIVE_REWRITES
     ]

@@ -428,9 +428,7 @@ def unless_same(new: str, old: str) -> str:
 
 def active_sql(x: str) -> str:
     ws = f"{o.WS}+"
-    steps = [("(?i)" + o.m(p, ws), r) for p, r in lx.HEDGE_REWRITES[:5]]
-    steps += [("(?i)" + o.m(p, ws) + ws, "") for p in lx.HEDGE_DROPS]
-    steps += [("(?i)" + o.m(p, ws), r) for p, r in lx.HEDGE_REWRITES[5:]]
+    steps = [("(?i)" + o.m(p, ws), r) if r is not None else ("(?i)" + o.m(p, ws) + ws, "") for p, r in lx.HEDGE_STEPS]
     steps += [(rf"(?i)‹(?:is|are|was|were)›{ws}‹{done}›", does) for done, does in lx.PASSIVE_REWRITES]
     steps.append((rf"(?i)‹being›{ws}‹({o.W}+ed|made|done)›", r"\1"))
     return o.squeeze(o.fold(x, steps))
