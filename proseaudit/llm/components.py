@@ -26,7 +26,6 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         then = store.written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        store.drop(now)
         now, before, seen = then, seen, _digest(then)
         if before == seen:
             break

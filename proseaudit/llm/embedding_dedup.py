@@ -137,17 +137,18 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def dedup(embeddings: DataFrame, threshold: float = 0.93, shard: int = 4096, beam: int = 64, recall: float = 0.98) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id`` (smallest id reachable) and ``kept``."""
-    rows = store.written(vectors(embeddings), "vectors")
-    nodes = store.written(rows.groupBy("node").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("label").alias("label"), F.min("size").alias("size"), F.min("vector").alias("vector")), "nodes")
-    near = links(nodes, threshold, shard, beam, recall)
-    whole = components.connected(near.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "component")
-    counts = near.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = store.written(nodes.select("node", "first", "copies").join(counts, "node", "left").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node")), "linked-nodes")
-    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    verdict = joined.join(least, "component").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    linked = rows.select("vec_id", "node").join(verdict, "node").select("vec_id", "n_links", "component_id")
-    ids = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("all"))
-    used = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("some"))
-    rest = ids.join(used, "vec_id", "left").select("vec_id", F.explode(F.array_repeat(F.lit(0), (F.col("all") - F.coalesce("some", F.lit(0))).cast("int"))).alias("zero"))
-    rest = rest.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    with store.Scratch(embeddings.sparkSession) as scratch:
+        rows = store.written(vectors(embeddings), "vectors")
+        nodes = store.written(rows.groupBy("node").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("label").alias("label"), F.min("size").alias("size"), F.min("vector").alias("vector")), "nodes")
+        near = links(nodes, threshold, shard, beam, recall)
+        whole = components.connected(near.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "component")
+        counts = near.groupBy("node").agg(F.sum("links").alias("links"))
+        joined = store.written(nodes.select("node", "first", "copies").join(counts, "node", "left").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node")), "linked-nodes")
+        least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+        verdict = joined.join(least, "component").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+        linked = rows.select("vec_id", "node").join(verdict, "node").select("vec_id", "n_links", "component_id")
+        ids = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("all"))
+        used = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("some"))
+        rest = ids.join(used, "vec_id", "left").select("vec_id", F.explode(F.array_repeat(F.lit(0), (F.col("all") - F.coalesce("some", F.lit(0))).cast("int"))).alias("zero"))
+        rest = rest.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+        return scratch.kept(linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "linked-vectors")

@@ -248,31 +248,32 @@ def classes(
     depth: int = 5,
 ) -> DataFrame:
     """One row per document: ``doc_id, key`` (of id and text), ``class_id`` (smallest id of its class) and ``n_links``."""
-    signed = store.written(signatures(documents, width), "signatures")
-    sets = store.written(signed.groupBy("set").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("least").alias("least")), "sets")
-    edges, known, merged = None, None, 0
-    for batch in itertools.count():
-        new = candidate_edges(sets, known, range(batch * runs, batch * runs + runs), width, threshold, slack, limit, depth)
-        edges = store.written(new if edges is None else edges.union(new), "candidate-edges")
-        known = store.written(components.connected(edges), "candidate-components")
-        before, merged = merged, known.where("node != component").count()
-        if batch and merged - before <= (1 - recall) * merged:
-            break
-    links = store.written(exact_links(documents, sets, known, threshold), "links")
-    whole = components.connected(links.select(F.col("set").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set"), "component")
-    near = links.groupBy("set").agg(F.sum("links").alias("links"))
-    sets = sets.select("set", "first", "size").join(near, "set", "left").join(whole, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    sets = store.written(sets, "linked-sets")
-    class_id = sets.groupBy("component").agg(F.min("first").alias("class_id"))
-    verdict = sets.join(class_id, "component").select("set", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    found = signed.select("doc_id", "key", "set").join(verdict, "set").select("doc_id", "key", "class_id", "n_links")
-    rest = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    rest = rest.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return found.unionByName(rest.select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
+    with store.Scratch(documents.sparkSession) as scratch:
+        signed = store.written(signatures(documents, width), "signatures")
+        sets = store.written(signed.groupBy("set").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("least").alias("least")), "sets")
+        edges, known, merged = None, None, 0
+        for batch in itertools.count():
+            new = candidate_edges(sets, known, range(batch * runs, batch * runs + runs), width, threshold, slack, limit, depth)
+            edges = store.written(new if edges is None else edges.union(new), "candidate-edges")
+            known = store.written(components.connected(edges), "candidate-components")
+            before, merged = merged, known.where("node != component").count()
+            if batch and merged - before <= (1 - recall) * merged:
+                break
+        links = store.written(exact_links(documents, sets, known, threshold), "links")
+        whole = components.connected(links.select(F.col("set").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set"), "component")
+        near = links.groupBy("set").agg(F.sum("links").alias("links"))
+        sets = sets.select("set", "first", "size").join(near, "set", "left").join(whole, "set", "left").withColumn("component", F.coalesce("component", "set"))
+        sets = store.written(sets, "linked-sets")
+        class_id = sets.groupBy("component").agg(F.min("first").alias("class_id"))
+        verdict = sets.join(class_id, "component").select("set", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        found = signed.select("doc_id", "key", "set").join(verdict, "set").select("doc_id", "key", "class_id", "n_links")
+        rest = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+        rest = rest.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        return scratch.kept(found.unionByName(rest.select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))), "classes")
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The documents that are the first of their class; copies that share the first one's id leave one row."""
+    """The documents that are the first of their class. Rows alike in id and text are one document and stay together."""
     first = classes(documents, **options).where("doc_id <=> class_id").groupBy("class_id", "doc_id").agg(F.min("key").alias("__key"))
     rows = documents.withColumn("__key", row_key()).join(first.select("__key"), "__key", "left_semi")
     return rows.drop("__key")

@@ -93,12 +93,14 @@ def one_apart(a: Column, b: Column) -> Column:
 
 def removed_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """Line numbers to remove: ``__line_key``, ``__line_gone`` (ascending, from 0)."""
-    found = store.written(occurrences(documents, min_words), "lines")
-    distinct = store.written(found.groupBy("h").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in "abcd"]), "distinct-lines")
-    gone = near(documents, candidates(distinct)).withColumn("near", F.lit(True))
-    judged = distinct.select("h", F.col("at").alias("first"), "n").join(gone, "h", "left").where("n > 1 or near")
-    rows = found.select("h", "at").join(judged, "h").where("near or at > first").select("at.key", "at.line").distinct()
-    return rows.groupBy(F.col("key").alias("__line_key")).agg(F.sort_array(F.collect_list("line")).alias("__line_gone"))
+    with store.Scratch(documents.sparkSession) as scratch:
+        found = store.written(occurrences(documents, min_words), "lines")
+        distinct = store.written(found.groupBy("h").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in "abcd"]), "distinct-lines")
+        gone = near(documents, candidates(distinct)).withColumn("near", F.lit(True))
+        judged = distinct.select("h", F.col("at").alias("first"), "n").join(gone, "h", "left").where("n > 1 or near")
+        rows = found.select("h", "at").join(judged, "h").where("near or at > first").select("at.key", "at.line").distinct()
+        gone = rows.groupBy(F.col("key").alias("__line_key")).agg(F.sort_array(F.collect_list("line")).alias("__line_gone"))
+        return scratch.kept(gone, "removed-lines")
 
 
 def dedup(documents: DataFrame, min_words: int = 5) -> DataFrame:

@@ -10,9 +10,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_OPEN: list[Scratch] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+class Scratch:
+    """Tables written within a ``with`` block; all go at its end but the one that is kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OPEN.remove(self)
+        for path in self.paths:
+            drop(self.spark, path)
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """Write the result, which may then be read after the block."""
+        df = written(df, name)
+        self.paths.pop()
+        return df
+
+
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder in local mode and an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +57,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with own_shuffles(spark):
         df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,10 +76,7 @@ def own_shuffles(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table from ``written`` that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(conf).delete(path, True)
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
