@@ -5,7 +5,9 @@ to the buckets that own them, and gets one bit for each key back. It derives the
 answer comes, so neither keys nor texts travel back, and texts are never shuffled. A key that a third of all documents hold
 costs one entry for each block, and buckets are by hash, so no group is larger than the number of blocks.
 
-Every bucket is sorted on its own. Keys can be asked for in rounds, each with a part of the buckets, so that the disk holds one round at a time.
+Every bucket is sorted on its own, and its rows are read one by one, so it may be larger than an Arrow array. The number of buckets follows from
+the bytes of text (``BUCKET_BYTES``), whatever the number of shuffle partitions. A block that asked a bucket and has no reply of the right length is an error.
+Keys can be asked for in rounds, each with a part of the buckets, so that the disk holds one round at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from proseaudit.llm import store, text
 
 LAST = np.iinfo(np.int64).max
+#: Bytes of text for each bucket, at most. A narrow key takes 4 bytes and a wide one about 10, and there is at most one for each byte of text.
+BUCKET_BYTES = 1 << 24
 BLOCK = "block bigint, ids array<bigint>, offsets binary, data binary"
 
 
@@ -49,14 +53,20 @@ def block_table(documents: DataFrame, limit: int) -> DataFrame:
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCK)
     name = f"blocks_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets_of(spark), "block").option("path", store.new_path(spark, "blocks")).saveAsTable(name)
+    rows.write.bucketBy(partitions_of(spark), "block").option("path", store.new_path(spark, "blocks")).saveAsTable(name)
     return spark.table(name)
 
 
-def buckets_of(spark) -> int:
+def partitions_of(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_of(blocks: DataFrame, bucket_bytes: int) -> int:
+    """One bucket for each ``bucket_bytes`` of text, and one for each shuffle partition at least."""
+    total = blocks.agg(F.sum(F.octet_length("data").cast("bigint"))).first()[0] or 0
+    return max(partitions_of(blocks.sparkSession), -(-total // bucket_bytes))
+
+
 class Block:
     """One block as arrays."""
 
@@ -91,11 +101,13 @@ class Keys:
             yield int(self.bucket[a]), slice(a, b)
 
     def answers(self, replies: list | None) -> np.ndarray:
-        """The bits of the replies in the order of the keys; False where none came."""
+        """The bits of the replies in the order of the keys; an error where a bucket that has keys sent none, or sent too few or too many."""
         bits, found = np.zeros(len(self.key), bool), {r["bucket"]: r["bits"] for r in replies or ()}
         for bucket, part in self.parts():
-            if bucket in found:
-                bits[part] = np.unpackbits(np.frombuffer(found[bucket], np.uint8), count=part.stop - part.start).view(bool)
+            n = part.stop - part.start
+            if len(found.get(bucket, b"")) != (n + 7) // 8:
+                raise ValueError(f"bucket {bucket} was asked for {n} keys and sent {len(found[bucket]) if bucket in found else 'no'} bytes")
+            bits[part] = np.unpackbits(np.frombuffer(found[bucket], np.uint8), count=n).view(bool)
         return bits
 
 
@@ -138,7 +150,7 @@ def ask(rows: DataFrame, keys_of: Callable[[Block, list | None], Keys], wide: bo
                 bits[order] = np.bincount(group)[group] > 1
             ends = np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(1), rows.column(0), pa.array([np.packbits(bits[b - m: b]).tobytes() for m, b in zip(n.tolist(), ends.tolist())], pa.binary())], ["block", "bucket", "bits"])
+                [rows.column(1).combine_chunks(), rows.column(0).combine_chunks(), pa.array([np.packbits(bits[b - m: b]).tobytes() for m, b in zip(n.tolist(), ends.tolist())], pa.binary())], ["block", "bucket", "bits"])
 
     sent = rows.mapInArrow(send, "bucket int, block bigint, keys binary, docs binary, at binary")
     return store.written(sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, "block bigint, bucket int, bits binary"), name)
@@ -149,19 +161,19 @@ def _docs(docs: pa.Scalar, at: pa.Scalar, n: int) -> np.ndarray:
     return docs[np.frombuffer(at, np.uint16 if at.size == 2 * n else np.uint32)]
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of one bucket after the other, of a partition that is sorted by bucket."""
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """All rows of one bucket after the other, of a partition that is sorted by bucket. Chunks stay apart: joined, they can pass what a binary array holds."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         bucket = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else []
         for a, b in zip(cuts, cuts[1:]):
             if held and held[0].column(0)[0].as_py() != bucket[a]:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield pa.Table.from_batches(held)
 
 
 def with_replies(blocks: DataFrame, *replies: DataFrame) -> DataFrame:

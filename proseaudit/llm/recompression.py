@@ -91,13 +91,12 @@ def candidates(view: View, size: int, buckets: int, replies: list | None) -> tup
     return exchange.Keys(ends % np.uint64(buckets), key, view.doc[at], buckets), at
 
 
-def dedup(documents: DataFrame, size: int = 50, block_bytes: int = 1 << 22) -> DataFrame:
+def dedup(documents: DataFrame, size: int = 50, block_bytes: int = 1 << 22, bucket_bytes: int = exchange.BUCKET_BYTES) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed`` and the kept words, joined by one space, as ``text``."""
     if size - 2 * MARGIN < LENGTHS[0]:
         raise ValueError("windows have to be longer than the edges in doubt")
-    spark = documents.sparkSession
-    buckets = exchange.buckets_of(spark)
     blocks = exchange.block_table(documents, block_bytes)
+    buckets = exchange.buckets_of(blocks, bucket_bytes)
     shared = exchange.ask(blocks, lambda b, _: revealed(View(b), size, buckets)[0], False, "shared-symbols")
     marked = exchange.with_replies(blocks, shared)
     earlier = exchange.ask(marked, lambda b, replies: candidates(View(b), size, buckets, replies)[0], True, "earlier-windows")

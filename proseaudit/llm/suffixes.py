@@ -72,13 +72,12 @@ def suffix_keys(view: View, size: int, buckets: int, at: np.ndarray, bucket: np.
     return exchange.Keys(bucket, text.spans(view.sums, at, at + size), view.order[view.number[at]], buckets)
 
 
-def dedup(documents: DataFrame, size: int = 50, block_bytes: int = 1 << 21, rounds: int = 4) -> DataFrame:
+def dedup(documents: DataFrame, size: int = 50, block_bytes: int = 1 << 21, rounds: int = 4, bucket_bytes: int = exchange.BUCKET_BYTES) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed runs) and the kept bytes, ``kept``."""
     if size - PERIOD < 8:
         raise ValueError("strings have to be longer than the period of the cover")
-    spark = documents.sparkSession
-    buckets = exchange.buckets_of(spark)
     blocks = exchange.block_table(documents, block_bytes)
+    buckets = exchange.buckets_of(blocks, bucket_bytes)
     shared = exchange.ask(blocks, lambda b, _: samples(View(b), size, buckets)[0], False, "shared-samples")
 
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

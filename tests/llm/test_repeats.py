@@ -3,8 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from proseaudit.llm import queries, recompression, suffixes
+from proseaudit.llm import exchange, queries, recompression, suffixes
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 FOLDER = "/root/testdata/sf0.001"
@@ -98,3 +100,33 @@ def test_queries(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op8(spark, FOLDER).collect())) == brute_words(docs)
     assert sorted(map(tuple, queries.op9(spark, FOLDER).collect())) == brute_bytes(docs)
+
+
+def test_runs_beyond_two_gb():
+    """Three rows of 900 MB, more than one binary array can hold; all share one buffer of untouched zeros."""
+    size = 900 << 20
+    ends, data = pa.py_buffer(np.array([0, size], np.int32)), pa.py_buffer(np.zeros(size, np.uint8))
+    row = pa.RecordBatch.from_arrays([pa.array([7], pa.int32()), pa.Array.from_buffers(pa.binary(), 1, [None, ends, data])], ["bucket", "keys"])
+    other = pa.RecordBatch.from_arrays([pa.array([8], pa.int32()), pa.array([b"x"], pa.binary())], ["bucket", "keys"])
+    got = [(r.column(0)[0].as_py(), sum(x.as_buffer().size for x in r.column(1))) for r in exchange.runs(iter([row, row, row, other]))]
+    assert got == [(7, 3 * size), (8, 1)]
+
+
+def test_missing_reply():
+    keys = exchange.Keys(np.array([0, 1, 1]), np.array([5, 6, 7], np.uint64), np.array([1, 1, 2]), 2)
+    whole = [{"bucket": 0, "bits": b"\x80"}, {"bucket": 1, "bits": b"\x40"}]
+    assert keys.answers(whole).tolist() == [True, False, True]
+    for replies in (None, whole[:1], [whole[0], {"bucket": 1, "bits": b""}]):
+        with pytest.raises(ValueError):
+            keys.answers(replies)
+
+
+def test_buckets_follow_the_text(spark):
+    docs = made()
+    total = sum(len((t or "").encode()) for _, t in docs)
+    blocks = exchange.block_table(frame(spark, docs), 4096)
+    assert exchange.buckets_of(blocks, 1000) == -(-total // 1000) > exchange.partitions_of(spark) == exchange.buckets_of(blocks, 1 << 24)
+    got = recompression.dedup(frame(spark, docs), block_bytes=4096, bucket_bytes=1000).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in got) == brute_words(docs)
+    got = suffixes.dedup(frame(spark, docs), block_bytes=4096, bucket_bytes=1000).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == brute_bytes(docs)
