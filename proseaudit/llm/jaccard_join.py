@@ -247,7 +247,8 @@ def classes(
     documents: DataFrame, threshold: float = 0.8, recall: float = 0.999, width: int = 64, slack: float = 0.17, runs: int = 6, limit: int = 4096,
     depth: int = 5,
 ) -> DataFrame:
-    """One row per document: ``doc_id, key`` (of id and text), ``class_id`` (smallest id of its class) and ``n_links``."""
+    """One row per document: ``doc_id, key`` (of id and text), ``component`` (the class: a set id, or the key of a row without words),
+    ``class_id`` (smallest id of the class, which other classes can share where ids are null or repeated) and ``n_links``."""
     with store.Scratch(documents.sparkSession) as scratch:
         signed = store.written(signatures(documents, width), "signatures")
         sets = store.written(signed.groupBy("set").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("least").alias("least")), "sets")
@@ -265,15 +266,16 @@ def classes(
         sets = sets.select("set", "first", "size").join(near, "set", "left").join(whole, "set", "left").withColumn("component", F.coalesce("component", "set"))
         sets = store.written(sets, "linked-sets")
         class_id = sets.groupBy("component").agg(F.min("first").alias("class_id"))
-        verdict = sets.join(class_id, "component").select("set", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-        found = signed.select("doc_id", "key", "set").join(verdict, "set").select("doc_id", "key", "class_id", "n_links")
+        verdict = sets.join(class_id, "component").select("set", "component", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        found = signed.select("doc_id", "key", "set").join(verdict, "set").select("doc_id", "key", "component", "class_id", "n_links")
         rest = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
         rest = rest.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-        return scratch.kept(found.unionByName(rest.select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))), "classes")
+        return scratch.kept(found.unionByName(rest.select("doc_id", "key", F.col("key").alias("component"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))), "classes")
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The documents that are the first of their class. Rows alike in id and text are one document and stay together."""
-    first = classes(documents, **options).where("doc_id <=> class_id").groupBy("class_id", "doc_id").agg(F.min("key").alias("__key"))
+    """One document of each class stays: of those with its smallest id (a null id if it has no other) the one with the smallest key.
+    Rows alike in id and text are one document and stay together."""
+    first = classes(documents, **options).where("doc_id <=> class_id").groupBy("component").agg(F.min("key").alias("__key"))
     rows = documents.withColumn("__key", row_key()).join(first.select("__key"), "__key", "left_semi")
     return rows.drop("__key")

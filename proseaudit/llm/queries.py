@@ -51,7 +51,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.classes(table(spark, folder, "documents")).drop("key")
+    return jaccard_join.classes(table(spark, folder, "documents")).drop("key", "component")
 
 
 @query("op8_substring_recompression")

@@ -64,3 +64,14 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in jaccard_join.classes(df).collect())
     assert got == [(-1, -1, 0), (-1, 1, 2), (1, 1, 2), (1, 1, 2), (2, 2, 0)]
     assert jaccard_join.classes(df.limit(0)).count() == 0
+
+
+def test_keep_one_of_each_class(spark):
+    """Different texts under null and equal ids are classes of their own."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, "two words"), (None, None), (None, " "), (None, text("c")), (4, text("c"))]
+    rows += [(7, text("d")), (7, text("e")), (7, text("e")), (7, None), (7, ""), (9, text("e")), (8, text("f"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(map(str, map(tuple, jaccard_join.keep_one(df).collect())))
+    one = [r for r in rows if r not in [(None, text("b")), (None, text("b") + " more"), (None, text("c")), (9, text("e"))]]
+    assert any(got == sorted(map(str, [*one, b])) for b in rows[1:3])
