@@ -2,8 +2,9 @@
 
 Vectors are compared within a label. Equal vectors are one node with a size. A label's nodes are dealt by hash to shards of about ``shard`` nodes, and each shard
 gets a graph. For every pair of a label's shards one task queries the graph of one with the nodes of the other. A query whose beam holds links only is
-repeated with a wider beam; then a sample of the queries is compared with all nodes of the shard, and all beams are widened until the sample finds ``recall`` of its
-links (or everything is compared). Similarities within 1e-4 of the threshold are settled in double precision. A task returns link counts and a star for each of its components, never pairs.
+repeated with a wider beam. What the beams must find is audited on queries known to have links: queries are compared with all nodes of the shard, block by block, until
+``audit`` of them have a link to another node. Where so many are not met, all queries have been compared and nothing is left to the graph. Else all beams are widened until they find
+``recall`` of the audited links, in sum and on average over the audited queries (or everything is compared). Similarities within 1e-4 of the threshold are settled in double precision. A task returns link counts and a star for each of its components, never pairs.
 
 Defined cases: a vector that is null, empty or zero, or holds a null or a number that is not finite, and one with a null label or id, links with nothing and is
 kept. Vectors of different lengths are never compared. Rows with the same id are vectors of their own.
@@ -74,7 +75,7 @@ def links(nodes: DataFrame, threshold: float, shard: int, beam: int, recall: flo
                 sides.append((ids, size, np.frombuffer(rows.column(5)[i].as_buffer()).reshape(len(ids), -1)))
             (ids, size, x), (ids2, size2, y) = sides
             own = rows.num_rows == 1
-            linked = found(Graph.load(y, rows.column(6)[rows.num_rows - 1].as_py()), x, y, threshold, beam, recall)
+            linked = found(Graph.load(y, rows.column(6)[rows.num_rows - 1].as_py()), x, y, threshold, beam, recall, own)
             if own:
                 linked |= linked.T
                 np.fill_diagonal(linked, False)
@@ -94,11 +95,15 @@ def links(nodes: DataFrame, threshold: float, shard: int, beam: int, recall: flo
     return store.written(pairs.mapInArrow(query, "node bigint, links bigint, root bigint"), "vector-links")
 
 
-def found(graph: Graph, x: np.ndarray, y: np.ndarray, threshold: float, beam: int, recall: float, audit: int = 64) -> np.ndarray:
-    """Which rows of x and y are linked, as far as the graph of y finds them."""
+def found(graph: Graph, x: np.ndarray, y: np.ndarray, threshold: float, beam: int, recall: float, own: bool = False, audit: int = 128) -> np.ndarray:
+    """Which rows of x and y are linked, as far as the graph of y finds them; ``own``: x is y, and a row's link to itself is none."""
+    sample, truth = audited(x, y, threshold, own, audit)
     linked = np.zeros((len(x), len(y)), bool)
-    sample = np.linspace(0, len(x) - 1, min(audit, len(x))).astype(int)
-    truth = exact(x[sample], y, threshold)
+    if len(sample) == len(x):
+        linked[sample] = truth
+        return linked
+    on = truth.any(1)
+    size = truth[on].sum(1)
     while True:
         todo, width = np.arange(len(x)), min(beam, len(y))
         while len(todo):
@@ -113,11 +118,28 @@ def found(graph: Graph, x: np.ndarray, y: np.ndarray, threshold: float, beam: in
             sure[~sure] = np.einsum("nd,nd->n", x[i[~sure]], y[j[~sure]]) >= threshold
             linked[i[sure], j[sure]] = True
             todo, width = todo[sims[:, -1] >= threshold - 1e-4], 4 * width
-        if linked[sample][truth].sum() >= recall * truth.sum() or 2 * beam >= len(y):
+        hits = (linked[sample[on]] & truth[on]).sum(1)
+        if (hits.sum() >= recall * size.sum() and (hits / size).mean() >= recall) or 2 * beam >= len(y):
+            linked[sample] |= truth
             return linked
         beam *= 2
 
 
+def audited(x: np.ndarray, y: np.ndarray, threshold: float, own: bool, audit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x in a random order, until ``audit`` of them have a link or no row is left, and their links."""
+    order, truth, met = np.random.default_rng(len(x)).permutation(len(x)), [np.empty((0, len(y)), bool)], 0
+    for lo in range(0, len(x), audit):
+        part = exact(x[order[lo: lo + audit]], y, threshold)
+        if own:
+            part[np.arange(len(part)), order[lo: lo + audit]] = False
+        truth.append(part)
+        met += int(part.any(1).sum())
+        if met >= audit:
+            break
+    truth = np.concatenate(truth)
+    return order[: len(truth)], truth
+
+
 def exact(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return x @ y.T >= threshold
 

@@ -68,3 +68,36 @@ def test_repeated_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, None, 0), (None, [1.0, 0.0], 0)], "vec_id bigint, embedding array<double>, label int")
     got = sorted((r.vec_id or -1, r.n_links, r.kept) for r in embedding_dedup.dedup(df).collect())
     assert got == [(-1, 0, True), (1, 0, True), (1, 1, True), (1, 1, True)]
+
+
+class Blind:
+    """A graph in which a search meets the node at the query's own place and no other, until its beam is ``wide``."""
+
+    def __init__(self, x, wide):
+        self.x, self.wide = x, wide
+
+    def search(self, queries, beam):
+        sims = queries @ self.x.T
+        if beam < self.wide:
+            sims = np.where(sims > 0.9999999, sims, -np.inf)
+        ids = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+        sims = np.take_along_axis(sims, ids, 1)
+        return np.where(sims > -np.inf, ids, -1), sims
+
+
+def test_audit_sees_rare_links():
+    """One near pair among 1,000 vectors, in a shard with itself and between two shards, and many of them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1000, 64))
+    x[501] = x[300] + 0.01 * rng.normal(size=64)
+    y = rng.normal(size=(1000, 64))
+    y[7] = x[123] + 0.01 * rng.normal(size=64)
+    many = np.concatenate([x[:500], x[:500] + 0.01 * rng.normal(size=(500, 64))])
+    x, y, many = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y, many))
+    assert np.argwhere(embedding_dedup.found(Blind(y, 256), x, y, 0.93, 16, 0.98)).tolist() == [[123, 7]]
+    own = embedding_dedup.found(Blind(x, 256), x, x, 0.93, 16, 0.98, own=True)
+    np.fill_diagonal(own, False)
+    assert np.argwhere(own).tolist() == [[300, 501], [501, 300]]
+    own = embedding_dedup.found(Blind(many, 256), many, many, 0.93, 16, 0.98, own=True)
+    np.fill_diagonal(own, False)
+    assert (own == (embedding_dedup.exact(many, many, 0.93) & ~np.eye(1000, dtype=bool))).all()
