@@ -22,10 +22,26 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9 -]*?(?=[ -][ -]|[ -]?(?:[^0-9 -]|\z))"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Length of an account number, and the countries that use it (the registry, and those that use the form without being in it).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GF GP GQ GR IT KM MC MG MQ MR NC PF PM RE SM TD TF WF YT", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+
+
+def _accounts(step: str) -> str:
+    return "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:{step}[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+
+
+# A listed country's number has its length and ends there, whatever follows; others are taken as far as they go. Neither runs into what could be a listed one.
+_STEP = f"(?: (?!{_accounts(' ?')}))?"
+IBAN = rf"(?<![A-Za-z0-9])(?:{_accounts(_STEP)}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:{_STEP}[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,256}[\"']?)"
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,256}[\"']?)"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "national_id", "local_phone", "secret")
 
@@ -96,7 +112,7 @@ def spans(text: Column) -> Column:
     iban = located(text, IBAN, text.rlike("[A-Z]{2}[0-9]{2}"))
     national = located(text, NATIONAL, text.rlike("[0-9]-[0-9]{2}-[0-9]"))
     local = located(text, LOCAL_PHONE, any_digit & text.rlike(r"[0-9]\)?[ .-][0-9]{3}[ .-][0-9]{4}"))
-    secret = located(text, SECRET, text.rlike("AKIA|password|passwd|pwd|token|secret|api_?key"))
+    secret = located(text, SECRET, text.rlike("AKIA|(?i:password|passwd|pwd|token|secret|api_?key)"))
     lift = lambda x, words: F.when(near(x, words), 0.3).otherwise(0.0)
     return F.struct(
         scored(email, lambda x: 0.7 + lift(x, "e-?mail|mail|contact")).alias("email"),

@@ -58,6 +58,25 @@ def test_added_kinds(spark):
     assert rows[9].base_sha256 == hashlib.sha256(b"").hexdigest() and pii.detect(df.limit(0)).count() == 0
 
 
+def test_upper_case_neighbours(spark):
+    texts = [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 12345 67", ["DE89 3704 0044 0532 0130 00"]),
+        ("PAY GB29NWBK60161331926819 TODAY", ["GB29NWBK60161331926819"]),
+        ("DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19 NO93 8601 1117 947", ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"]),
+        ("ITEM AB12 3456 7890 1234 DE89 3704 0044 0532 0130 00 END", ["DE89 3704 0044 0532 0130 00"]),
+        ("BE12 BE68 5390 0754 7034 EUR", ["BE68 5390 0754 7034"]),
+        ("IBAN DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX", []),
+        ("Password: Xk29fjQw01 PASSWORD=HUNTER2HUNTER2", ["Password: Xk29fjQw01", "PASSWORD=HUNTER2HUNTER2"]),
+        ("SET API_KEY=0A1B2C3D4E5F NOW", ["API_KEY=0A1B2C3D4E5F"]), ("Api_Key = 'abcd1234efgh'", ["Api_Key = 'abcd1234efgh'"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    rows = {r.doc_id: r.found for r in pii.detect(df).collect()}
+    for i, (t, want) in enumerate(texts):
+        got = [x for x in rows[i] if x.kind in ("iban", "secret")]
+        assert [x.found for x in got] == want and all(t[x.start:x.stop] == x.found for x in got), (t, got)
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
