@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proseaudit.llm import embedding_dedup, jaccard_join, line_dedup, mixing, packing, pii, quality, recompression, rollups, store, suffixes
+from proseaudit.llm import collocations, decontamination, embedding_dedup, filter_audit, jaccard_join, line_dedup, mixing, packing, pii, quality, recompression, rollups, store, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,18 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_embedding_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, folder, "embeddings"))
+
+
+@query("op11_benchmark_decontamination", decontamination.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.digest(decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query("op12_filter_audit", filter_audit.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_phrase_collocations", collocations.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))

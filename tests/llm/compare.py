@@ -8,7 +8,7 @@ from proseaudit.llm import queries
 
 def against_sql(spark, name, folder="/root/testdata/sf0.001"):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     want = con.execute(queries.SQL[name]).fetch_df()
     got = queries.QUERIES[name](spark, folder).select(*[F.col(c) for c in want.columns]).toPandas()
