@@ -1,12 +1,12 @@
 """Phrase collocations by stripes: every prefix keys a counter of the words that follow it.
 
 1. A pass over the texts for each prefix length, from none to four words. A block of documents makes one stripe for each prefix it
-   holds: the following words with their counts, and the count of occurrences with no such word (key 0). Stripes of a prefix are
-   merged elementwise after one shuffle. A merged stripe gives the frequencies of the one-word extensions, the frequency of the
-   prefix (its sum) and the largest frequency of an extension (for subsumption).
+   holds: the following words with their counts. Stripes of a prefix are merged elementwise after one shuffle. A merged stripe gives
+   the frequencies of the one-word extensions, which are the totals of the prefixes of the next pass, and the largest of them (for
+   subsumption).
 2. A phrase is frequent only if the phrases without its first and without its last word are. So a pass sends stripes for prefixes
-   that passed before, and counts by word only extensions whose last words passed, too; others are counted under key 0. What passed is
-   broadcast as a bit filter of ``FILTER_BITS`` at most: a false positive costs a row, never a result.
+   that passed before, with the words that make an extension whose last words passed, too. What passed is broadcast as a bit filter
+   of ``FILTER_BITS`` at most: a false positive costs a row, never a result.
 3. Hot prefixes, with at least 1/1024 of all words each and so at most 1,024, are broadcast, and their stripes are split by
    the next word; the stripe of the empty prefix always is. So no task sees a prefix whole that a third of the corpus holds.
 4. Candidates look up the totals of both sides of each cut. Scores are computed with decimals of 38 digits.
@@ -37,7 +37,7 @@ FILTER_BITS, CHUNK_BITS = 29, 19
 #: Languages of which the word counts are broadcast; with more of them, they are joined by a shuffle.
 SMALL = 1 << 16
 STRIPES = "lang string, prefix binary, sub int, next binary, n binary"
-MERGED = "lang string, words binary, a bigint, total bigint, best bigint"
+MERGED = "lang string, words binary, a bigint, best bigint"
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
@@ -150,16 +150,13 @@ def word_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stripes(size: int, known: Passed, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes of prefixes of ``size`` words that passed; words that cannot make a frequent phrase are counted under 0."""
+    """Stripes of prefixes of ``size`` words that passed, with the words after which the last ``size`` words passed, too."""
     for batch, buf, offsets in text.slices(batches, "text", BLOCK_BYTES):
         tokens = Tokens(batch, buf, offsets)
         prefix = tokens.phrases(size)
         good = known(prefix) & (tokens.room >= size)
-        at = np.flatnonzero(good)
-        follows = (tokens.room[at] > size) & np.append(good, False)[at + 1]
-        word = np.zeros(len(at), U64)
-        word[follows] = tokens.id[at[follows] + size]
-        prefix = prefix[at]
+        at = np.flatnonzero(good[:-1] & good[1:] & (tokens.room[:-1] > size))
+        prefix, word = prefix[at], tokens.id[at + size]
         _, first, n = np.unique(text.mix(prefix + word * U64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
         order = np.lexsort((word[first], prefix[first]))
         first, n = first[order], n[order]
@@ -238,16 +235,16 @@ def merge_words(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 
 def merge_stripes(size: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frequent extensions with their counts ``a``; and the prefix of each sub-stripe with its ``total`` and its largest extension ``best``."""
+    """Frequent extensions with their counts ``a``; and the prefix of each sub-stripe with its largest extension ``best``."""
     for names, at, word, n, _ in merged_runs(batches, 3):
         lang, prefix = pa.array([k[0] for k in names], pa.string()), pa.array([k[1] for k in names], pa.binary())
         owner = np.searchsorted(at, np.arange(len(word)), side="right") - 1
-        often = np.flatnonzero((n >= least) & (word > 0))
+        often = np.flatnonzero(n >= least)
         longer = np.concatenate([_matrix(prefix)[owner[often]], word[often][:, None]], axis=1)
-        nothing = pa.nulls(len(often), pa.int64())
-        yield pa.RecordBatch.from_arrays([lang.take(pa.array(owner[often])), _binary(np.arange(len(often) + 1) * 8 * (size + 1), longer), pa.array(n[often]), nothing, nothing], ["lang", "words", "a", "total", "best"])
-        best = np.maximum.reduceat(np.where(word > 0, n, 0), at)
-        yield pa.RecordBatch.from_arrays([lang, prefix, pa.nulls(len(names), pa.int64()), pa.array(np.add.reduceat(n, at)), pa.array(best)], ["lang", "words", "a", "total", "best"])
+        yield pa.RecordBatch.from_arrays([lang.take(pa.array(owner[often])), _binary(np.arange(len(often) + 1) * 8 * (size + 1), longer), pa.array(n[often]), pa.nulls(len(often), pa.int64())], ["lang", "words", "a", "best"])
+        best = np.maximum.reduceat(n, at)
+        top = pa.array(np.flatnonzero(best >= least))
+        yield pa.RecordBatch.from_arrays([lang.take(top), prefix.take(top), pa.nulls(len(top), pa.int64()), pa.array(best).take(top)], ["lang", "words", "a", "best"])
 
 
 def dealt(rows: DataFrame, send: Callable, schema: str, keys: list[str], merge: Callable, out: str, name: str) -> DataFrame:
@@ -281,8 +278,11 @@ def frequencies(documents: DataFrame, least: int = 100, longest: int = MAX_WORDS
     every = levels[0]
     for level in levels[1:]:
         every = every.union(level)
-    totals = every.where("a IS NULL").groupBy("words").agg(F.sum("total").alias("total"), F.max("best").alias("best")).where(F.col("total") >= least)
-    return words, langs, store.written(totals, "totals"), every.where("a IS NOT NULL").select("lang", "words", "a")
+    best = every.where("a IS NULL").groupBy("words").agg(F.max("best").alias("best"))
+    extensions = every.where("a IS NOT NULL").select("lang", "words", "a")
+    shorter = words.select("words", "a").union(extensions.select("words", "a").where(F.length("words") < 8 * longest))
+    totals = shorter.join(best, "words", "left").select("words", F.col("a").alias("total"), "best")
+    return words, langs, store.written(totals, "totals"), extensions
 
 
 def scored(langs: DataFrame, totals: DataFrame, extensions: DataFrame) -> DataFrame:
