@@ -1,14 +1,16 @@
 """Phrase collocations by stripes: every prefix keys a counter of the words that follow it.
 
 1. A pass over the texts for each prefix length, from none to four words. A block of documents makes one stripe for each prefix it
-   holds: the following words with their counts. Stripes of a prefix are merged elementwise after one shuffle. A merged stripe gives
+   holds: the following words with their counts. Stripes travel in bundles, by a hash of the prefix: a bundle holds the stripes of a
+   block that fall to one of so many buckets that each has some ``BUCKET_WORDS`` words of text, so there are never more rows than stripes.
+   Stripes of a prefix are merged elementwise after one shuffle. A merged stripe gives
    the frequencies of the one-word extensions, which are the totals of the prefixes of the next pass, and the largest of them (for
    subsumption).
 2. A phrase is frequent only if the phrases without its first and without its last word are. So a pass sends stripes for prefixes
    that passed before, with the words that make an extension whose last words passed, too. What passed is broadcast as a bit filter
    of ``FILTER_BITS`` at most: a false positive costs a row, never a result.
-3. Hot prefixes, with at least 1/1024 of all words each and so at most 1,024, are broadcast, and their stripes are split by
-   the next word; the stripe of the empty prefix always is. So no task sees a prefix whole that a third of the corpus holds.
+3. Hot prefixes, with at least 1/1024 of all words each and so at most 1,024, are broadcast, and their stripes are split over
+   buckets by the next word; the stripe of the empty prefix always is. So no task sees a prefix whole that a third of the corpus holds.
 4. Candidates look up the totals of both sides of each cut. Scores are computed with decimals of 38 digits.
 
 Words are told apart by 64-bit hashes, salted by language; phrases by the hashes of all their words.
@@ -30,13 +32,15 @@ from proseaudit.llm import store, text
 
 U64 = np.uint64
 MAX_WORDS = 5
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
+#: Words of text for each bucket of stripes, at most, and entries of a bundle that are merged at a time.
+BUCKET_WORDS, MERGE_ENTRIES = 1 << 21, 1 << 19
 #: Sub-stripes of the empty prefix and of a hot one, by the leading bits of the next word.
 WORD_BITS, HOT_BITS = 10, 6
 FILTER_BITS, CHUNK_BITS = 29, 19
 #: Languages of which the word counts are broadcast; with more of them, they are joined by a shuffle.
 SMALL = 1 << 16
-STRIPES = "lang string, prefix binary, sub int, next binary, n binary"
+STRIPES = "lang string, bucket int, prefixes binary, sizes binary, next binary, n binary"
 MERGED = "lang string, words binary, a bigint, best bigint"
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -149,8 +153,11 @@ def word_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["lang", "sub", "next", "n", "word"])
 
 
-def stripes(size: int, known: Passed, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes of prefixes of ``size`` words that passed, with the words after which the last ``size`` words passed, too."""
+def stripes(size: int, known: Passed, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stripes of prefixes of ``size`` words that passed, with the words after which the last ``size`` words passed, too.
+
+    A row is the bundle of a bucket: prefixes, the size of the stripe of each, and the next words and counts of all of them.
+    """
     for batch, buf, offsets in text.slices(batches, "text", BLOCK_BYTES):
         tokens = Tokens(batch, buf, offsets)
         prefix = tokens.phrases(size)
@@ -158,16 +165,32 @@ def stripes(size: int, known: Passed, batches: Iterator[pa.RecordBatch]) -> Iter
         at = np.flatnonzero(good[:-1] & good[1:] & (tokens.room[:-1] > size))
         prefix, word = prefix[at], tokens.id[at + size]
         _, first, n = np.unique(text.mix(prefix + word * U64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-        order = np.lexsort((word[first], prefix[first]))
-        first, n = first[order], n[order]
         at, prefix, word = at[first], prefix[first], word[first]
-        sub = np.where(known.is_hot(prefix), (word >> U64(64 - HOT_BITS)).astype(np.int32), 0).astype(np.int32)
-        starts = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (sub[1:] != sub[:-1]))[: len(at)])
-        ends = np.append(starts, len(at))
-        own = tokens.id[at[starts][:, None] + np.arange(size)]
+        split = np.where(known.is_hot(prefix), (word >> U64(64 - HOT_BITS)) + U64(1), U64(0))
+        lang, bucket = tokens.lang[at], (text.mix(prefix ^ text.mix(split)) >> U64(32)).astype(np.int64) >> (32 - bits)
+        order = np.lexsort((word, prefix, bucket, lang))
+        at, prefix, word, n, lang, bucket = (x[order] for x in (at, prefix, word, n, lang, bucket))
+        new_row = np.append(True, (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1]))[: len(at)]
+        units = np.flatnonzero(new_row | np.append(True, prefix[1:] != prefix[:-1])[: len(at)])
+        rows = np.flatnonzero(new_row)
+        first_unit = np.append(np.searchsorted(units, rows), len(units))
+        ends = np.append(rows, len(at))
+        sizes = np.diff(np.append(units, len(at))).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
-            [tokens.langs.take(pa.array(tokens.lang[at[starts]])), _binary(np.arange(len(starts) + 1) * 8 * size, own), pa.array(sub[starts]), _binary(ends * 8, word), _binary(ends * 8, n.astype(np.int64))],
-            ["lang", "prefix", "sub", "next", "n"])
+            [tokens.langs.take(pa.array(lang[rows])), pa.array(bucket[rows].astype(np.int32)), _binary(first_unit * 8 * size, tokens.id[at[units][:, None] + np.arange(size)]),
+             _binary(first_unit * 4, sizes), _binary(ends * 8, word), _binary(ends * 4, n.astype(np.uint32))],
+            ["lang", "bucket", "prefixes", "sizes", "next", "n"])
+
+
+def _runs(columns: list[pa.Array]) -> tuple[list[tuple], np.ndarray]:
+    """The distinct keys of rows that are sorted by them, and at which rows a new one starts."""
+    change = np.ones(len(columns[0]), bool)
+    change[1:] = False
+    for c in columns:
+        coded = c.dictionary_encode().indices.to_numpy()
+        change[1:] |= coded[1:] != coded[:-1]
+    starts = pa.array(np.flatnonzero(change))
+    return list(zip(*(c.take(starts).to_pylist() for c in columns))), change
 
 
 class Run:
@@ -187,15 +210,7 @@ def merged_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i) for i in range(keys)]
-        change = np.ones(batch.num_rows, bool)
-        if batch.num_rows > 1:
-            change[1:] = False
-            for c in columns:
-                coded = c.dictionary_encode().indices.to_numpy()
-                change[1:] |= coded[1:] != coded[:-1]
-        starts = np.flatnonzero(change)
-        names = list(zip(*(c.take(pa.array(starts)).to_pylist() for c in columns)))
+        names, change = _runs([batch.column(i) for i in range(keys)])
         words, ends = text.buffer_of(batch.column(keys))
         word, size = np.frombuffer(words.tobytes(), U64), np.diff(ends) // 8
         n = np.frombuffer(text.buffer_of(batch.column(keys + 1))[0].tobytes(), np.int64)
@@ -223,6 +238,53 @@ def merged_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[
         yield [held.key], np.zeros(1, np.int64), held.word, held.n, held.payload
 
 
+def slices_of(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about ``limit`` bytes of a binary column, at least one row each."""
+    for batch in batches:
+        ends = text.buffer_of(batch.column(column))[1]
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def merged_bundles(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Elementwise sums of the stripes of equal prefixes, in bundles sorted by language and bucket.
+
+    Gives some buckets at a time: language and words of each prefix, the first place of each in what follows, next words, counts.
+    A bucket is held, merged, until another one comes.
+    """
+    key, held = None, None
+
+    def stripes_of(langs: list, run: np.ndarray, own: np.ndarray, word: np.ndarray, n: np.ndarray):
+        new = np.append(True, (run[1:] != run[:-1]) | (own[1:] != own[:-1]).any(axis=1))
+        at = np.flatnonzero(new)
+        return pa.array(langs, pa.string()).take(pa.array(run[at])), own[at], at, word, n
+
+    for batch in slices_of(batches, 4, 8 * MERGE_ENTRIES):
+        names, change = _runs([batch.column(0), batch.column(1)])
+        columns = [text.buffer_of(batch.column(i)) for i in range(2, 6)]
+        units, sizes, word, n = (np.frombuffer(c[0].tobytes(), k) for c, k in zip(columns, (U64, np.uint32, U64, np.uint32)))
+        row = np.repeat(np.cumsum(change) - 1, np.diff(columns[1][1]) // 4)
+        run, own, n = np.repeat(row, sizes), np.repeat(units.reshape(-1, size), sizes, axis=0), n.astype(np.int64)
+        if held is not None:
+            if key != names[0]:
+                run, names = run + 1, [key, *names]
+            run, own, word, n = (np.concatenate(x) for x in zip((np.zeros(len(held[1]), np.int64), *held), (run, own, word, n)))
+        prefix = hash_of(own)
+        order = np.lexsort((word, prefix, run))
+        run, prefix, word = run[order], prefix[order], word[order]
+        first = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1])))
+        n, run, own, word = np.add.reduceat(n[order], first), run[first], own[order[first]], word[first]
+        last = int(np.searchsorted(run, len(names) - 1))
+        key, held = names[-1], (own[last:], word[last:], n[last:])
+        if last:
+            yield stripes_of([k[0] for k in names], run[:last], own[:last], word[:last], n[:last])
+    if held is not None:
+        yield stripes_of([key[0]], np.zeros(len(held[1]), np.int64), *held)
+
+
 def merge_words(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frequent words with their counts, and the sum of each sub-stripe."""
     for names, at, word, n, payload in merged_runs(batches, 2):
@@ -236,15 +298,14 @@ def merge_words(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 def merge_stripes(size: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frequent extensions with their counts ``a``; and the prefix of each sub-stripe with its largest extension ``best``."""
-    for names, at, word, n, _ in merged_runs(batches, 3):
-        lang, prefix = pa.array([k[0] for k in names], pa.string()), pa.array([k[1] for k in names], pa.binary())
+    for lang, prefix, at, word, n in merged_bundles(size, batches):
         owner = np.searchsorted(at, np.arange(len(word)), side="right") - 1
         often = np.flatnonzero(n >= least)
-        longer = np.concatenate([_matrix(prefix)[owner[often]], word[often][:, None]], axis=1)
+        longer = np.concatenate([prefix[owner[often]], word[often][:, None]], axis=1)
         yield pa.RecordBatch.from_arrays([lang.take(pa.array(owner[often])), _binary(np.arange(len(often) + 1) * 8 * (size + 1), longer), pa.array(n[often]), pa.nulls(len(often), pa.int64())], ["lang", "words", "a", "best"])
         best = np.maximum.reduceat(n, at)
-        top = pa.array(np.flatnonzero(best >= least))
-        yield pa.RecordBatch.from_arrays([lang.take(top), prefix.take(top), pa.nulls(len(top), pa.int64()), pa.array(best).take(top)], ["lang", "words", "a", "best"])
+        top = np.flatnonzero(best >= least)
+        yield pa.RecordBatch.from_arrays([lang.take(pa.array(top)), _binary(np.arange(len(top) + 1) * 8 * size, prefix[top]), pa.nulls(len(top), pa.int64()), pa.array(best[top])], ["lang", "words", "a", "best"])
 
 
 def dealt(rows: DataFrame, send: Callable, schema: str, keys: list[str], merge: Callable, out: str, name: str) -> DataFrame:
@@ -264,13 +325,13 @@ def frequencies(documents: DataFrame, least: int = 100, longest: int = MAX_WORDS
     langs = store.written(found.where("total IS NOT NULL").groupBy("lang").agg(F.sum("total").alias("n")), "languages")
     n_words = langs.agg(F.sum("n")).first()[0] or 0
     words, levels = found.where("a IS NOT NULL").drop("total"), []
-    known = passed(words, n_words)
+    known, bits = passed(words, n_words), min(30, (max(0, n_words - 1) // BUCKET_WORDS).bit_length())
     for size in range(1, longest):
         if known is None:
             break
         shared = spark.sparkContext.broadcast(known)
         levels.append(dealt(
-            rows, lambda b, size=size, shared=shared: stripes(size, shared.value, b), STRIPES, ["lang", "prefix", "sub"],
+            rows, lambda b, size=size, shared=shared: stripes(size, shared.value, bits, b), STRIPES, ["lang", "bucket"],
             lambda b, size=size: merge_stripes(size, least, b), MERGED, f"stripes-{size}"))
         known = passed(levels[-1], n_words) if size + 1 < longest else None
     if not levels:

@@ -93,3 +93,35 @@ def test_empty(spark):
 
 def test_sql(spark):
     against_sql(spark, "op13_phrase_collocations")
+
+
+def test_many_buckets_and_hot_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BUCKET_WORDS", 50)
+    docs = corpus(3)
+    found = collocations.collocations(spark.createDataFrame(docs, "lang string, text string").repartition(6), 6)
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in found.collect()} == brute(docs, 6, 2000)
+
+
+def test_merging_bundles_does_not_depend_on_batches(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    pack = lambda x, kind=np.uint64: np.array(x, kind).tobytes()
+    want, rows = collections.Counter(), []
+    for _ in range(80):
+        lang, bucket = rng.choice("ab"), rng.randrange(4)
+        units = rng.sample(range(6), 3)
+        follows = [rng.sample(range(1, 9), rng.randrange(1, 4)) for _ in units]
+        want.update((lang, bucket * 10 + u, 7, w) for u, x in zip(units, follows) for w in x)
+        rows.append((lang, bucket, pack([[bucket * 10 + u, 7] for u in units]), pack([len(x) for x in follows], np.uint32), pack(sum(follows, [])), pack([1] * sum(map(len, follows)), np.uint32)))
+    columns = list(zip(*sorted(rows, key=lambda r: r[:2])))
+    table = pa.table({"lang": columns[0], "bucket": pa.array(columns[1], pa.int32()), **dict(zip(["prefixes", "sizes", "next", "n"], columns[2:]))})
+    for size, entries in ((1, 100), (7, 100), (100, 100), (100, 1)):
+        monkeypatch.setattr(collocations, "MERGE_ENTRIES", entries)
+        got = {}
+        for langs, own, at, word, n in collocations.merged_bundles(2, iter(table.to_batches(max_chunksize=size))):
+            owner = np.searchsorted(at, np.arange(len(word)), side="right") - 1
+            part = {(langs[int(o)].as_py(), *map(int, own[o]), int(w)): int(c) for o, w, c in zip(owner, word, n)}
+            assert not part.keys() & got.keys() and len(part) == len(word)
+            got |= part
+        assert got == want
