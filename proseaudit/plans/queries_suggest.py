@@ -83,7 +83,7 @@ def n06(spark, sf):
 
     brands = readers.table(spark, sf, "part").select(F.col("p_brand").alias("term"))
     names = readers.table(spark, sf, "customer").select(F.col("c_name").alias("term"))
-    extra = names.select(F.explode(F.array(F.lit("staff"), F.lit("AI"), F.lit("—"))).alias("term"))
+    extra = spark.createDataFrame([("staff",), ("AI",), ("—",)], "term string")
     terms = brands.unionByName(names).unionByName(extra).distinct()
     return protect.containing_terms(corpus.lines(spark, sf), terms, ["src", "key", "ord"])
 

@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from proseaudit.functions import naming, visual
@@ -61,15 +63,44 @@ def test_protection(spark, tmp_path):
     assert sorted((r.doc_id, r.text, r.is_protected) for r in marked) == [(1, "ask bo li", True), (1, "li", True), (2, "bo li", False)]
 
 
-def test_containment_join_equals_brute_force(spark):
+@pytest.mark.parametrize("limit, few", [(1000, 64), (1000, 0), (0, 0)])
+def test_containment_join_equals_brute_force(spark, limit, few):
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab cé") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["same start here"] * 3
-    terms = sorted({"".join(rng.choice("ab cé") for _ in range(rng.randint(1, 11))) for _ in range(80)} | {"same start here", "same start"})
+    texts += ["", "filler " * 60 + "across the cut same start here" + " filler" * 60, "ab" * 400]
+    terms = sorted({"".join(rng.choice("ab cé") for _ in range(rng.randint(1, 11))) for _ in range(80)} | {"same start here", "same start", "ab" * 150})
     t = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = sorted((r.i, r.term) for r in protect.containing_terms(t, spark.createDataFrame([(x,) for x in terms], "term string"), ["i"]).collect())
+    found = protect.containing_terms(t, spark.createDataFrame([(x,) for x in [*terms, "", None, terms[0]]], "term string"), ["i"], limit=limit, few=few)
+    got = sorted((r.i, r.term) for r in found.collect())
     assert got == sorted((i, x) for i, s in enumerate(texts) for x in terms if x in s)
 
 
+def test_heavy_keys_are_dealt_out(spark):
+    """Half of the rows hold one key: no group of key and salt is more than three times the median of the others, and the join is whole."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 64).cast("string"))).alias("k"), "id")
+    groups, heavy = protect.dealt(rows, "k")
+    sizes = sorted(r["count"] for r in groups.where("k = 'hot'").groupBy("_salt").count().collect())
+    assert len(sizes) == 64 and sizes[-1] <= 3 * sizes[32]
+    terms = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), ("none", 4)], "k string, t int")
+    got = {r.t: r["count"] for r in protect.split_join(rows, terms, "k").groupBy("t").count().collect()}
+    assert got == {1: 20_000, 2: 625, 3: 625}
+
+
+def test_rows_that_cannot_match_go_before_the_shuffle(spark):
+    rows, terms = spark.range(100_000).select(F.col("id").cast("string").alias("k")), spark.range(0, 100_000, 100).select(F.col("id").cast("string").alias("k"))
+    kept = protect.passing(rows, terms, "k")
+    assert kept.join(terms, "k", "left_semi").count() == 1000 and kept.count() < 9000
+    assert protect.passing(rows, terms.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_term_table_with_one_term_in_every_text(spark, limit):
+    texts = spark.range(3000).select("id", F.concat(F.lit("the hot term and The w"), F.col("id").cast("string"), F.lit(" the end")).alias("text"))
+    terms = spark.createDataFrame([("the", "THE"), ("hot term", "x"), ("w7", "seven"), ("w7 the end", "y"), ("gone", "z")], "term string, preferred string")
+    got = {(r.term, r.preferred): (r.n, r.hits) for r in protect.replace_by_table(texts, terms, ["id"], limit=limit).groupBy("term", "preferred").agg(F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits")).collect()}
+    assert got == {("the", "THE"): (3000, 9000), ("hot term", "x"): (3000, 3000), ("w7", "seven"): (1, 1), ("w7 the end", "y"): (1, 1)}
+
+
 def python_pack(sentences, width):
     out, cur = [], ""
     for s in sentences:
