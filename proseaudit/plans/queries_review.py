@@ -11,7 +11,7 @@ from proseaudit.plans import oracle as o
 from proseaudit.plans import queries_model as qm
 from proseaudit.plans import queries_rules as qr
 from proseaudit.plans.registry import query
-from proseaudit.sources import readers, sinks
+from proseaudit.sources import readers, sinks, snapshots
 from proseaudit.streaming import progress
 from proseaudit.streaming import review as live
 
@@ -126,10 +126,20 @@ def _latest(df: DataFrame) -> DataFrame:
 
 @query("r02_latest_state", _LATEST_SQL)
 def r02(spark, sf):
-    """Latest stage per file of a stream, without streaming state."""
+    """Latest stage per file of a stream, in a table with one row per file."""
     out = sinks.shared_folder(spark, "latest")
-    live.drain_batches(_progress(_events(spark, sf)), progress.partial_state, f"{out}/rows", f"{out}/checkpoint")
-    return _latest(progress.merged_state(spark.read.parquet(f"{out}/rows/batch=*")))
+    table = snapshots.Snapshot(spark, f"{out}/state", ["file_id"])
+    live.drain_into(_progress(_events(spark, sf)), progress.fold_state(table), f"{out}/checkpoint")
+    return _latest(progress.merged_state(table.read()))
+
+
+@query("r02_subscription", (
+    f"WITH {_PROGRESS_SQL}, done AS (SELECT file_id, min(row(ts, event_id)) AS e FROM progress WHERE stage = 'completed' GROUP BY file_id) "
+    "SELECT event_id, file_id, stage FROM progress LEFT JOIN done USING (file_id) WHERE e IS NULL OR row(ts, event_id) <= e"
+))
+def r02_subscription(spark, sf):
+    """Events of every file up to the one that completes it."""
+    return progress.until_completed(_progress(readers.table(spark, sf, "events"))).select("event_id", "file_id", "stage")
 
 
 @query("r02_latest_state_batch", _LATEST_SQL)
@@ -178,5 +188,6 @@ def r06(spark, sf):
 def r07(spark, sf):
     """One result per file out of a stream with many events per file."""
     out = sinks.shared_folder(spark, "once")
-    live.drain_batches(_progress(_events(spark, sf)).select("file_id", "event_id"), progress.once_per_file(f"{out}/rows"), f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/rows/batch=*").select("file_id")
+    once = progress.OncePerFile(spark, f"{out}/rows", f"{out}/filters")
+    live.drain_into(_progress(_events(spark, sf)).select("file_id", "event_id"), once, f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows").select("file_id")

@@ -36,6 +36,11 @@ def drain_batches(stream: DataFrame, make: Callable[[DataFrame, int], DataFrame]
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def drain_into(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a stream into a sink that takes batches and their numbers, and stop."""
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def review_stream(documents: DataFrame, text: str = "text") -> DataFrame:
     """Issues of arriving documents; stateless, so it needs no watermark."""
     return review.document_issues(documents, text)
