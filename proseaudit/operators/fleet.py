@@ -209,3 +209,14 @@ def purge_count(sessions: DataFrame, now: str) -> DataFrame:
 
 def session_expiry(created: Column, hours: int = 24) -> Column:
     return created + F.expr(f"interval {hours} hours")
+
+
+def session_windows(events: DataFrame, user: str, at_column: str, gap: str) -> DataFrame:
+    """``(user, started_at, expires_at, n_events)``: a session lasts until ``gap`` after its last event; an event at that very time opens a new one.
+
+    Works on tables and, with a watermark on the time, on streams; there, late events within the watermark join or bridge sessions.
+    Events without a user make sessions of their own, those without a time none.
+    """
+    timed = events.withColumn(at_column, F.col(at_column).cast("timestamp")) if not events.isStreaming else events
+    found = timed.groupBy(user, F.session_window(at_column, gap).alias("_s")).agg(F.count(F.lit(1)).alias("n_events"))
+    return found.select(user, F.col("_s.start").alias("started_at"), F.col("_s.end").alias("expires_at"), "n_events")

@@ -306,15 +306,26 @@ _KEYWORD_SQL = "CASE " + " ".join(
     "WHEN " + " OR ".join(f"contains(clean, '{w}')" for w in words) + f" THEN '{lx.LEAD_WORD} {suffix}'" for suffix, words in lx.TEMPLATE_KEYWORDS
 ) + " END"
 _EDIT = "1 - levenshtein(clean, t)::DOUBLE / greatest(length(clean), length(t), 1)"
-_MATCH_SQL = (
+_OPEN_SQL = (
     f"{_FILES_SQL}, open_names AS (SELECT DISTINCT clean FROM clean WHERE clean NOT IN ({', '.join(o.lit(t) for t in _TEMPLATES)}) AND {_KEYWORD_SQL} IS NULL), "
-    f"best AS (SELECT clean, t, ratio FROM (SELECT clean, t, {_EDIT} AS ratio, row_number() OVER (PARTITION BY clean ORDER BY {_EDIT} DESC, t) AS r FROM open_names, "
-    f"(SELECT unnest({[t for t in _TEMPLATES]}) AS t)) WHERE r = 1)"
+    f"pairs AS (SELECT clean, t FROM open_names, (SELECT unnest({[t for t in _TEMPLATES]}) AS t))"
+)
+_BEST = "best AS (SELECT clean, t, ratio FROM (SELECT clean, t, {r} AS ratio, row_number() OVER (PARTITION BY clean ORDER BY {r} DESC, t) AS r FROM {f}) WHERE r = 1)"
+# Of all texts in a, longest and earliest first, the first that is in b; then the same for what is before and after it.
+_LONGEST = (
+    "list_filter(flatten(list_transform(range(least(length(a), length(b)), 0, -1), lambda n: list_transform(range(1, length(a) - n + 2), lambda i: substr(a, i, n)))), "
+    "lambda s: contains(b, s))[1]"
+)
+_BLOCKS_SQL = (
+    f"{_OPEN_SQL}, "
+    f"blocks(clean, t, a, b) AS (SELECT clean, t, clean, t FROM pairs UNION ALL SELECT clean, t, CASE WHEN side = 0 THEN substr(a, 1, instr(a, s) - 1) ELSE substr(a, instr(a, s) + length(s)) END, "
+    f"CASE WHEN side = 0 THEN substr(b, 1, instr(b, s) - 1) ELSE substr(b, instr(b, s) + length(s)) END FROM (SELECT *, {_LONGEST} AS s FROM blocks WHERE a <> '' AND b <> ''), (VALUES (0), (1)) v(side) WHERE s IS NOT NULL), "
+    f"ratios AS (SELECT clean, t, 2.0::DOUBLE * coalesce(sum(length({_LONGEST})), 0) / (length(clean) + length(t)) AS x FROM blocks GROUP BY clean, t), {_BEST.format(r='x', f='ratios')}"
 )
 
 
 @query("m10_template_match", (
-    f"WITH {_MATCH_SQL} SELECT id, v, CASE WHEN c.clean IN ({', '.join(o.lit(t) for t in _TEMPLATES)}) THEN c.clean ELSE coalesce({_KEYWORD_SQL.replace('clean', 'c.clean')}, CASE WHEN ratio >= 0.6 THEN t END, '{lx.LEAD_WORD} standard template') END AS template, "
+    f"WITH RECURSIVE {_BLOCKS_SQL} SELECT id, v, CASE WHEN c.clean IN ({', '.join(o.lit(t) for t in _TEMPLATES)}) THEN c.clean ELSE coalesce({_KEYWORD_SQL.replace('clean', 'c.clean')}, CASE WHEN ratio >= 0.6 THEN t END, '{lx.LEAD_WORD} standard template') END AS template, "
     f"CASE WHEN c.clean IN ({', '.join(o.lit(t) for t in _TEMPLATES)}) THEN 'exact' WHEN {_KEYWORD_SQL.replace('clean', 'c.clean')} IS NOT NULL THEN 'keyword' WHEN ratio >= 0.6 THEN 'fuzzy' ELSE 'default' END AS strategy "
     "FROM clean c LEFT JOIN best b ON c.clean = b.clean"
 ))
@@ -322,11 +333,19 @@ def m10(spark, sf):
     return templates.match_templates(files(spark, sf), _TEMPLATES).select("id", "v", "template", "strategy")
 
 
-@query("m11_edit_ratio", f"WITH {_MATCH_SQL} SELECT clean, t AS template, round(ratio, 6) AS ratio FROM best")
-def m11(spark, sf):
+def _open_names(spark, sf) -> DataFrame:
     clean = files(spark, sf).withColumn("clean", naming.matching_name(F.col("filename")))
-    open_names = clean.where(~F.col("clean").isin(*_TEMPLATES) & templates.keyword_template(F.col("clean")).isNull())
-    return templates.best_by_ratio(open_names, _TEMPLATES).withColumn("ratio", F.round("ratio", 6))
+    return clean.where(~F.col("clean").isin(*_TEMPLATES) & templates.keyword_template(F.col("clean")).isNull())
+
+
+@query("m11_edit_ratio", f"WITH {_OPEN_SQL}, {_BEST.format(r=_EDIT, f='pairs')} SELECT clean, t AS template, round(ratio, 6) AS ratio FROM best")
+def m11(spark, sf):
+    return templates.best_by_ratio(_open_names(spark, sf), _TEMPLATES).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("m11_block_ratio", f"WITH RECURSIVE {_BLOCKS_SQL} SELECT clean, t AS template, round(ratio, 6) AS ratio FROM best")
+def m11_blocks(spark, sf):
+    return templates.best_by_ratio(_open_names(spark, sf), _TEMPLATES, ratio=templates.block_ratio).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("m12_template_lookup", (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proseaudit.functions import lexicons as lx
 from proseaudit.operators import fleet, report
 from proseaudit.plans import corpus, queries_fleet, review
 from proseaudit.plans import oracle as o
@@ -66,12 +67,17 @@ def review_actionable(spark, sf):
 
 @query("review_full")
 def review_full(spark, sf):
-    """Conversations as slide documents of several pages: issues of every family by document, and the score they lead to."""
+    """Conversations as slide documents of several pages: issues of every family by document, zeros included, and the score they lead to.
+
+    Technical terms are protected in every document, so no rewrite touches them.
+    """
     docs = sinks.written(readers.from_slides(qm.raw_slides(spark, sf)), "slides")
     files = docs.select("doc_id", F.concat(F.lit("conversation "), F.col("doc_id").cast("string"), F.lit(".pptx")).alias("original_filename"))
-    issues = sinks.written(review.full_review(docs, files), "issues")
+    protected = docs.select("doc_id", F.explode(F.array(*[F.lit(t) for t in lx.TECH_TERMS])).alias("term"))
+    issues = sinks.written(review.full_review(docs, files, protected), "issues")
     counts = report.tallies(issues, ["doc_id"], {"category": report.CATEGORIES})
-    return review.full_scores(docs, issues).select("doc_id", "total_pages", "total_issues", "overall_score", "grade").join(counts, "doc_id")
+    scores = review.full_scores(docs, issues).select("doc_id", "total_pages", "total_issues", "overall_score", "grade")
+    return scores.join(counts, "doc_id", "left").fillna(0, [c for c in counts.columns if c != "doc_id"])
 
 
 @query("review_score_by_label", (
@@ -184,6 +190,20 @@ def r06(spark, sf):
     return e.withColumn("is_live", F.col("expires_at") > fleet.at(queries_fleet.NOW))
 
 
+_GAP = "INTERVAL 6 HOUR"
+
+
+@query("r06_sessions", (
+    f"WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + {_GAP} THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "n AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) "
+    f"SELECT user_id, min(ts) AS started_at, max(ts) + {_GAP} AS expires_at, count(*) AS n_events FROM n GROUP BY user_id, n"
+))
+def r06_sessions(spark, sf):
+    """Sessions of every user: each event keeps a session alive for six hours more."""
+    found = fleet.session_windows(readers.table(spark, sf, "events"), "user_id", "ts", "6 hours")
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "expires_at")], "n_events")
+
+
 @query("r07_once_per_file", "SELECT DISTINCT user_id AS file_id FROM events")
 def r07(spark, sf):
     """One result per file out of a stream with many events per file."""

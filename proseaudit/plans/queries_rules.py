@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from proseaudit.functions import gates, rewrite, spans
 from proseaudit.functions import lexicons as lx
 from proseaudit.functions import text as tx
-from proseaudit.operators import catalogue, protect, rules, segment
+from proseaudit.operators import catalogue, protect, rules, segment, sentiment
 from proseaudit.plans import corpus
 from proseaudit.plans import oracle as o
 from proseaudit.plans.registry import query
-from proseaudit.sources import readers
+from proseaudit.sources import readers, sinks
 
 MARKED = f"WITH {corpus.LINES_SQL}, marked AS (SELECT *, {o.mark('text')} AS t FROM lines) "
 
@@ -375,6 +375,26 @@ def h03(spark, sf):
     )
 
 
+_BENCH_WORDS_SQL = (
+    f"lex AS (SELECT word, min(weight) AS weight FROM (SELECT word, (length(word) % 5 - 2) * 0.5::DOUBLE AS weight FROM (SELECT unnest(regexp_extract_all(lower(text), '{o.W}+')) AS word FROM benchmark) "
+    f"UNION ALL SELECT unnest({list(lx.SENTIMENT_WEIGHTS)}), unnest({[float(v) for v in lx.SENTIMENT_WEIGHTS.values()]}::DOUBLE[])) GROUP BY word)"
+)
+
+
+@query("h03_lexicon_table", (
+    f"{_SENTS}, {_BENCH_WORDS_SQL}, sums AS (SELECT src, key, ord, sent_index, sum(weight) AS s FROM (SELECT src, key, ord, sent_index, unnest(regexp_extract_all(lower(s), '{o.W}+')) AS word FROM marked) JOIN lex USING (word) GROUP BY ALL) "
+    "SELECT src, key, ord, sent_index, round(s / sqrt(s * s + 15.0), 6) AS compound FROM sums WHERE s / sqrt(s * s + 15.0) <= -0.4"
+))
+def h03_lexicon(spark, sf):
+    """Sentences that score low against a lexicon in files: the words of the benchmark with weights by their length, and the short list."""
+    out = sinks.shared_folder(spark, "lexicon")
+    words = readers.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"{tx.WORD}+"), F.lit(0))).alias("word")).distinct()
+    words.select("word", ((F.length("word") % 5 - 2) * 0.5).alias("weight")).write.json(out)
+    spark.createDataFrame(list(lx.SENTIMENT_WEIGHTS.items()), "word string, weight double").write.mode("append").json(out)
+    scores = sentiment.lexicon_scores(sentences(spark, sf), readers.lexicon(spark, out), ["src", "key", "ord", "sent_index"])
+    return scores.where(F.col("compound") <= lx.SENTIMENT_THRESHOLD).withColumn("compound", F.round("compound", 6))
+
+
 _NEG_CASE = (
     f"(({o.has('t', NEGATIVE)}) OR ({_COMPOUND} <= -0.4 AND NOT ({o.has('t', NEUTRAL)} AND NOT {o.has('t', NEGATION)})))"
 )

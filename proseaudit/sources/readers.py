@@ -203,15 +203,22 @@ def templates(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def file_listing(spark: SparkSession, path: str) -> DataFrame:
+    """``path, modified, length`` of every file under a folder; contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("modified"), "length")
+
+
 def result_history(spark: SparkSession, path: str, keep: int = 10) -> DataFrame:
-    """Newest result files first: file number, name, time processed, issue and page counts."""
+    """Newest result files first: file number, name, time processed, issue and page counts. Only the ``keep`` newest files are parsed."""
     schema = (
         "analysis_metadata struct<timestamp:string>, summary struct<total_issues:long>, "
         "document_metadata struct<total_pages:long>"
     )
+    name = F.element_at(F.split("path", "/"), -1)
+    newest = [r.path for r in file_listing(spark, path).orderBy(F.desc("modified"), name).limit(keep).collect()]
+    found = spark.read.schema(schema).option("multiLine", True).json(newest) if newest else spark.createDataFrame([], schema).withColumn("_metadata", F.lit(None).cast("struct<file_name:string,file_modification_time:timestamp>"))
     return (
-        spark.read.schema(schema).option("multiLine", True).json(path)
-        .select(
+        found.select(
             F.regexp_extract("_metadata.file_name", r"^[^_.]*", 0).alias("file_id"),
             F.col("_metadata.file_name").alias("filename"),
             F.col("analysis_metadata.timestamp").alias("processed_at"),
@@ -221,3 +228,10 @@ def result_history(spark: SparkSession, path: str, keep: int = 10) -> DataFrame:
         )
         .orderBy(F.desc("modified"), "filename").limit(keep).drop("modified")
     )
+
+
+def lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """Word weights from a folder of JSON lines: ``word`` (lower case, trimmed) and ``weight``. Of a word given twice the smaller weight counts; rows
+    without a word or a weight are left out."""
+    rows = spark.read.schema("word string, weight double").json(path)
+    return rows.select(F.lower(tx.strip("word")).alias("word"), "weight").where("word <> '' AND weight IS NOT NULL").groupBy("word").agg(F.min("weight").alias("weight"))

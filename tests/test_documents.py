@@ -199,3 +199,17 @@ def test_header_and_run_rollup(spark):
     runs = spark.createDataFrame([(1, 0, None, None, False, None, None, "default"), (1, 1, "Lato", 14.0, True, None, None, "#FFF"), (1, 2, "Arial", 9.0, None, None, None, "#000")], "p int, run_index int, font_name string, font_size double, is_bold boolean, is_italic boolean, is_underline boolean, color string")
     r = flatten.paragraph_format(runs, ["p"]).collect()[0]
     assert (r.font_name, r.font_size, r.is_bold, r.is_italic, r.color) == ("Lato", 14.0, True, None, "#FFF")
+
+
+def test_block_ratio_equals_the_longest_block_measure(spark):
+    """The standard library's matcher has the measure that file names are matched by."""
+    import difflib
+
+    rng = random.Random(8)
+    words = ["acme", "standard", "template", "project", "review", "ipr", "é", "aab", "aba"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(5))) if rng.random() < 0.5 else "".join(rng.choice("abé ") for _ in range(rng.randrange(14)))
+    pairs = [(name(), name()) for _ in range(1000)] + [("", ""), ("", "a"), ("same", "same")]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    got = {(r.a, r.b): r.x for r in df.select("a", "b", templates.block_ratio(F.col("a"), F.col("b")).alias("x")).collect()}
+    want = {(a, b): difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from proseaudit.functions import gates, rewrite, spans, validate
 from proseaudit.functions import text as tx
-from proseaudit.operators import catalogue, rules, suggest
+from proseaudit.operators import catalogue, rules, sentiment, suggest
+from proseaudit.sources import readers
 
 GOLDEN = {
     "contractions": [("We can't ship", "We cannot ship"), ("Don't go", "Do not go"), ("CAN'T", "Cannot"), ("cant", None)],
@@ -152,6 +153,33 @@ def test_sentiment_takes_any_lexicon(one):
     assert one(lambda c: rules.sentiment(c, lexicon), "very fine") == [2 / 19 ** 0.5]
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("modified", [False, True])
+def test_lexicon_table_equals_the_pattern(spark, limit, modified):
+    rng = random.Random(9)
+    weights, more, turn = {"dire": -3.0, "fine": 2.0, "bad": -2.5, "énorme": 1.5}, {"very": 0.5, "really": 0.25}, ["not", "never"]
+    words = [*weights, *more, *turn, "it", "is", "dires", "Fine", "BAD"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "  ", ", ", "\t", "-", ". "]) for _ in range(rng.randrange(12))) for _ in range(400)] + ["", "not very dire", "dire"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, sentence string")
+    table = lambda d: spark.createDataFrame(list(d.items()), "word string, weight double")
+    modifiers = {"boosters": table(more), "negators": turn} if modified else {}
+    got = {r.i: r.compound for r in sentiment.lexicon_scores(df, table(weights), ["i"], limit=limit, **modifiers).collect()}
+    plain = rules.sentiment(F.col("sentence"), weights, **({"boosters": more, "negators": turn} if modified else {}))
+    want = {r.i: r.x for r in df.select("i", plain.alias("x")).collect()}
+    assert all(abs(got.get(i, 0.0) - x) < 1e-12 for i, x in want.items()) and len(got) > 300
+
+
+def test_a_lexicon_of_ten_thousand_rows_from_a_folder(spark, tmp_path):
+    out = str(tmp_path / "lexicon")
+    spark.range(10_000).select(F.concat(F.lit(" W"), F.col("id").cast("string")).alias("word"), (F.col("id") % 7 - 3).cast("double").alias("weight")).write.json(out)
+    spark.createDataFrame([("w5", -9.0), ("", 1.0), ("x", None), (None, 1.0)], "word string, weight double").write.mode("append").json(out)
+    lexicon = readers.lexicon(spark, out)
+    assert lexicon.count() == 10_000
+    df = spark.createDataFrame([(1, "W5 and w9999 w9999x"), (2, "none")], "i int, sentence string")
+    total = -9.0 + (9999 % 7 - 3)
+    assert [tuple(r) for r in sentiment.lexicon_scores(df, lexicon, ["i"]).collect()] == [(1, total / (total * total + 15) ** 0.5)]
+
+
 def test_catalogue(spark):
     cat = catalogue.catalogue(spark)
     assert cat.count() == 19 and catalogue.select_rules(cat, critical=True).count() == 5 and catalogue.select_rules(cat, with_pattern=True).count() == 14

@@ -128,3 +128,17 @@ def test_a_subscription_ends_at_the_first_completion(spark):
     events = [(1, "a", day(1), "uploading"), (2, "a", day(2), "completed"), (3, "a", day(2), "completed"), (4, "a", day(3), "late"), (5, "b", day(9), "x"), (6, None, day(1), "completed")]
     got = progress.until_completed(spark.createDataFrame(events, "event_id int, file_id string, ts timestamp, stage string"))
     assert sorted(r.event_id for r in got.where("file_id IS NOT NULL").collect()) == [1, 2, 5]
+
+
+def test_late_events_bridge_sessions_of_a_stream(spark, tmp_path):
+    from proseaudit.streaming import review as live
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    batches = [[("a", at(0)), ("a", at(10)), ("b", at(1))], [("a", at(5)), (None, at(3))], [("a", at(100)), ("z", at(200))], [("z", at(201))], [("z", at(400))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "u string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    stream = live.parquet_stream(spark, str(tmp_path / "e"), files_per_batch=1).withWatermark("ts", "12 hours")
+    live.drain(fleet.session_windows(stream, "u", "ts", "6 hours"), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = {tuple(r) for r in fleet.session_windows(spark.read.parquet(str(tmp_path / "e")), "u", "ts", "6 hours").collect()}
+    assert ("a", at(0), at(16), 3) in got and batch - got <= {("z", at(400), at(406), 1)} and got <= batch
