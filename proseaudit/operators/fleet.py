@@ -152,6 +152,12 @@ def already_processed(incoming: DataFrame, done: DataFrame, key: str) -> DataFra
     return incoming.join(done.select(key), key, "left_semi")
 
 
+def mark_processed(incoming: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """All incoming rows with ``is_processed``, in one join."""
+    seen = done.select(key).distinct().withColumn("is_processed", F.lit(True))
+    return incoming.join(seen, key, "left").withColumn("is_processed", F.coalesce("is_processed", F.lit(False)))
+
+
 def member_role(groups: Column, admin_group: str) -> Column:
     return F.when(F.coalesce(F.array_contains(groups, admin_group), F.lit(False)), "admin").otherwise("user")
 

@@ -10,11 +10,12 @@ User rules are added with ``register`` or passed in a list; they look exactly li
 
 from __future__ import annotations
 
+import contextlib
 import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseaudit.functions import gates, spans
@@ -357,6 +358,33 @@ def _candidate(rule: Rule, unit: Column, low: Column, scope: Column | None, term
     ))
 
 
+#: Category of the rows that say a rule gave no verdict on a text.
+FAILED = "rule-error"
+
+
+@contextlib.contextmanager
+def _lenient(spark: SparkSession):
+    """Expressions analysed within it give null where they would fail: a division by zero, a bad cast, an index that is not there."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def _guarded(rule: Rule, unit: Column, candidate: Column, scope: Column | None, low: Column) -> Column:
+    """The candidate of a user's rule, or an error row where its test is null."""
+    silent = rule.test(unit, low).isNull()
+    if scope is not None:
+        silent = (scope == rule.scope) & silent
+    none = F.lit(None)
+    return F.when(silent, F.struct(
+        F.lit(rule.name).alias("rule_name"), F.lit("error").alias("severity"), F.lit(FAILED).alias("category"), F.lit("The rule gave no verdict on this text").alias("description"),
+        unit.alias("found_text"), none.cast("string").alias("suggestion"), none.cast("double").alias("score"), F.lit(1.0).alias("confidence"), F.lit("rule-based").alias("method"),
+    )).otherwise(candidate)
+
+
 def detect(
     units: DataFrame,
     rules: Iterable[str | Rule] = REVIEW_RULES,
@@ -369,21 +397,31 @@ def detect(
     ``terms`` names an array column of protected strings. A rewriting rule whose every match is
     protected or excused by context leaves the text as it is and yields no issue.
 
-    A rule that cannot be built, or that does not fit the columns, is reported as a warning and left out; the others run. What
-    fails on single values only, such as a cast, has to be written with a ``try_`` function.
+    A rule that cannot be built, or that does not fit the columns, is reported as a warning and left out; the others run. A rule of
+    the user that fails on a single text (a division by zero, a bad cast), or whose test is null there, gives an error row for that text, of the
+    category ``rule-error``, and all other issues stand. An error that a rule raises itself (``raise_error``, a UDF) still ends the job.
     """
     chosen = [REGISTRY[r] if isinstance(r, str) else r for r in rules]
     unit, lowered = F.col(text), units.withColumn("_low", F.lower(F.col(text)))
-    usable = []
-    for r in chosen:
-        try:
-            candidate = _candidate(r, unit, F.col("_low"), F.col(scope) if scope else None, F.col(terms) if terms else None)
-            if r.name not in REGISTRY or REGISTRY[r.name] is not r:
+    own, users = [], []
+    scope_column, terms_column = F.col(scope) if scope else None, F.col(terms) if terms else None
+    with _lenient(units.sparkSession):
+        for r in chosen:
+            try:
+                candidate = _candidate(r, unit, F.col("_low"), scope_column, terms_column)
+                if REGISTRY.get(r.name) is r:
+                    own.append(candidate)
+                    continue
+                candidate = _guarded(r, unit, candidate, scope_column, F.col("_low"))
                 lowered.select(candidate)  # analysed here, so a bad rule fails alone
-            usable.append(candidate)
-        except Exception as ex:  # noqa: BLE001 - whatever a rule of the user raises
-            warnings.warn(f"rule {r.name} is left out: {str(ex)[:200]}", stacklevel=2)
-    candidates = F.array(*usable)
+                users.append(candidate)
+            except Exception as ex:  # noqa: BLE001 - whatever a rule of the user raises
+                warnings.warn(f"rule {r.name} is left out: {str(ex)[:200]}", stacklevel=2)
+        if users:  # analysed here, so what fails on a value gives null
+            lowered = lowered.withColumn("_users", F.array(*users))
+    candidates = F.array(*own)
+    if users:
+        candidates = F.concat(candidates, F.col("_users")) if own else F.col("_users")
     # an element's own confidence makes way for the issue's
     drop = {text, scope, terms, *ISSUE_FIELDS}
     keep = [c for c in units.columns if c not in drop]

@@ -11,6 +11,7 @@ from proseaudit.functions import visual
 
 LONG_PARAGRAPH = 1000
 PACKED_PARAGRAPH = 500
+SHELF = 1000
 SENTENCE_GAP = rf"(?<=[.!?]){tx.WS}+"
 PARAGRAPH_GAP = SENTENCE_GAP + "(?=[A-Z])"
 _G = lx.BULLET_GLYPHS
@@ -32,42 +33,38 @@ def paragraphs(page_text: Column) -> Column:
 
 
 def pack(sentences: Column, width: int = PACKED_PARAGRAPH) -> Column:
-    """Join consecutive sentences; a new piece starts when the next one would pass ``width``.
+    """Join consecutive sentences; a new piece starts when the next one would pass ``width``. Sentences hold no blank line.
 
-    Where a piece ends depends on everything before it, so this is a fold over the array. The fold
-    carries only the length of the open piece and the sentence numbers where pieces begin (one int
-    per piece); the text itself is sliced out once at the end.
+    Where a piece ends depends on everything before it, so this is a fold. Its state is the length of the open piece and, for each
+    sentence, a character that says whether it starts a piece. Spark copies the state of a fold at each step, so sentences are
+    folded on shelves of ``SHELF``, and the shelves by a second fold. The text is joined once, with a blank line in front of each
+    start, and split there.
     """
-    zero = F.struct(
-        F.lit(0).cast("int").alias("at"),
-        F.lit(0).cast("int").alias("open"),
-        F.array(F.lit(0)).cast("array<int>").alias("cuts"),
-    )
-
     def step(acc: Column, s: Column) -> Column:
         size = F.length(s)
-        full = (acc["open"] > 0) & (acc["open"] + size > width)
+        starts = (acc["open"] > 0) & (acc["open"] + size > width)
         return F.struct(
-            (acc["at"] + 1).alias("at"),
-            F.when(full | (acc["open"] == 0), size).otherwise(acc["open"] + 1 + size).alias("open"),
-            F.when(full, F.array_append(acc["cuts"], acc["at"])).otherwise(acc["cuts"]).alias("cuts"),
+            F.when(starts | (acc["open"] == 0), size).otherwise(acc["open"] + 1 + size).alias("open"),
+            F.concat(acc["flags"], F.when(starts, "1").otherwise("0")).alias("flags"),
         )
 
+    def shelve(acc: Column, shelf: Column) -> Column:
+        start = F.struct(acc["open"].alias("open"), F.lit("").alias("flags"))
+        return tx.let(F.aggregate(shelf, start, step), lambda done: F.struct(done["open"].alias("open"), F.array_append(acc["shelves"], done["flags"]).alias("shelves")))
+
     def pieces(all_sentences: Column) -> Column:
-        bounds = tx.let(
-            F.aggregate(all_sentences, zero, step, lambda acc: acc["cuts"]),
-            lambda cuts: F.zip_with(
-                cuts,
-                F.concat(F.slice(cuts, 2, 1_000_000_000), F.array(F.size(all_sentences))),
-                lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-            ),
-        )
-        return F.transform(
-            bounds,
-            lambda c: tx.strip(F.array_join(F.slice(all_sentences, c["a"] + 1, c["b"] - c["a"]), " ")),
-        )
+        count = F.ceil(F.size(all_sentences) / F.lit(SHELF)).cast("int")
+        shelves = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(all_sentences, i * SHELF + 1, F.lit(SHELF)))
+        zero = F.struct(F.lit(0).cast("int").alias("open"), F.expr("cast(array() AS array<string>)").alias("shelves"))
+
+        def joined(every: Column) -> Column:
+            flags = F.aggregate(every, zero, shelve, lambda acc: acc["shelves"])
+            lead = lambda f, i: F.when(F.substr(f, i + 1, F.lit(1)) == "1", "\n\n").otherwise(" ")
+            return F.array_join(F.flatten(F.zip_with(every, flags, lambda shelf, f: F.transform(shelf, lambda s, i: F.concat(lead(f, i), s)))), "")
+
+        return F.transform(F.split(tx.let(shelves, joined), "\n\n", -1), tx.strip)
 
-    return tx.let(sentences, pieces)
+    return tx.let(sentences, lambda all_sentences: F.when(F.size(all_sentences) > 0, pieces(all_sentences)).otherwise(all_sentences))
 
 
 def refine(paragraph: Column) -> Column:

@@ -81,8 +81,8 @@ def n05_integrity(spark, sf):
 def n08(spark, sf):
     docs = corpus.uploads(spark, sf).select("id")
     done = corpus.analyses(spark, sf).where("total_issues > 45").select(F.col("document_id").alias("id"))
-    tally = lambda df, s: df.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum")).select(F.lit(s).alias("state"), "n", "id_sum")
-    return tally(fleet.already_processed(docs, done, "id"), "hit").unionByName(tally(fleet.unprocessed(docs, done, "id"), "miss"))
+    marked = fleet.mark_processed(docs, done, "id").withColumn("state", F.when(F.col("is_processed"), "hit").otherwise("miss"))
+    return marked.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
 
 
 @query("n09_member_roles", (

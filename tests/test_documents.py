@@ -135,6 +135,27 @@ def python_chunks(s, n):
     return out
 
 
+def test_packing_a_paragraph_of_many_sentences_takes_linear_time(spark):
+    """Four times the sentences take less than eight times as long, and the pieces are those of plain Python."""
+    import time
+
+    def run(n):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("Sentence number "), i.cast("string"), F.repeat(F.lit(" and so on"), (i % 30).cast("int")), F.lit("."))).alias("s"))
+        df = df.select(segment.pack(F.col("s")).alias("p"), F.col("s"))
+        start = time.perf_counter()
+        row = df.select(F.size("p").alias("n"), F.sha2(F.array_join("p", "|"), 256).alias("h")).first()
+        return time.perf_counter() - start, row
+
+    import hashlib
+
+    few = [f"Sentence number {i}{' and so on' * (i % 30)}." for i in range(1, 3001)]
+    _, row = run(3000)
+    assert row.h == hashlib.sha256("|".join(python_pack(few, 500)).encode()).hexdigest()
+    run(250_000)
+    short, long = run(250_000)[0], run(1_000_000)[0]
+    assert long < 8 * short + 1
+
+
 def test_word_chunks_equal_plain_python(one):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abc  \né") for _ in range(rng.randint(0, 90))) for _ in range(150)]

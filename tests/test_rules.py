@@ -153,6 +153,19 @@ def test_sentiment_takes_any_lexicon(one):
     assert one(lambda c: rules.sentiment(c, lexicon), "very fine") == [2 / 19 ** 0.5]
 
 
+def test_a_rule_that_fails_on_one_value_gives_one_error_row(spark):
+    """Everything else stands; the setting of the session does, too."""
+    ratio = rules.Rule("ratio", "tone", "info", "x", lambda c, low: 10 / F.length(F.regexp_replace(c, "[^x]", "")) > 4)
+    number = rules.Rule("number", "tone", "info", "x", lambda c, low: F.substring(c, 1, 1).cast("int") > 3, reason=lambda c: F.substring(c, 1, 1))
+    df = spark.createDataFrame([(1, "R & D xx"), (2, "9 & no"), (3, "5 xxx can't")], "i int, t string")
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    found = rules.detect(df, ["ampersand", "contractions", ratio, number], text="t", scope=None)
+    assert spark.conf.get("spark.sql.ansi.enabled") == ansi
+    got = sorted((r.i, r.rule_name, r.category) for r in found.collect())
+    assert got == [(1, "ampersand", "grammar"), (1, "number", rules.FAILED), (1, "ratio", "tone"), (2, "ampersand", "grammar"), (2, "number", "tone"), (2, "ratio", rules.FAILED), (3, "contractions", "grammar"), (3, "number", "tone")]
+    assert rules.detect(df, [ratio], text="t", scope=None).count() == 2
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 @pytest.mark.parametrize("modified", [False, True])
 def test_lexicon_table_equals_the_pattern(spark, limit, modified):
