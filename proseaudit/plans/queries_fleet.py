@@ -379,7 +379,7 @@ def p25(spark, sf):
     existing = corpus.users(spark, sf).select(F.col("id").alias("oid"), "email", "display_name", "role", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"), "last_login", "is_active")
     e = readers.table(spark, sf, "events")
     logins = e.select((F.col("user_id") * 11).alias("oid"), F.concat("event_type", F.lit("@example.org")).alias("email"), F.col("props").alias("display_name"), F.when(F.col("value") > 20, "admin").otherwise("user").alias("role"), "ts")
-    table = snapshots.Snapshot(spark, sinks.shared_folder(spark, "users"), ["oid"])
+    table = snapshots.Snapshot(spark, sinks.shared_folder(spark, "users"), ["oid"], 16)
     table.apply(0, existing, fleet.upsert_users)
     for _ in range(2):  # a change set that is sent again counts once
         table.apply(1, logins, fleet.upsert_users)
@@ -393,7 +393,7 @@ def p25(spark, sf):
 def p26(spark, sf):
     """Users with an error event are switched off, the others with events on; user 22 is the actor."""
     changes = readers.table(spark, sf, "events").select((F.col("user_id") * 11).alias("id"), (F.col("event_type") != "error").alias("is_active"))
-    table = snapshots.Snapshot(spark, sinks.shared_folder(spark, "status"), ["id"])
+    table = snapshots.Snapshot(spark, sinks.shared_folder(spark, "status"), ["id"], 16)
     table.apply(0, corpus.users(spark, sf).select("id", "is_active"), fleet.apply_status)
     table.apply(1, changes, lambda users, new: fleet.apply_status(users, new, F.lit(22)))
     return table.read()

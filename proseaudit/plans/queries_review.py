@@ -134,7 +134,7 @@ def _latest(df: DataFrame) -> DataFrame:
 def r02(spark, sf):
     """Latest stage per file of a stream, in a table with one row per file."""
     out = sinks.shared_folder(spark, "latest")
-    table = snapshots.Snapshot(spark, f"{out}/state", ["file_id"])
+    table = snapshots.Snapshot(spark, f"{out}/state", ["file_id"], 16)
     live.drain_into(_progress(_events(spark, sf)), progress.fold_state(table), f"{out}/checkpoint")
     return _latest(progress.merged_state(table.read()))
 

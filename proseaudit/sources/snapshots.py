@@ -19,9 +19,10 @@ Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class Snapshot:
-    """A table in ``buckets`` buckets by a hash of its key columns.
+    """A table in ``buckets`` buckets by a hash of its key columns; choose as many as make buckets of some 100 MB.
 
-    Change sets are numbered; one whose number is not above the last applied is ignored, so a repeated batch counts once. One writer at a time.
+    The first change set is the table itself. Change sets are numbered; one whose number is not above the last applied is ignored, so a
+    repeated batch counts once. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64):
@@ -83,8 +84,10 @@ class Snapshot:
         now = self._current()
         if now["applied"] is not None and number <= now["applied"]:
             return []
-        touched = sorted(r[0] for r in changes.select(self.bucket()).distinct().collect())  # as many as buckets at most
-        merged = merge(self.read(touched), changes) if now["schema"] is not None else changes
+        touched, merged = [], changes
+        if now["schema"] is not None:
+            touched = sorted(r[0] for r in changes.select(self.bucket()).distinct().collect())  # as many as buckets at most
+            merged = merge(self.read(touched), changes)
         folder = f"{number:012d}-{uuid.uuid4().hex}"
         merged.withColumn("_bucket", self.bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
         fresh = {name.split("=")[1]: f"{folder}/{name}" for name in self._names(f"data/{folder}") if name.startswith("_bucket=")}
@@ -92,7 +95,7 @@ class Snapshot:
         version = (self.versions() or [-1])[-1] + 1
         self._swap(version, {"applied": number, "folders": folders, "schema": merged.schema.jsonValue()})
         self._drop_unused()
-        return touched
+        return touched or sorted(map(int, fresh))
 
     def _drop_unused(self) -> None:
         """Drop what neither the current version nor the one before it names, as readers may still hold that."""
