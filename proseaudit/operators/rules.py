@@ -303,7 +303,7 @@ def _any_part(c: Column, low: Column, parts) -> Column:
 
 
 register(Rule(
-    "specificity", "usage", "suggestion", "Use specific terms and concrete dates",
+    "specificity", "usage", "suggestion", "Say when, and say who is meant",
     lambda c, low: _any_part(c, low, SPECIFICITY_PARTS) & ~gates.is_heading_like(c, swot=False),
     reason=lambda c: _first_reason(c, SPECIFICITY_PARTS),
 ))
