@@ -30,6 +30,30 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
+def plain(line: Column) -> Column:
+    """The words with one space between them. Most lines are so already, which byte searches tell without cutting them into words."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for part in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd |= line.contains(part)
+    return F.when(odd, F.array_join(words_of(line), " ")).otherwise(line)
+
+
+def count_words(plain_line: Column) -> Column:
+    spaces = F.octet_length(plain_line) - F.octet_length(F.replace(plain_line, F.lit(" "), F.lit("")))
+    return F.when(plain_line == "", 0).otherwise(spaces + 1)
+
+
+def first_words(plain_line: Column, n: Column) -> Column:
+    """The first n words; without its last -n words where n is negative."""
+    return F.call_function("substring_index", plain_line, F.lit(" "), n)
+
+
+def left_out(plain_line: Column, n: Column, i: Column) -> Column:
+    """The words, of which there are n, but for the one at place i, from 0."""
+    head, tail = first_words(plain_line, i), first_words(plain_line, i - n + 1)
+    return F.when(i == 0, tail).when(i == n - 1, head).otherwise(F.concat(head, F.lit(" "), tail))
+
+
 def without(words: Column, i: Column) -> Column:
     """The words but for the one at place i, from 0."""
     return F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words)))
@@ -42,14 +66,14 @@ def keyed(documents: DataFrame) -> DataFrame:
 def occurrences(documents: DataFrame, min_words: int) -> DataFrame:
     """One row per line: hash of its words, place, and the keys of its halves (for both lengths that a near line can share)."""
     lines = keyed(documents).select("doc_id", "__line_key", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.withColumn("words", words_of(F.col("words"))).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
+    lines = lines.withColumn("words", plain(F.col("words"))).withColumn("n", count_words(F.col("words"))).where(F.col("n") >= min_words)
     m, less = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
 
     def halves(m: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(1), m, F.slice("words", F.lit(1), m)), F.xxhash64(F.lit(2), m, F.slice("words", F.col("n") - m + 1, m))]
+        return [F.xxhash64(F.lit(side), m, first_words(F.col("words"), n)) for side, n in ((1, m), (2, -m))]
 
     (a, b), (c, d) = halves(m), [F.when(m != less, k) for k in halves(less)]
-    return lines.select(F.xxhash64("n", "words").alias("h"), F.struct("doc_id", F.col("__line_key").alias("key"), "line").alias("at"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+    return lines.select(F.xxhash64("words").alias("h"), F.struct("doc_id", F.col("__line_key").alias("key"), "line").alias("at"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
@@ -66,12 +90,13 @@ def near(documents: DataFrame, candidate: DataFrame) -> DataFrame:
     wanted = candidate.groupBy(F.col("at.key").alias("__line_key")).agg(F.collect_list(F.struct("h", "at", "head", "tail")).alias("wanted"))
     texts = keyed(documents.select("doc_id", "text")).join(wanted, "__line_key").select("wanted", "text")
     found = texts.select(F.explode(let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["head"].alias("head"), x["tail"].alias("tail"), F.element_at(lines, x["at"]["line"] + 1).alias("words"))))).alias("x"))
-    lines = store.written(found.select("x.h", "x.at", "x.head", "x.tail", words_of(F.col("x.words")).alias("words")).dropDuplicates(["h"]), "near-lines")
-    half = F.floor((F.size("words") - 1) / 2).cast("int")  # a line that shares only its first half differs after it, and the other way round
-    first, last = F.when(F.col("tail"), 0).otherwise(half), F.size("words") - F.when(F.col("head"), 1).otherwise(half + 1)
+    lines = store.written(found.select("x.h", "x.at", "x.head", "x.tail", plain(F.col("x.words")).alias("words")).dropDuplicates(["h"]).withColumn("n", count_words(F.col("words"))), "near-lines")
+    n = F.col("n")
+    half = F.floor((n - 1) / 2).cast("int")  # a line that shares only its first half differs after it, and the other way round
+    first, last = F.when(F.col("tail"), 0).otherwise(half), n - F.when(F.col("head"), 1).otherwise(half + 1)
     variants = lines.select("h", "at", F.explode(F.transform(
         F.concat(F.array(F.lit(-1)), F.sequence(first, last)),
-        lambda i: F.struct(i.alias("i"), F.when(i < 0, F.xxhash64("words")).otherwise(F.xxhash64(without(F.col("words"), i))).alias("v")))).alias("x"))
+        lambda i: F.struct(i.alias("i"), F.xxhash64(F.when(i < 0, F.col("words")).otherwise(left_out(F.col("words"), n, i))).alias("v")))).alias("x"))
     variants = store.written(variants.select("h", "at", "x.i", "x.v"), "variants")
     first = variants.groupBy("v", "i").agg(F.min("at").alias("first"))
     by_variant = Window.partitionBy("v")  # at most one row for each word of the line
@@ -80,7 +105,7 @@ def near(documents: DataFrame, candidate: DataFrame) -> DataFrame:
     earlier = variants.join(first.select("v", "i", best.alias("best")), ["v", "i"]).where("best < at").groupBy("h").agg(F.min("at").alias("at"), F.collect_set("best").alias("best"))
     other = lines.select(F.col("at").alias("best"), F.col("words").alias("other"))
     pairs = earlier.select("h", F.explode("best").alias("best")).join(other, "best").join(lines.select("h", "words"), "h")
-    return pairs.where(one_apart(F.col("words"), F.col("other"))).select("h").distinct()
+    return pairs.where(let(F.split("words", " "), lambda a: let(F.split("other", " "), lambda b: one_apart(a, b)))).select("h").distinct()
 
 
 def one_apart(a: Column, b: Column) -> Column:
@@ -97,9 +122,13 @@ def removed_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
         found = store.written(occurrences(documents, min_words), "lines")
         distinct = store.written(found.groupBy("h").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in "abcd"]), "distinct-lines")
         gone = near(documents, candidates(distinct)).withColumn("near", F.lit(True))
-        judged = distinct.select("h", F.col("at").alias("first"), "n").join(gone, "h", "left").where("n > 1 or near")
-        rows = found.select("h", "at").join(judged, "h").where("near or at > first").select("at.key", "at.line").distinct()
-        gone = rows.groupBy(F.col("key").alias("__line_key")).agg(F.sort_array(F.collect_list("line")).alias("__line_gone"))
+        judged = store.written(distinct.select("h", F.col("at").alias("first"), "n").join(gone, "h", "left").where("n > 1 or near"), "judged-lines")
+        total = distinct.agg(F.sum("n")).first()[0] or 0
+        heavy = F.col("n") * 1000 >= total  # at most a thousand lines can be so frequent: their verdicts go to the rows
+        often, rows = F.broadcast(judged.where(heavy)), found.select("h", "at")
+        rows = rows.join(often, "h").union(rows.join(often.select("h"), "h", "left_anti").join(judged.where(~heavy), "h"))
+        rows = rows.where("near or at > first").select("at.key", "at.line")
+        gone = rows.groupBy(F.col("key").alias("__line_key")).agg(F.sort_array(F.collect_set("line")).alias("__line_gone"))
         return scratch.kept(gone, "removed-lines")
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tests.llm.compare import against_sql
 
 from proseaudit.llm import line_dedup
@@ -40,3 +42,20 @@ def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
     plan = line_dedup.dedup(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_plain_lines_and_words_left_out(spark):
+    lines = ["a b c d e", " a b c d e", "a  b c d e ", "a\tb\x0bc\x0cd\r", "", " ", "\r", "é ü — x", "one", "a b b a"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.plain(F.col("line")).alias("p")).withColumn("n", line_dedup.count_words(F.col("p")))
+    for r in df.withColumn("out", F.transform(F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - 1)), lambda i: line_dedup.left_out(F.col("p"), F.col("n"), i))).collect():
+        words = r.line.replace("\xa0", "x").split()
+        assert (r.p, r.n) == (" ".join(words), len(words))
+        assert r.out is None or list(r.out) == [" ".join(words[:i] + words[i + 1:]) for i in range(len(words))]
+
+
+def test_line_that_stands_everywhere(spark):
+    """One line in every document: its verdict is broadcast; a thousandth of the rows or more counts as frequent."""
+    docs = [(i, "the same line stands in all texts\n" + " ".join(f"w{i}x{j}" for j in range(6))) for i in range(3000)] + [(5000, "w7x0 w7x1 w7x2 w7x3 w7x4 w7x5")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.__line_removed for r in line_dedup.dedup(df).collect()}
+    assert got == {i: int(i > 0) for i, _ in docs}
