@@ -57,5 +57,5 @@ def test_line_that_stands_everywhere(spark):
     """One line in every document: its verdict is broadcast; a thousandth of the rows or more counts as frequent."""
     docs = [(i, "the same line stands in all texts\n" + " ".join(f"w{i}x{j}" for j in range(6))) for i in range(3000)] + [(5000, "w7x0 w7x1 w7x2 w7x3 w7x4 w7x5")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = {r.doc_id: r.__line_removed for r in line_dedup.dedup(df).collect()}
+    got = {r.doc_id: r["__line_removed"] for r in line_dedup.dedup(df).collect()}
     assert got == {i: int(i > 0) for i, _ in docs}
