@@ -2,9 +2,9 @@
 
 Vectors are compared within a label. Equal vectors are one node with a size. A label's nodes are dealt by hash to shards of about ``shard`` nodes, and each shard
 gets a graph. For every pair of a label's shards one task queries the graph of one with the nodes of the other. A query whose beam holds links only is
-repeated with a wider beam. What the beams must find is audited on queries known to have links: queries are compared with all nodes of the shard, block by block, until
-``audit`` of them have a link to another node. Where so many are not met, all queries have been compared and nothing is left to the graph. Else all beams are widened until they find
-``recall`` of the audited links, in sum and on average over the audited queries (or everything is compared). Similarities within 1e-4 of the threshold are settled in double precision. A task returns link counts and a star for each of its components, never pairs.
+repeated with a wider beam. Beams are audited in every pair of shards, whether it holds links or not: ``plants`` rows of the graph's side are turned by a
+random direction to cosines from the threshold to 0.04 above, and the search must lead back to the rows they came from; and ``audit`` queries are compared with the whole shard.
+Beams are doubled until both audits find ``recall``; only a beam as wide as the shard is a plain comparison. Similarities within 1e-4 of the threshold are settled in double precision. A task returns link counts and a star for each of its components, never pairs.
 
 Defined cases: a vector that is null, empty or zero, or holds a null or a number that is not finite, and one with a null label or id, links with nothing and is
 kept. Vectors of different lengths are never compared. Rows with the same id are vectors of their own.
@@ -95,49 +95,54 @@ def links(nodes: DataFrame, threshold: float, shard: int, beam: int, recall: flo
     return store.written(pairs.mapInArrow(query, "node bigint, links bigint, root bigint"), "vector-links")
 
 
-def found(graph: Graph, x: np.ndarray, y: np.ndarray, threshold: float, beam: int, recall: float, own: bool = False, audit: int = 128) -> np.ndarray:
+def found(graph: Graph, x: np.ndarray, y: np.ndarray, threshold: float, beam: int, recall: float, own: bool = False, audit: int = 128, plants: int = 256) -> np.ndarray:
     """Which rows of x and y are linked, as far as the graph of y finds them; ``own``: x is y, and a row's link to itself is none."""
-    sample, truth = audited(x, y, threshold, own, audit)
-    linked = np.zeros((len(x), len(y)), bool)
-    if len(sample) == len(x):
-        linked[sample] = truth
-        return linked
-    on = truth.any(1)
-    size = truth[on].sum(1)
+    rng = np.random.default_rng(len(x))
+    sample = rng.permutation(len(x))[:audit]
+    truth = exact(x[sample], y, threshold)
+    if own:
+        truth[np.arange(len(sample)), sample] = False
+    origin = rng.permutation(len(y))[:plants]
+    planted = plant(y[origin], threshold, rng)
     while True:
-        todo, width = np.arange(len(x)), min(beam, len(y))
-        while len(todo):
-            if 2 * width >= len(y):  # as wide as the shard: compare with all of it
-                for lo in range(0, len(todo), 512):
-                    linked[todo[lo: lo + 512]] |= exact(x[todo[lo: lo + 512]], y, threshold)
-                break
-            ids, sims = graph.search(x[todo], width)
-            row, col = np.nonzero((sims >= threshold - 1e-4) & (ids >= 0))
-            i, j = todo[row], ids[row, col]
-            sure = sims[row, col] > threshold + 1e-4
-            sure[~sure] = np.einsum("nd,nd->n", x[i[~sure]], y[j[~sure]]) >= threshold
-            linked[i[sure], j[sure]] = True
-            todo, width = todo[sims[:, -1] >= threshold - 1e-4], 4 * width
-        hits = (linked[sample[on]] & truth[on]).sum(1)
-        if (hits.sum() >= recall * size.sum() and (hits / size).mean() >= recall) or 2 * beam >= len(y):
-            linked[sample] |= truth
-            return linked
+        back = searched(graph, planted, y, threshold, beam)[np.arange(len(origin)), origin]
+        hits = searched(graph, x[sample], y, threshold, beam) & truth
+        if (back.mean() >= recall and hits.sum() >= recall * truth.sum()) or beam >= len(y):
+            break
         beam *= 2
+    linked = searched(graph, x, y, threshold, beam)
+    linked[sample] |= truth
+    return linked
+
 
+def plant(y: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """For each row a vector of length 1 whose cosine with it lies between the threshold and 0.04 above, in a random direction."""
+    if y.shape[1] == 1:  # there is no other direction
+        return y
+    cosine = rng.uniform(min(threshold + 1e-6, 1), min(threshold + 0.04, 1), (len(y), 1))
+    away = rng.normal(size=y.shape)
+    away -= (away * y).sum(1, keepdims=True) * y
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+    return cosine * y + np.sqrt(1 - cosine * cosine) * away
 
-def audited(x: np.ndarray, y: np.ndarray, threshold: float, own: bool, audit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x in a random order, until ``audit`` of them have a link or no row is left, and their links."""
-    order, truth, met = np.random.default_rng(len(x)).permutation(len(x)), [np.empty((0, len(y)), bool)], 0
-    for lo in range(0, len(x), audit):
-        part = exact(x[order[lo: lo + audit]], y, threshold)
-        if own:
-            part[np.arange(len(part)), order[lo: lo + audit]] = False
-        truth.append(part)
-        met += int(part.any(1).sum())
-        if met >= audit:
+
+def searched(graph: Graph, x: np.ndarray, y: np.ndarray, threshold: float, beam: int) -> np.ndarray:
+    """Links that the graph of y finds for x. A query whose beam holds links only is repeated with a wider one; a beam of all of y is a plain comparison."""
+    linked = np.zeros((len(x), len(y)), bool)
+    todo, width = np.arange(len(x)), beam
+    while len(todo):
+        if width >= len(y):
+            for lo in range(0, len(todo), 512):
+                linked[todo[lo: lo + 512]] |= exact(x[todo[lo: lo + 512]], y, threshold)
             break
-    truth = np.concatenate(truth)
-    return order[: len(truth)], truth
+        ids, sims = graph.search(x[todo], width)
+        row, col = np.nonzero((sims >= threshold - 1e-4) & (ids >= 0))
+        i, j = todo[row], ids[row, col]
+        sure = sims[row, col] > threshold + 1e-4
+        sure[~sure] = np.einsum("nd,nd->n", x[i[~sure]], y[j[~sure]]) >= threshold
+        linked[i[sure], j[sure]] = True
+        todo, width = todo[sims[:, -1] >= threshold - 1e-4], 4 * width
+    return linked
 
 
 def exact(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:

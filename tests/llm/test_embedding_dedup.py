@@ -101,3 +101,33 @@ def test_audit_sees_rare_links():
     own = embedding_dedup.found(Blind(many, 256), many, many, 0.93, 16, 0.98, own=True)
     np.fill_diagonal(own, False)
     assert (own == (embedding_dedup.exact(many, many, 0.93) & ~np.eye(1000, dtype=bool))).all()
+
+
+def test_links_come_from_the_graph(monkeypatch):
+    """A full shard with few links: every query goes through the graph, and little is compared whole."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4096, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[-150:] = embedding_dedup.plant(x[:150], 0.93, rng)
+    graph, compared, searched = Graph(x), [], []
+    plain, search = embedding_dedup.exact, Graph.search
+    monkeypatch.setattr(embedding_dedup, "exact", lambda a, b, t: compared.append(len(a) * len(b)) or plain(a, b, t))
+    monkeypatch.setattr(Graph, "search", lambda self, q, beam: searched.append(len(q)) or search(self, q, beam))
+    got = embedding_dedup.found(graph, x, x, 0.93, 64, 0.98, own=True)
+    want = plain(x, x, 0.93)
+    np.fill_diagonal(got, False)
+    np.fill_diagonal(want, False)
+    assert want.sum() >= 300 and (got & want).sum() >= 0.98 * want.sum() and not (got & ~want).any()
+    assert sum(compared) < 0.1 * len(x) ** 2 and len(x) in searched
+
+
+def test_recall_over_several_shards(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[-200:] = embedding_dedup.plant(x[:200], 0.93, rng)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(8)).collect()}
+    want = {i: n for i, (n, _) in brute(rows).items()}
+    assert sum(want.values()) >= 400 and sum(got.values()) >= 0.98 * sum(want.values())
+    assert len(got) == len(want) and all(got[i] <= n for i, n in want.items())
