@@ -8,11 +8,13 @@ of the corpus; probabilities that would pass 1 are 1, and the factor makes up fo
 Cells are a small distributed table, one row per combination that occurs; the corpus is read twice, for counts and for the draw.
 
 Defined cases: a null source or language is a value of its own (empty string in the result); a null or empty text has 0 tokens
-and topic 0, and is kept like its cell, with probability 0 if the whole cell is empty. Rows with the same id are drawn alike.
+and topic 0, and is kept like its cell, with probability 0 if the whole cell is empty. Rows with the same id are drawn alike. Input columns
+named like one of the result (``OWN``) are replaced; all others pass through.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from proseaudit.llm import store, text, tokens
 
 MARGINS = ("source", "lang", "topic")
+#: Columns that the result has; columns of the input with these names are replaced.
+OWN = ("__source", "__lang", "__topic", "__n", "__p", "__kept")
 
 
 def topic_of(buf: np.ndarray, offsets: np.ndarray, topics: int) -> np.ndarray:
@@ -53,7 +57,8 @@ def named(source: str, lang: str) -> list[Column]:
 
 
 def rake(cells: DataFrame, targets: dict[str, dict], flatten: float, rounds: int, tolerance: float) -> DataFrame:
-    """Cells (source, lang, topic, n) with weights ``w`` whose margins meet their targets.
+    """Cells (source, lang, topic, n) with weights ``w`` whose margins meet their targets, and ``deviation``: by how much, at most, the last
+    round still had to correct a margin, as a share. It is below ``tolerance`` unless targets contradict each other; then there is a warning, too.
 
     A margin's target shares are the given ones (values that are not named get what is left, by their own share) or else its own
     shares to the power ``flatten``, so that large values lose and small ones gain.
@@ -75,6 +80,7 @@ def rake(cells: DataFrame, targets: dict[str, dict], flatten: float, rounds: int
         own = store.written(own.withColumn("goal", share), "goals")
         scale = own.agg(F.sum("goal")).first()[0] or 1.0
         goals[margin] = own.select(margin, (F.col("goal") * F.lit(total / scale)).alias("goal"))
+    largest = 0.0
     for _ in range(rounds):
         off = None
         for margin in MARGINS:
@@ -88,7 +94,9 @@ def rake(cells: DataFrame, targets: dict[str, dict], flatten: float, rounds: int
         cells = cells.drop("off")
         if largest < tolerance:
             break
-    return cells
+    else:
+        warnings.warn(f"after {rounds} rounds of raking a margin was still {largest:.2g} off its target", stacklevel=2)
+    return cells.withColumn("deviation", F.lit(float(largest)))
 
 
 def calibrated(cells: DataFrame, keep: float) -> DataFrame:
@@ -97,7 +105,7 @@ def calibrated(cells: DataFrame, keep: float) -> DataFrame:
     if not total:
         return cells.withColumn("p", F.lit(0.0))
     factor = keep * total / weight
-    for _ in range(100):
+    while True:  # in each round but the last, another cell reaches probability 1
         full = F.col("w") * factor >= F.col("n")
         fixed, free = cells.agg(F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))).first()
         wanted = (keep * total - fixed) / free if free else factor
@@ -118,6 +126,7 @@ def mix(
     tolerance: float = 1e-4, seed: int = 11, vocabulary: str | None = None, source: str = "source", lang: str = "lang",
 ) -> tuple[DataFrame, DataFrame]:
     """(documents with ``__source, __lang, __topic, __p, __kept`` added, cells with their weights and probabilities)."""
+    documents = documents.drop(*OWN)
     slim = documents.select(*named(source, lang), F.col("text").cast("string").alias("text"))
     counted = with_topic(slim, topics, vocabulary or tokens.vocabulary()).groupBy("__source", "__lang", "__topic").agg(F.sum("__n").alias("n"))
     cells = counted.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), "n")
