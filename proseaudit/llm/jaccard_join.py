@@ -275,7 +275,7 @@ def classes(
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """One document of each class stays: of those with its smallest id (a null id if it has no other) the one with the smallest key.
-    Rows alike in id and text are one document and stay together."""
+    Rows alike in id and text are one document and stay together. Other columns pass through, whatever their names."""
     first = classes(documents, **options).where("doc_id <=> class_id").groupBy("component").agg(F.min("key").alias("__key"))
-    rows = documents.withColumn("__key", row_key()).join(first.select("__key"), "__key", "left_semi")
-    return rows.drop("__key")
+    rows = documents.select(F.struct("*").alias("row"), row_key().alias("__key")).join(first.select("__key"), "__key", "left_semi")
+    return rows.select("row.*")

@@ -75,3 +75,11 @@ def test_keep_one_of_each_class(spark):
     got = sorted(map(str, map(tuple, jaccard_join.keep_one(df).collect())))
     one = [r for r in rows if r not in [(None, text("b")), (None, text("b") + " more"), (None, text("c")), (9, text("e"))]]
     assert any(got == sorted(map(str, [*one, b])) for b in rows[1:3])
+
+
+def test_keep_one_leaves_all_columns(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, words, "a"), (2, words, "b"), (3, "another text", "c")], "doc_id bigint, text string, __key string")
+    got = jaccard_join.keep_one(docs.selectExpr("*", "1 AS row"))
+    assert got.columns == ["doc_id", "text", "__key", "row"]
+    assert sorted((r.doc_id, r["__key"]) for r in got.collect()) == [(1, "a"), (3, "c")]
