@@ -105,13 +105,14 @@ def calibrated(cells: DataFrame, keep: float) -> DataFrame:
     if not total:
         return cells.withColumn("p", F.lit(0.0))
     factor = keep * total / weight
-    while True:  # in each round but the last, another cell reaches probability 1
+    known = 0
+    while True:  # as long as more cells reach probability 1, so it ends
         full = F.col("w") * factor >= F.col("n")
-        fixed, free = cells.agg(F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))).first()
-        wanted = (keep * total - fixed) / free if free else factor
-        if wanted <= factor * (1 + 1e-12):
+        fixed, free, reached = cells.agg(
+            F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0)), F.count(F.when(full, 1))).first()
+        if not free or reached <= known:
             break
-        factor = wanted
+        known, factor = reached, max(factor, (keep * total - fixed) / free)
     return cells.withColumn("p", F.least(F.lit(1.0), F.lit(factor) * F.col("w") / F.col("n")))
 
 
