@@ -7,8 +7,10 @@
    on average. Buckets of up to ``limit`` sets (1 MB of vectors) are compared by brute force on the vectors; larger ones are split again, and
    what is still larger after ``depth`` steps, being alike throughout, is compared in blocks. No pair becomes a row:
    a bucket gives a star of links for each of its components.
-3. Batches of runs with new draws are repeated until a batch adds less than 1 - ``recall`` of the links that join candidate
-   components. Buckets that lie in one known component are skipped.
+3. Batches of runs with new draws are repeated until a batch adds less than 1 - ``recall`` of the links that join candidate components and
+   an audit finds ``recall`` of its links inside components: sampled sets, at most ``audited`` of together at most ``AUDIT`` shingles, are
+   compared exactly with all texts once, and their links are what has to be found. Runs that bring nothing new end the search, too, with a
+   warning if the audit is not met. Buckets that lie in one known component are skipped.
 4. Within each candidate component all pairs are compared exactly, on the shingle sets, in pairs of blocks of bounded size.
    So link counts are complete within a component, and no link rests on an estimate.
 
@@ -19,6 +21,8 @@ Rows of equal id and text are equal copies. A null id is never the class id unle
 from __future__ import annotations
 
 import itertools
+import logging
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 from proseaudit.llm import components, store, text
 
 SHINGLE = 5
+#: Shingles of all audited sets together, at most; sets that would pass it are left out of the sample.
+AUDIT = 1 << 20
+log = logging.getLogger(__name__)
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +231,63 @@ def exact_links(documents: DataFrame, sets: DataFrame, known: DataFrame, thresho
     return placed.mapInArrow(compare, "set bigint, links bigint, root bigint")
 
 
+def true_links(documents: DataFrame, sets: DataFrame, threshold: float, audited: int) -> DataFrame:
+    """A stated sample of sets against all texts: one row per ``set`` that reaches the similarity with a sampled one, with those (``near``)."""
+    chosen, keys, room = [], [], AUDIT
+    for row in sets.select("set", "key", "n").orderBy(F.xxhash64("set"), "set").limit(audited).collect():
+        if row.n <= room:
+            room -= row.n
+            chosen.append(row.set)
+            keys.append(row.key)
+    texts = documents.select(row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    rows = texts.where(F.col("key").isin(keys)).dropDuplicates(["key"]).select("text").toArrow()
+    own = {}
+    for _, buf, offsets in text.slices(rows.to_batches(), "text"):
+        found, first = shingles(buf, offsets)
+        for i in range(len(offsets) - 1):
+            mine = np.unique(found[first[i]: first[i + 1]])
+            own[_id(*identity(mine))] = mine
+    ids = np.array(sorted(own), np.int64)
+    sizes = np.array([len(own[i]) for i in ids.tolist()], np.int64)
+    posted = np.concatenate([own[i] for i in ids.tolist()]) if len(ids) else np.empty(0, np.uint64)
+    order = np.argsort(posted, kind="stable")
+    owner, (values, begin, count) = np.repeat(np.arange(len(ids)), sizes)[order], np.unique(posted[order], return_index=True, return_counts=True)
+    head = np.zeros(1 << 24, bool)
+    head[values >> np.uint64(40)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, offsets in text.slices(batches, "text"):
+            keys, first = shingles(buf, offsets)
+            on = np.flatnonzero(head[keys >> np.uint64(40)])
+            at = np.searchsorted(values, keys[on])
+            same = values[np.minimum(at, len(values) - 1)] == keys[on] if len(values) else np.zeros(0, bool)
+            hits = np.unique(np.searchsorted(first, on[same], side="right") - 1)
+            out, near = [], []
+            for r in hits.tolist():
+                mine = np.unique(keys[first[r]: first[r + 1]])
+                at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+                at = at[values[at] == mine]
+                n = count[at]
+                place = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                common = np.bincount(owner[place], minlength=len(ids))
+                linked = ids[common * (1 + threshold) >= threshold * (len(mine) + sizes) - 1e-3]
+                me = _id(*identity(mine))
+                if (linked != me).any():
+                    out.append(me)
+                    near.append(linked[linked != me].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(near, pa.list_(pa.int64()))], ["set", "near"])
+
+    return texts.select("text").mapInArrow(run, "set bigint, near array<bigint>").dropDuplicates(["set"])
+
+
+def measured(truth: DataFrame, known: DataFrame, chosen: DataFrame) -> tuple[int, int]:
+    """(audited links, those of them whose two sets are in one component)."""
+    named = known.select(F.col("node").alias("set"), "component")
+    seeds = named.join(F.broadcast(chosen), "set", "left_semi").select(F.col("set").alias("seed"), F.col("component").alias("of"))  # as many as are audited
+    rows = truth.join(named, "set", "left").select("component", F.explode("near").alias("seed")).join(F.broadcast(seeds), "seed", "left")
+    return rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("component") == F.col("of"), 1))).first()
+
+
 def similar(sets: list[np.ndarray], threshold: float, width: int = 8192) -> np.ndarray:
     """Which pairs of sets reach the Jaccard similarity."""
     n = np.array([len(s) for s in sets])
@@ -244,21 +308,27 @@ def similar(sets: list[np.ndarray], threshold: float, width: int = 8192) -> np.n
 
 
 def classes(
-    documents: DataFrame, threshold: float = 0.8, recall: float = 0.999, width: int = 64, slack: float = 0.17, runs: int = 6, limit: int = 4096,
-    depth: int = 5,
+    documents: DataFrame, threshold: float = 0.8, recall: float = 0.999, width: int = 64, slack: float = 0.22, runs: int = 6, limit: int = 4096,
+    depth: int = 5, audited: int = 512,
 ) -> DataFrame:
     """One row per document: ``doc_id, key`` (of id and text), ``component`` (the class: a set id, or the key of a row without words),
     ``class_id`` (smallest id of the class, which other classes can share where ids are null or repeated) and ``n_links``."""
     with store.Scratch(documents.sparkSession) as scratch:
         signed = store.written(signatures(documents, width), "signatures")
         sets = store.written(signed.groupBy("set").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("least").alias("least")), "sets")
+        truth = store.written(true_links(documents, sets, threshold, audited), "audited-links")
+        seeds = truth.select(F.explode("near").alias("set")).distinct()
         edges, known, merged = None, None, 0
         for batch in itertools.count():
             new = candidate_edges(sets, known, range(batch * runs, batch * runs + runs), width, threshold, slack, limit, depth)
             edges = store.written(new if edges is None else edges.union(new), "candidate-edges")
             known = store.written(components.connected(edges), "candidate-components")
             before, merged = merged, known.where("node != component").count()
-            if batch and merged - before <= (1 - recall) * merged:
+            links, met = measured(truth, known, seeds)
+            log.info("batch %d: %d of %d audited links found", batch, met, links)
+            if batch and merged - before <= (1 - recall) * merged and (met >= recall * links or merged == before):
+                if met < recall * links:
+                    warnings.warn(f"only {met} of {links} audited links were found", stacklevel=2)
                 break
         links = store.written(exact_links(documents, sets, known, threshold), "links")
         whole = components.connected(links.select(F.col("set").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set"), "component")
