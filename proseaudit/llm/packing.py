@@ -29,17 +29,17 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens big
 
 
 def tokenized(documents: DataFrame, source: str, vocabulary: str, end: int) -> DataFrame:
-    """A table of token ids bucketed by input partition: place in it, queue, tokens before it in the queue there, ids."""
+    """A table of token ids bucketed by input partition: place in it, queue, tokens before it in the queue there, ids (two bytes each, or four where the vocabulary needs them)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, row, sent = tokens.Encoder(vocabulary), TaskContext.get().partitionId(), 0, {}
         for batch, buf, offsets in text.slices(batches, "text", 1 << 21):
             ids, first = encoder.slice(buf, offsets)
-            ids, first = np.insert(ids, first[1:], end).astype(np.uint16), first + np.arange(len(first))
+            ids, first = np.insert(ids, first[1:], end).astype(np.uint16 if max(encoder.encoding.max_token_value, end) < 1 << 16 else np.uint32), first + np.arange(len(first))
             n, queues, before = np.diff(first), batch.column(1).to_pylist(), []
             for queue, size in zip(queues, n.tolist()):
                 before.append(sent.get(queue, 0))
                 sent[queue] = before[-1] + size
-            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * first).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ids.itemsize * first).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n), dtype=np.int32)), batch.column(0), batch.column(1), pa.array(before, pa.int64()), pa.array(n), data],
                 ["part", "row", "doc_id", "queue", "before", "n", "ids"],
@@ -85,15 +85,16 @@ def pack(
     """
     rows = tokenized(documents, source, vocabulary or tokens.vocabulary(), end)
     begins = places(rows, window, targets).groupBy("part").agg(F.sort_array(F.collect_list(F.struct("row", "begin"))).alias("begins"))
-    placed = rows.join(begins.hint("shuffle_hash"), "part").select("doc_id", "ids", F.element_at("begins", F.col("row") + 1)["begin"].alias("begin"))
+    placed = rows.join(begins.hint("shuffle_hash"), "part").select("doc_id", "ids", F.element_at("begins", F.col("row") + 1)["begin"].alias("begin"), "n")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, begins = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             out: list[tuple] = []
             held = 0
-            for doc, data, begin in zip(docs, batch.column(1), begins):
-                ids = np.frombuffer(data.as_buffer(), np.uint16).astype("<u4")
+            for doc, data, begin, n in zip(docs, batch.column(1), begins, batch.column(3).to_pylist()):
+                data = data.as_buffer()
+                ids = np.frombuffer(data, np.uint16 if data.size == 2 * n else np.uint32).astype("<u4")
                 at = 0
                 while at < len(ids):
                     offset = (begin + at) % length
