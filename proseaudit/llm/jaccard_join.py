@@ -33,7 +33,7 @@ from proseaudit.llm import components, store, text
 
 SHINGLE = 5
 #: Shingles of all audited sets together, at most; sets that would pass it are left out of the sample.
-AUDIT = 1 << 20
+AUDIT = 1 << 17
 log = logging.getLogger(__name__)
 
 
@@ -251,14 +251,15 @@ def true_links(documents: DataFrame, sets: DataFrame, threshold: float, audited:
     sizes = np.array([len(own[i]) for i in ids.tolist()], np.int64)
     posted = np.concatenate([own[i] for i in ids.tolist()]) if len(ids) else np.empty(0, np.uint64)
     order = np.argsort(posted, kind="stable")
-    owner, (values, begin, count) = np.repeat(np.arange(len(ids)), sizes)[order], np.unique(posted[order], return_index=True, return_counts=True)
-    head = np.zeros(1 << 24, bool)
-    head[values >> np.uint64(40)] = True
+    values, begin, count = (x.astype(kind) for x, kind in zip(np.unique(posted[order], return_index=True, return_counts=True), (np.uint64, np.int32, np.int32)))
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(1 << 20, bool)
+        head[values >> np.uint64(44)] = True
         for batch, buf, offsets in text.slices(batches, "text"):
             keys, first = shingles(buf, offsets)
-            on = np.flatnonzero(head[keys >> np.uint64(40)])
+            on = np.flatnonzero(head[keys >> np.uint64(44)])
             at = np.searchsorted(values, keys[on])
             same = values[np.minimum(at, len(values) - 1)] == keys[on] if len(values) else np.zeros(0, bool)
             hits = np.unique(np.searchsorted(first, on[same], side="right") - 1)
