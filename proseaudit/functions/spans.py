@@ -5,7 +5,7 @@ text is ``gap[0] match[0] gap[1] ... gap[n]``. Both arrays are zipped once, shif
 neighbours, and each decision sees its own zipped entry only; the cost stays linear in the text.
 Nothing leaves the JVM.
 
-Patterns are literals, so each is compiled once per task. Callers guard with ``rlike`` so that the
+Patterns are literals, and gaps are cut at one plain character (``text.split_at``), so each is compiled once per task. Callers guard with ``rlike`` so that the
 array work only runs on texts that match at all.
 """
 
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proseaudit.functions import text as tx
+
 _ALL = 1_000_000_000
 
 
@@ -37,7 +39,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def gaps(text: Column, pattern: str) -> Column:
-    return F.split(text, pattern, -1)
+    return tx.split_at(text, pattern)
 
 
 def count_matches(text: Column, pattern: str) -> Column:

@@ -141,7 +141,7 @@ def elements_from_pages(pages: DataFrame, text: str = "raw_text") -> DataFrame:
 def sentence_array(c: Column) -> Column:
     """Sentences of a text. The split takes all white space between them, so only the ends of the
     text itself need trimming."""
-    return F.split(tx.strip(c), SENTENCE_GAP, -1)
+    return tx.split_at(tx.strip(c), SENTENCE_GAP)
 
 
 def sentences(elements: DataFrame) -> DataFrame:

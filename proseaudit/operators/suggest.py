@@ -30,7 +30,7 @@ def mask_text(df: DataFrame, text: str = "text", prefix: str = "mask") -> DataFr
             "_names", rewrite.placeholders(F.col("_found"), tag, F.size(f"{prefix}_keys"))
         )
         out = out.withColumns({
-            f"{prefix}_text": spans.join_spans(spans.gaps(t, pattern), F.col("_names")),
+            f"{prefix}_text": F.when(F.size("_found") > 0, spans.join_spans(spans.gaps(t, pattern), F.col("_names"))).otherwise(t),
             f"{prefix}_keys": F.concat(f"{prefix}_keys", "_names"),
             f"{prefix}_values": F.concat(f"{prefix}_values", "_found"),
         }).drop("_found", "_names")
@@ -55,11 +55,11 @@ def parse_candidates(responses: DataFrame, keys: list[str], content: str = "cont
     numbered = r"^\s*(\d+)[.)]\s*(.+)$"
     lines = responses.select(
         *keys, F.col(content).rlike("(?m)" + numbered).alias("_numbered"),
-        F.posexplode(F.filter(F.split(F.col(content), r"\r?\n"), lambda s: tx.strip(s) != "")).alias("_pos", "_line"),
+        F.posexplode(F.filter(F.split(F.replace(F.col(content), F.lit("\r\n"), F.lit("\n")), "\n"), lambda s: tx.strip(s) != "")).alias("_pos", "_line"),
     )
     lines = lines.select(
         *keys, "_pos",
-        F.when(F.col("_numbered"), F.regexp_extract("_line", numbered, 1).try_cast("int"))
+        F.when(F.col("_numbered"), F.when(F.col("_line").rlike(numbered), F.regexp_extract("_line", numbered, 1).try_cast("int")))  # a cast that fails is slow
         .otherwise(F.col("_pos") + 1).alias("line"),
         F.when(F.col("_numbered"), F.regexp_extract("_line", numbered, 2)).otherwise(F.col("_line")).alias("_raw"),
     ).where("line is not null")

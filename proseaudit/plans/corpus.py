@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseaudit.functions import naming
+from proseaudit.operators import stage
 from proseaudit.sources import readers
 
 SEEDS = (
@@ -78,7 +79,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeded(spark: SparkSession, sf: str) -> DataFrame:
-    c = readers.table(spark, sf, "customer").select("c_custkey", "c_name")
+    """A file of one row group is read by one task, and a customer becomes many sentences; so the short rows are dealt out first."""
+    c = stage.dealt_out(readers.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
     texts = F.array(*[splice(t, F.col("c_name"), F.col("c_custkey")) for t in SEEDS])
     return c.select(
         F.lit("seed").alias("src"), F.col("c_custkey").alias("key"), F.posexplode(texts).alias("ord", "text")
