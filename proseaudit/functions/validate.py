@@ -10,16 +10,16 @@ from proseaudit.functions import lexicons as lx
 from proseaudit.functions import spans
 from proseaudit.functions import text as tx
 
-LONG_WORD = rf"{tx.BEFORE}[a-z]{{4,}}{tx.AFTER}"
+# The cheapest test comes first, and a run of letters is not tried again in parts.
+LONG_WORD = rf"(?=[a-z]){tx.BEFORE}[a-z]{{4,}}+{tx.AFTER}"
 
 
 def overlap(original: Column, suggestion: Column) -> Column:
     """Share of the original's longer words found in the suggestion; 1.0 when either has none."""
     a = F.array_distinct(spans.matches(F.lower(original), LONG_WORD))
     b = F.array_distinct(spans.matches(F.lower(suggestion), LONG_WORD))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(a, b)) / F.size(a)
-    )
+    share = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
+    return tx.let(a, lambda x: tx.let(b, lambda y: share(x, y)))
 
 
 def is_real(found: Column, suggestion: Column) -> Column:
