@@ -44,7 +44,7 @@ def passing(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     place = F.shiftrightunsigned(F.xxhash64(on), 64 - size)
     words = right.select((place / 64).cast("bigint").alias("id"), F.pmod(place, F.lit(64)).cast("int").alias("_bit")).distinct()
     words = words.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_word"))
-    every = right.sparkSession.range(1 << (size - 6)).join(words, "id", "left")
+    every = right.sparkSession.range(1 << (size - 6)).join(words.hint("merge"), "id", "left")
     bits = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("_word", F.lit(0)).alias("w")))), lambda x: x["w"]).alias("_bits"))
     bits = F.broadcast(sinks.written(bits, "bits"))
     hit = F.bit_get(F.get("_bits", (place / 64).cast("int")), F.pmod(place, F.lit(64)).cast("int"))
@@ -67,11 +67,12 @@ def split_join(left: DataFrame, right: DataFrame, on: str, spread: int = 64) ->
     """Inner join on one column by a shuffle of both sides, for a ``left`` that may hold a key very often.
 
     Rows that cannot match go first (``passing``). Rows of heavy keys go to ``spread`` tasks, each with a copy of the matching rows of ``right``.
+    The join is hinted, here and in ``anchors``: a written table is small as compressed files, so Spark would broadcast millions of its rows.
     """
     left, heavy = dealt(passing(left, right, on), on, spread)
     salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
     right = right.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(salts)).drop("_heavy")
-    return left.join(right, [on, "_salt"]).drop("_salt")
+    return left.join(right.hint("merge"), [on, "_salt"]).drop("_salt")
 
 
 def _pieces(c: Column, size: int, step: int) -> Column:
@@ -89,8 +90,8 @@ def anchors(terms: DataFrame, size: int, step: int, weights: DataFrame | None =
     each = terms.select(term, F.posexplode(F.transform(starts, lambda i: F.substr(F.col(term), i, F.lit(size)))).alias("_at", "piece"))
     shared = each.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
     if weights is not None:
-        shared = shared.join(weights, "piece", "left").select("piece", (F.col("_n") * (1 + F.coalesce("n", F.lit(0)))).alias("_n"))
-    listed = each.join(shared, "piece").groupBy(term).agg(F.array_sort(F.collect_list(F.struct("_at", "_n", "piece"))).alias("_all"))
+        shared = shared.join(weights.hint("merge"), "piece", "left").select("piece", (F.col("_n") * (1 + F.coalesce("n", F.lit(0)))).alias("_n"))
+    listed = each.join(shared.hint("merge"), "piece").groupBy(term).agg(F.array_sort(F.collect_list(F.struct("_at", "_n", "piece"))).alias("_all"))
     runs = F.transform(F.sequence(F.lit(1), F.size("_all") - step + 1), lambda i: F.struct(
         F.array_max(F.transform(F.slice("_all", i, step), lambda x: x["_n"])).alias("worst"), F.slice("_all", i, step).alias("run")))
     return listed.select(term, F.explode(F.array_min(runs)["run"]["piece"]).alias("piece")).distinct()

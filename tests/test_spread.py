@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from proseaudit.functions import rewrite, validate
 from proseaudit.functions import text as tx
-from proseaudit.operators import suggest
+from proseaudit.operators import protect, suggest
 from proseaudit.plans import corpus, queries_names
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,15 @@ def test_candidates_with_and_without_numbers(spark):
     rows = [(1, "1. a\r\n2) b\n\r\nplain\n99999999999. far"), (2, "first\r\r\n second "), (3, "x\n3. third")]
     got = suggest.parse_candidates(spark.createDataFrame(rows, "k long, content string"), ["k"]).collect()
     assert sorted((r.k, r.line, r.candidate) for r in got) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "first"), (2, 2, "second"), (3, 3, "third")]
+
+
+def test_large_tables_that_look_small_as_files_are_not_broadcast(spark):
+    texts = spark.range(3000).select("id", F.concat(F.lit("see Customer#"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit(" now")).alias("text"))
+    terms = texts.select(F.substr("text", F.lit(5), F.lit(18)).alias("term"))
+    found = protect.containing_terms(texts, terms, ["id"], limit=10)
+    assert found.count() == 3000 and found.join(texts, "id").where(F.contains("text", "term")).count() == 3000
+    joins = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [piece" in joins and "BroadcastHashJoin [piece#" not in joins.replace("LeftOuter", "").split("SortMergeJoin [piece")[0]
+    protected = terms.select(F.monotonically_increasing_id().alias("doc_id"), "term", F.lit("k").alias("kind"), F.lit(0).alias("pos"))
+    hits = protect.occurring_terms(protected.select("doc_id", F.col("term").alias("text")), protected)
+    assert "SortMergeJoin" in hits._jdf.queryExecution().executedPlan().toString() and hits.count() == 3000
