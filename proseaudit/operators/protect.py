@@ -146,7 +146,7 @@ def occurring_terms(
         protected = protected.withColumn("_n", F.row_number().over(Window.partitionBy(key, "kind").orderBy("pos"))).where(F.col("_n") <= per_kind)
     first = protected.groupBy(key).agg(F.collect_set("term").alias("_terms"))
     c = F.col(text)
-    hit = texts.join(first, key).select(
+    hit = texts.join(first.hint("merge"), key).select(  # collected terms are larger than their files, by which Spark would broadcast them
         key, F.explode(F.filter("_terms", lambda t: (t != "") & F.contains(c, t))).alias("term")
     )
     longest = Window.partitionBy(key).orderBy(F.length("term").desc(), "term")
