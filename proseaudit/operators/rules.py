@@ -14,6 +14,8 @@ import contextlib
 import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ class Rule:
     confidence: float = 1.0
     scope: str = "element"
     tags: tuple[str, ...] = field(default=())
+    hint: Callable[[Column, Column], Column] | None = None    # cheap; holds for any text with a sentence for which the test holds
 
 
 REGISTRY: dict[str, Rule] = {}
@@ -254,14 +257,19 @@ def is_negative(c: Column, low: Column, weights: dict[str, float] = lx.SENTIMENT
     return (low.contains("no") & gates.has_negative_phrase(c)) | (harsh & ~excused)
 
 
+#: Words without which no score is low.
+HARSH = [w for w, weight in lx.SENTIMENT_WEIGHTS.items() if weight < 0]
+
 register(Rule(
     "positive_language", "tone", "warning", "Say it positively",
     lambda c, low: is_negative(c, low) & tone_gate(c),
     score=lambda c: F.when(~gates.has_negative_phrase(c), sentiment(c)), scope="sentence",
+    hint=lambda c, low: (low.contains("no") & gates.has_negative_phrase(c)) | tx.mentions(low, HARSH),
 ))
 register(Rule(
     "active_voice", "tone", "info", "Use the active voice and commit to the statement",
     lambda c, low: (gates.is_passive(c) | (tx.mentions(low, lx.HEDGES) & gates.has_hedging(c))) & tone_gate(c), scope="sentence",
+    hint=lambda c, low: gates.is_passive(c) | tx.mentions(low, lx.HEDGES),
 ))
 
 # --- usage, per element ------------------------------------------------------------------------------------------
@@ -385,6 +393,14 @@ def _guarded(rule: Rule, unit: Column, candidate: Column, scope: Column | None,
     )).otherwise(candidate)
 
 
+def may_hold(text: Column, rules: Iterable[str | Rule]) -> Column:
+    """Cheap test that holds for every text with a sentence that one of the rules finds; always true if one of them has no hint."""
+    hints = [(REGISTRY[r] if isinstance(r, str) else r).hint for r in rules]
+    if None in hints:
+        return F.lit(True)
+    return tx.let(F.lower(text), lambda low: reduce(or_, [hint(text, low) for hint in hints]))
+
+
 def detect(
     units: DataFrame,
     rules: Iterable[str | Rule] = REVIEW_RULES,

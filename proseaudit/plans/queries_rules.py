@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseaudit.functions import gates, rewrite, spans
 from proseaudit.functions import lexicons as lx
 from proseaudit.functions import text as tx
-from proseaudit.operators import catalogue, protect, rules, segment, sentiment
+from proseaudit.operators import catalogue, protect, rules, segment, sentiment, stage
 from proseaudit.plans import corpus
 from proseaudit.plans import oracle as o
 from proseaudit.plans.registry import query
@@ -17,6 +17,11 @@ from proseaudit.sources import readers, sinks
 MARKED = f"WITH {corpus.LINES_SQL}, marked AS (SELECT *, {o.mark('text')} AS t FROM lines) "
 
 
+def rewritten(lines: DataFrame, name: str, new: Column) -> DataFrame:
+    """The lines that a rewrite changes; it runs once for each line."""
+    return stage.settle(lines.withColumn(name, new), [name]).where(F.col(name) != F.col("text")).select("src", "key", "ord", name)
+
+
 def from_lines(select: str, where: str = "TRUE") -> str:
     columns = f", {select}" if select else ""
     return f"{MARKED} SELECT src, key, ord{columns} FROM marked WHERE {where}"
@@ -347,8 +352,10 @@ _TOTAL = f"coalesce({_WEIGHT}, 0.0)"
 _COMPOUND = f"(CAST({_TOTAL} AS DOUBLE) / sqrt(CAST({_TOTAL} AS DOUBLE) * CAST({_TOTAL} AS DOUBLE) + 15.0))"
 
 
-def sentences(spark, sf) -> DataFrame:
-    body = corpus.lines(spark, sf).where((tx.strip("text") != "") & ~gates.is_heading_like(F.col("text")))
+def sentences(spark, sf, hint: Column | None = None) -> DataFrame:
+    """Sentences of all lines, or of those for which the cheap test ``hint`` on ``text`` holds."""
+    lines = corpus.lines(spark, sf) if hint is None else corpus.lines(spark, sf).where(hint)
+    body = lines.where((tx.strip("text") != "") & ~gates.is_heading_like(F.col("text")))
     return segment.sentences(body).withColumn("sent_index", F.col("sent_index").cast("long"))
 
 
@@ -367,10 +374,11 @@ def h02(spark, sf):
     f"{_SENTS} SELECT src, key, ord, sent_index, round({_COMPOUND}, 6) AS compound FROM marked WHERE {o.has('lower(t)', o.any_m(lx.SENTIMENT_WEIGHTS))} AND {_COMPOUND} <= -0.4"
 ))
 def h03(spark, sf):
+    harsh = lambda c: tx.let(F.lower(c), lambda low: tx.mentions(low, rules.HARSH))
     c = F.col("sentence")
+    scored = sentences(spark, sf, harsh(F.col("text"))).where(harsh(c)).withColumn("_c", rules.sentiment(c))
     return (
-        sentences(spark, sf).where(tx.mentions(F.lower(c), lx.SENTIMENT_WEIGHTS))
-        .withColumn("_c", rules.sentiment(c)).where(F.col("_c") <= lx.SENTIMENT_THRESHOLD)
+        stage.settle(scored, ["_c"]).where(F.col("_c") <= lx.SENTIMENT_THRESHOLD)
         .select("src", "key", "ord", "sent_index", F.round("_c", 6).alias("compound"))
     )
 
@@ -404,13 +412,13 @@ _NEG_CASE = (
     f"{_SENTS} SELECT src, key, ord, sent_index, 'warning' AS severity, CASE WHEN NOT {o.has('t', NEGATIVE)} THEN round({_COMPOUND}, 6) END AS score FROM marked WHERE {_NEG_CASE} AND {_GATE}"
 ))
 def h04(spark, sf):
-    found = rules.detect(sentences(spark, sf), ["positive_language"], text="sentence", scope=None)
+    found = rules.detect(sentences(spark, sf, rules.may_hold(F.col("text"), ["positive_language"])), ["positive_language"], text="sentence", scope=None)
     return found.select("src", "key", "ord", "sent_index", "severity", F.round("score", 6).alias("score"))
 
 
 @query("h05_active_voice", f"{_SENTS} SELECT src, key, ord, sent_index, 'info' AS severity FROM marked WHERE ({o.has('t', PASSIVE)} OR {o.has('t', HEDGING)}) AND {_GATE}")
 def h05(spark, sf):
-    found = rules.detect(sentences(spark, sf), ["active_voice"], text="sentence", scope=None)
+    found = rules.detect(sentences(spark, sf, rules.may_hold(F.col("text"), ["active_voice"])), ["active_voice"], text="sentence", scope=None)
     return found.select("src", "key", "ord", "sent_index", "severity")
 
 
@@ -461,7 +469,7 @@ def active_sql(x: str) -> str:
 def h08(spark, sf):
     c = F.col("text")
     context = F.coalesce(gates.rewrite_context(c), F.lit("neutral"))
-    return corpus.lines(spark, sf).withColumn("rewritten", rewrite.positive(c, context)).where("rewritten <> text").select("src", "key", "ord", "rewritten")
+    return rewritten(corpus.lines(spark, sf), "rewritten", rewrite.positive(c, context))
 
 
 @query("h09_active_rewrite", (
@@ -469,7 +477,7 @@ def h08(spark, sf):
     "SELECT src, key, ord, rewritten FROM r WHERE rewritten <> text"
 ))
 def h09(spark, sf):
-    return corpus.lines(spark, sf).withColumn("rewritten", rewrite.active(F.col("text"))).where("rewritten <> text").select("src", "key", "ord", "rewritten")
+    return rewritten(corpus.lines(spark, sf), "rewritten", rewrite.active(F.col("text")))
 
 
 # --- usage -------------------------------------------------------------------------------------------------------------
@@ -532,7 +540,7 @@ for _p, _r in reversed(lx.SPECIFICITY_REWRITES):
 
 @query("i08_specific_rewrite", changed(_SPECIFIC_SQL))
 def i08(spark, sf):
-    return corpus.lines(spark, sf).withColumn("suggestion", rewrite.specific(F.col("text"))).where("suggestion <> text").select("src", "key", "ord", "suggestion")
+    return rewritten(corpus.lines(spark, sf), "suggestion", rewrite.specific(F.col("text")))
 
 
 INCLUSIVE_SQL = o.fold("text", [("(?i)" + o.m(p), r) for p, r in lx.INCLUSIVE_REWRITES])
@@ -540,7 +548,8 @@ INCLUSIVE_SQL = o.fold("text", [("(?i)" + o.m(p), r) for p, r in lx.INCLUSIVE_RE
 
 @query("i09_inclusive_rewrite", changed(INCLUSIVE_SQL))
 def i09(spark, sf):
-    return corpus.lines(spark, sf).withColumn("suggestion", rewrite.inclusive(F.col("text"))).where("suggestion <> text").select("src", "key", "ord", "suggestion")
+    hit = corpus.lines(spark, sf).where(rewrite.may_exclude(F.col("text")))
+    return rewritten(hit, "suggestion", rewrite.inclusive(F.col("text")))
 
 
 # --- catalogue ------------------------------------------------------------------------------------------------------------

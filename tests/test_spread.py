@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from proseaudit.functions import rewrite, validate
 from proseaudit.functions import text as tx
-from proseaudit.operators import protect, suggest
-from proseaudit.plans import corpus, queries_names
+from proseaudit.operators import protect, rules, segment, suggest
+from proseaudit.plans import corpus, queries_names, queries_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +64,25 @@ def test_large_tables_that_look_small_as_files_are_not_broadcast(spark):
     protected = terms.select(F.monotonically_increasing_id().alias("doc_id"), "term", F.lit("k").alias("kind"), F.lit(0).alias("pos"))
     hits = protect.occurring_terms(protected.select("doc_id", F.col("term").alias("text")), protected)
     assert "SortMergeJoin" in hits._jdf.queryExecution().executedPlan().toString() and hits.count() == 3000
+
+
+def test_a_rewrite_runs_once_and_only_where_it_may_change_something(spark):
+    made = queries_rules.i09(spark, SF)
+    assert plan(made).count("chairperson") == 4  # two terms in the lines of documents and two in the seeded ones, not again in a filter
+    texts = ["the CHAIRMAN and guys", "chairmanship", "", None, "plain", "it is Disabled"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", rewrite.inclusive(F.col("text")).alias("new"), rewrite.may_exclude(F.col("text")).alias("may")).collect()
+    assert all(r.may for r in got if r.new != r.text) and [r.new for r in got if r.new != r.text] == ["the chairperson and people", "it has a disability"]
+
+
+def test_lines_without_a_negative_or_harsh_word_are_not_cut_into_sentences(spark):
+    rows = ["All fine. It is bad, awful!", "x. We do\tnot wait.", "good and great. strong", "It was taken. Ok.", "No", "perhaps so. We see.", None, "known. piano plays"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, text string")
+    for names in (["positive_language"], ["active_voice"], ["positive_language", "active_voice"]):
+        units = segment.sentences(df)
+        found = {r.id for r in rules.detect(units, names, text="sentence", scope=None).collect()}
+        kept = {r.id for r in df.where(rules.may_hold(F.col("text"), names)).collect()}
+        assert found and found <= kept and 2 not in kept and 7 not in kept
+    for query in (queries_rules.h03, queries_rules.h04):
+        tests = [line for line in plan(query(spark, SF)).split("\n") if "Filter" in line and "lower(text#" in line and "awful" in line]
+        assert len(tests) == 2  # documents and seeded lines
