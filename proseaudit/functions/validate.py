@@ -60,29 +60,35 @@ def missing_facts(suggestion: Column, fact_array: Column) -> Column:
     s = F.lower(suggestion)
 
     def lost(fact: Column) -> Column:
-        keys = F.filter(F.split(F.lower(fact), f"{tx.WS}+"), lambda w: F.length(w) > 3)
+        keys = F.filter(tx.split_at(F.lower(fact), f"{tx.WS}+"), lambda w: F.length(w) > 3)
         return (F.size(keys) > 0) & ~F.exists(keys, lambda w: F.contains(s, w))
 
     return F.size(F.filter(fact_array, lost))
 
 
 def constrained_reason(
-    original: Column, suggestion: Column, fact_array: Column, context: Column, rule: Column | None = None
+    original: Column, suggestion: Column, fact_array: Column, context: Column, rule: Column | None = None, applies: Column | None = None
 ) -> Column:
-    """``reason`` plus: at most one fact lost, and a weakness must not be turned into a strength."""
-    s = F.lower(suggestion)
-    weak = F.lit(False)
-    for mark in lx.WEAKNESS_MARKS:
-        weak = weak | s.contains(mark)
-    strong = F.lit(0)
-    for mark in lx.STRENGTH_MARKS:
-        strong = strong + F.when(s.contains(mark), 1).otherwise(0)
-    lost = missing_facts(suggestion, fact_array)
+    """``reason`` plus: at most one fact lost, and a weakness must not be turned into a strength. Rows where ``applies`` is false get the plain reason.
+
+    Facts and context are taken as expressions, so that they are only worked out for rows that passed the plain checks.
+    """
+    def flipped(s: Column) -> Column:
+        strong = F.lit(0)
+        for mark in lx.STRENGTH_MARKS:
+            strong = strong + F.when(s.contains(mark), 1).otherwise(0)
+        return (strong >= 2) & ~tx.mentions(s, lx.WEAKNESS_MARKS)
+
+    def constrained(lost: Column) -> Column:
+        return (
+            F.when(lost >= 2, F.concat(F.lit("missing_facts_"), lost.cast("string")))
+            .when(context.isin("weakness", "threat") & tx.let(F.lower(suggestion), flipped), "flipped_weakness_to_strength")
+            .otherwise("valid")
+        )
+
     # The plain reason decides for almost all rows; the costlier checks only see what passed it.
-    return tx.let(
-        reason(original, suggestion, rule),
-        lambda base: F.when(base != "valid", base)
-        .when(lost >= 2, F.concat(F.lit("missing_facts_"), lost.cast("string")))
-        .when(context.isin("weakness", "threat") & (strong >= 2) & ~weak, "flipped_weakness_to_strength")
-        .otherwise("valid"),
-    )
+    def judged(base: Column) -> Column:
+        plain = base != "valid" if applies is None else (base != "valid") | ~applies
+        return F.when(plain, base).otherwise(tx.let(missing_facts(suggestion, fact_array), constrained))
+
+    return tx.let(reason(original, suggestion, rule), judged)

@@ -112,37 +112,27 @@ def add_suggestions(issues: DataFrame, candidate: str | None = None) -> DataFram
         "_body": F.when(mine, gates.body_part(text)),
         "_context": F.when(mine, F.coalesce(gates.rewrite_context(text), F.lit("neutral"))),
     })
-    staged = staged.withColumn(
-        "_fallback", F.when(mine & (F.col("_body") != ""), rule_rewrite(rule, F.col("_body"), F.col("_context")))
-    )
-    staged = staged.withColumns({
-        "_original": gates.reattach(F.col("_heading"), F.col("_body")),
-        "_fallback": tx.finalize_sentence(gates.reattach(F.col("_heading"), F.col("_fallback"))),
-    })
+    staged = staged.withColumn("_original", gates.reattach(F.col("_heading"), F.col("_body")))
     if candidate is not None:
+        given = F.col(candidate).isNotNull()
         staged = staged.withColumn(
-            "_candidate",
-            F.when(mine, tx.finalize_sentence(gates.reattach(F.col("_heading"), F.col(candidate)))),
-        )
-        fact_rules = rule.isin("positive_language", "active_voice")
-        with_facts = validate.constrained_reason(
-            F.col("_original"), F.col("_candidate"), F.col("_facts"), F.col("_constraint"), rule
+            "_candidate", F.when(mine & given, tx.finalize_sentence(gates.reattach(F.col("_heading"), F.col(candidate))))
         )
-        staged = staged.withColumns({
-            "_facts": F.when(mine, rewrite.facts(F.col("_body"))),
-            "_constraint": F.when(mine, gates.constraint_context(F.col("_body"))),
-        }).withColumn(
-            "_cand_reason",
-            F.when(F.col(candidate).isNull(), "llm_no_parse")
-            .when(fact_rules, with_facts)
-            .otherwise(validate.reason(F.col("_original"), F.col("_candidate"))),
+        judged = validate.constrained_reason(
+            F.col("_original"), F.col("_candidate"), rewrite.facts(F.col("_body")), gates.constraint_context(F.col("_body")),
+            rule, applies=rule.isin("positive_language", "active_voice"),
         )
+        staged = staged.withColumn("_cand_reason", F.when(given, F.when(mine, judged)).otherwise("llm_no_parse"))
     else:
         staged = staged.withColumns({"_candidate": F.lit(None).cast("string"), "_cand_reason": F.lit("empty_response")})
+    use_candidate = mine & F.coalesce(F.col("_cand_reason") == "valid", F.lit(False))
+    # A rewrite by rule is only made where no candidate is taken.
+    open_ = mine & ~use_candidate
     staged = staged.withColumn(
-        "_fall_reason", F.when(mine, validate.reason(F.col("_original"), F.col("_fallback"), rule))
+        "_fallback", F.when(open_ & (F.col("_body") != ""), rule_rewrite(rule, F.col("_body"), F.col("_context")))
     )
-    use_candidate = mine & (F.col("_cand_reason") == "valid")
+    staged = staged.withColumn("_fallback", F.when(open_, tx.finalize_sentence(gates.reattach(F.col("_heading"), F.col("_fallback")))))
+    staged = staged.withColumn("_fall_reason", F.when(open_, validate.reason(F.col("_original"), F.col("_fallback"), rule)))
     use_fallback = mine & (F.col("_fall_reason") == "valid")
     done = staged.withColumns({
         "method": F.when(use_candidate, "external").when(use_fallback, "fallback").when(mine, "no_improvement").otherwise(F.col("method")),
@@ -150,7 +140,7 @@ def add_suggestions(issues: DataFrame, candidate: str | None = None) -> DataFram
         "reject_reason": F.when(mine & ~use_candidate & ~use_fallback, F.col("_fall_reason")),
         "candidate_reject": F.when(mine & ~use_candidate, F.col("_cand_reason")),
     }).drop(
-        "_heading", "_body", "_context", "_fallback", "_original", "_candidate", "_cand_reason", "_fall_reason", "_facts", "_constraint"
+        "_heading", "_body", "_context", "_fallback", "_original", "_candidate", "_cand_reason", "_fall_reason"
     )
     return settle(done, ["method", "suggestion", "reject_reason", "candidate_reject"])
 

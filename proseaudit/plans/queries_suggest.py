@@ -278,8 +278,9 @@ def k13(spark, sf):
 
 def cascade(spark, sf) -> DataFrame:
     """Detected tone and usage issues; every fifth row has a good external candidate, every fifth a bad one."""
-    sents = qr.sentences(spark, sf).withColumnRenamed("sentence", "t")
-    tone = rules.detect(sents, ["positive_language", "active_voice"], text="t", scope=None)
+    tone_rules = ["positive_language", "active_voice"]
+    sents = qr.sentences(spark, sf, rules.may_hold(F.col("text"), tone_rules)).withColumnRenamed("sentence", "t")
+    tone = rules.detect(sents, tone_rules, text="t", scope=None)
     usage = rules.detect(corpus.lines(spark, sf).withColumn("sent_index", F.lit(-1).cast("long")), ["specificity", "inclusivity"], text="text", scope=None)
     found = tone.unionByName(usage)
     k = F.col("key") % 5

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from proseaudit.functions import rewrite, validate
+from proseaudit.functions import gates, rewrite, validate
 from proseaudit.functions import text as tx
 from proseaudit.operators import protect, rules, segment, suggest
 from proseaudit.plans import corpus, queries_names, queries_rules
@@ -86,3 +86,15 @@ def test_lines_without_a_negative_or_harsh_word_are_not_cut_into_sentences(spark
     for query in (queries_rules.h03, queries_rules.h04):
         tests = [line for line in plan(query(spark, SF)).split("\n") if "Filter" in line and "lower(text#" in line and "awful" in line]
         assert len(tests) == 2  # documents and seeded lines
+
+
+def test_texts_are_trimmed_once_and_only_runs_of_spaces_are_replaced(spark):
+    texts = ["  a\tb  c d ", '"Quoted text"', "Label: body ", "Label:", "", None, "x y", "a: b\nc", " Risk: no staff "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for made in (gates.heading_part, gates.body_part, gates.is_quoted, gates.rewrite_context, gates.constraint_context, gates.constraint_note):
+        assert plan(df.select(made(F.col("t")))).count("trim(t#") == 1
+    assert plan(df.select(tx.finalize_sentence("t"))).count("regexp_replace(t#") == 1
+    got = df.select(tx.squeeze("t").alias("s"), gates.heading_part(F.col("t")).alias("h"), gates.body_part(F.col("t")).alias("b")).collect()
+    assert [r.s for r in got] == ["a b c d", '"Quoted text"', "Label: body", "Label:", "", None, "x y", "a: b c", "Risk: no staff"]
+    assert [r.h for r in got] == [None, None, "Label:", "Label:", None, None, None, None, "Risk:"]
+    assert [r.b for r in got] == ["a\tb  c d", '"Quoted text"', "body", "", "", None, "x y", "a: b\nc", "no staff"]
