@@ -36,7 +36,8 @@ def _first_words(phrases) -> list[str]:
 def positive(c: Column, context: Column | None = None) -> Column:
     """Turn negated phrasing around, but only spacing and a typo in a weakness statement."""
     spaces = (f"{tx.WS}{{2,}}", " ")
-    touched = tx.mentions(F.lower(c), ["can't", "vey", *_first_words(p for p, _ in lx.POSITIVE_REWRITES)]) | c.rlike(spaces[0])
+    words = ["can't", "vey", *_first_words(p for p, _ in lx.POSITIVE_REWRITES)]
+    touched = tx.let(F.lower(c), lambda low: tx.mentions(low, words)) | c.rlike(spaces[0])
     new = fold(c, [(phrase(p), r) for p, r in lx.POSITIVE_REWRITES] + [spaces])
     if context is not None:
         weak = fold(c, [(phrase("vey"), "very"), spaces])
@@ -57,7 +58,7 @@ def active(c: Column) -> Column:
     ]
     steps.append((tx.ci(rf"(?=[bB]){tx.BEFORE}being{tx.WS}+({tx.WORD}+ed|made|done){tx.AFTER}"), "$1"))
     words = [*_HEDGE_STARTS, "being", *(done for done, _ in lx.PASSIVE_REWRITES)]
-    touched = tx.mentions(F.lower(c), words) | c.rlike(f"{tx.WS}{{2,}}|(?! ){tx.WS}|^{tx.WS}|{tx.WS}$")
+    touched = tx.let(F.lower(c), lambda low: tx.mentions(low, words)) | c.rlike(f"{tx.WS}{{2,}}|(?! ){tx.WS}|^{tx.WS}|{tx.WS}$")
     return F.when(touched, _unless_same(tx.squeeze(fold(c, steps)), c)).otherwise(c)
 
 

@@ -57,13 +57,11 @@ def reason(original: Column, suggestion: Column, rule: Column | None = None) ->
 
 def missing_facts(suggestion: Column, fact_array: Column) -> Column:
     """How many facts have none of their longer words in the suggestion."""
-    s = F.lower(suggestion)
-
-    def lost(fact: Column) -> Column:
+    def lost(fact: Column, s: Column) -> Column:
         keys = F.filter(tx.split_at(F.lower(fact), f"{tx.WS}+"), lambda w: F.length(w) > 3)
-        return (F.size(keys) > 0) & ~F.exists(keys, lambda w: F.contains(s, w))
+        return tx.let(keys, lambda k: (F.size(k) > 0) & ~F.exists(k, lambda w: F.contains(s, w)))
 
-    return F.size(F.filter(fact_array, lost))
+    return tx.let(F.lower(suggestion), lambda s: F.size(F.filter(fact_array, lambda fact: lost(fact, s))))
 
 
 def constrained_reason(

@@ -98,3 +98,13 @@ def test_texts_are_trimmed_once_and_only_runs_of_spaces_are_replaced(spark):
     assert [r.s for r in got] == ["a b c d", '"Quoted text"', "Label: body", "Label:", "", None, "x y", "a: b c", "Risk: no staff"]
     assert [r.h for r in got] == [None, None, "Label:", "Label:", None, None, None, None, "Risk:"]
     assert [r.b for r in got] == ["a\tb  c d", '"Quoted text"', "body", "", "", None, "x y", "a: b\nc", "no staff"]
+
+
+def test_a_text_is_put_in_lower_case_once_for_all_words_looked_for(spark):
+    df = spark.createDataFrame([("It FAILED", "a"), ("fail", "b"), ("fine", None), (None, "c")], "t string, u string")
+    for made in (rewrite.positive(F.col("t")), rewrite.active(F.col("t")), validate.missing_facts(F.col("t"), F.array("u"))):
+        assert plan(df.select(made)).split("\n")[0].count("array(lower(t#") <= 2 and plan(df.select(made)).count("Contains(lower(t#") == 0
+    hit = tx.mentions(F.lower("t"), ["failed", "fail", "failure"])
+    assert [r.h for r in df.select(hit.alias("h")).collect()] == [True, True, False, None] and plan(df.select(hit)).count("Contains(") == 1
+    facts = F.array(F.lit("Acme Corp"), F.lit("fine day"), F.lit("ab"))
+    assert [r.n for r in df.select(validate.missing_facts(F.col("t"), facts).alias("n")).collect()][:3] == [2, 2, 1]
