@@ -108,3 +108,50 @@ def test_a_text_is_put_in_lower_case_once_for_all_words_looked_for(spark):
     assert [r.h for r in df.select(hit.alias("h")).collect()] == [True, True, False, None] and plan(df.select(hit)).count("Contains(") == 1
     facts = F.array(F.lit("Acme Corp"), F.lit("fine day"), F.lit("ab"))
     assert [r.n for r in df.select(validate.missing_facts(F.col("t"), facts).alias("n")).collect()][:3] == [2, 2, 1]
+
+
+def test_a_suggestion_is_judged_as_before_and_whole_texts_are_compared_last(spark):
+    import re
+
+    from proseaudit.functions import lexicons as lx
+
+    def wanted(a, b, facts):
+        comparable = lambda t: re.sub(r"[^\w\s]", "", t.lower()).strip()
+        if b is None or len(b.strip()) < 3:
+            return "empty_or_too_short"
+        if comparable(a) == comparable(b):
+            return "identical"
+        if len(b) > len(a) * 2.5 or len(b) < len(a) * 0.25:
+            return "too_long" if len(b) > len(a) * 2.5 else "too_short"
+        x, y = (set(re.findall(r"(?<!\w)[a-z]{4,}(?!\w)", t.lower())) for t in (a, b))
+        if x and y and len(x & y) / len(x) < 0.2:
+            return "unrelated_content"
+        low = b.lower()
+        keys = [[w for w in f.lower().split() if len(w) > 3] for f in facts]
+        lost = sum(bool(k) and not any(w in low for w in k) for k in keys)
+        flipped = sum(m in low for m in lx.STRENGTH_MARKS) >= 2 and not any(m in low for m in lx.WEAKNESS_MARKS)
+        return f"missing_facts_{lost}" if lost >= 2 else "flipped_weakness_to_strength" if flipped else "valid"
+
+    words = ["".join(chr(97 + i // 26 ** k % 26) for k in range(3)) + "word" for i in range(60)]
+    texts = [
+        "", "  ", "ab", " a b ", "　xyz ", "a\n\nb", "The plan, was made.", "the plan was MADE!?", "the plan was mode", "the plan\nwas made \n", "a plan was made\n...",
+        "ΟΔΟΣ", "οδος.", "οδοσ", "of ΟΔΟΣΣ", "漢字漢字漢", "漢字!漢字漢", "漢字漢字字", "İstan is here", "i̇stan is here",
+        "Kelvin scale", "kelvin scale", "\U0001f600\U0001f600\U0001f600 good", "good \U0001f600", "x" * 10, "x" * 25, "x" * 26, "é" * 10, "é" * 26, "x" * 40, "é" * 9, "漢" * 41, "....,,,,....;;;;", "---- ----",
+        "Strong and robust, to deliver", "Strong and robust, not to deliver", "a strong thing here", "It has few words, and has provided none", "foobar is here", "bar is where", "foo-bar_baz here", "well-known", "wellknown",
+        " ".join(words[:35]), " ".join(words[:7] + [f"zz{w}" for w in words[:28]]), " ".join(words[:6] + [f"zz{w}" for w in words[:29]]), " ".join(words[:15]), " ".join(words[:3] + ["1234567"] * 10), " ".join(words[:2] + ["1234567"] * 10), " ".join(words[40:60]),
+    ]
+    facts = ["Customer Name", "machine learning", "a b"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in [*texts, None]], "a string, b string").repartition(4)
+    a, b = F.col("a"), F.col("b")
+    plain = validate.reason(a, b).alias("plain")
+    judged = lambda *f: validate.constrained_reason(a, b, F.array(*[F.lit(x) for x in f]), F.lit("weakness"))
+    got = df.select("a", "b", plain, judged().alias("none"), judged(*facts).alias("some")).collect()
+    assert len(got) == len(texts) * (len(texts) + 1)
+    for r in got:
+        none = wanted(r.a, r.b, [])
+        assert (r.plain, r.none, r.some) == ("valid" if none.startswith("flipped") else none, none, wanted(r.a, r.b, facts)), r
+    assert {r.some for r in got} >= {"identical", "too_long", "too_short", "unrelated_content", "missing_facts_2"} and {r.none for r in got} >= {"flipped_weakness_to_strength", "valid"}
+    assert spark.createDataFrame([(None, "some text")], "a string, b string").select(plain).first().plain == "valid"
+    made = plan(df.select(judged(*facts)))
+    assert made.count("lower(b#") == 2  # once for the whole comparison, which is behind a test of the ends, and once for all else
+    assert "length(trim(" not in made and made.index("NOT RLIKE(lower(concat(") < made.index("regexp_replace(lower(a#")
